@@ -13,7 +13,8 @@ offsets that the chain from the start of the file reaches are records. The chain
 resolved over the small candidate rows by pointer jumping: the jump of every
 candidate doubles each step, so a file of n records takes log2(n) steps.
 
-An archive file holds at most ``max_records`` records, which bounds a task's bytes
+Files are compressed as one stream each; offsets count its uncompressed bytes. An
+archive file holds at most ``max_records`` records, which bounds a task's bytes
 and a file's chain. Null html: an empty payload. Rows that repeat both id and
 payload of a response are responses too. A null id sorts last; its page is a
 response where no other page has the payload. Empty table: no records. Columns
@@ -23,6 +24,7 @@ other than id, url and html are not archived.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 from routeloom.llm.common import Scratch
 
 MAGIC = b"WARC/1.1\r\n"
+GZIP = b"\x1f\x8b"
 END = "\r\n\r\n"
 WINDOW = 1 << 20
 
@@ -56,7 +59,7 @@ def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, max_records: int = 20_000, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, max_records: int = 10_000, compression: str = "gzip", date: str = "2024-01-01T00:00:00Z") -> None:
     """One record per row, in files of at most ``max_records``."""
     rows = decide(pages, min_bytes).withColumn("b32", _base32(F.col("digest")))
     uri = F.regexp_replace(F.coalesce(F.when(F.trim("url") != "", F.col("url")), F.lit("about:blank")), r"[\x00-\x20]", "%20")
@@ -70,7 +73,7 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, max_recor
         F.when(F.col("record_type") == "revisit", F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", uid(F.col("refers_to"))), line("X-Refers-To-Page-Id", F.col("refers_to")))).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", F.octet_length(F.col("block"))), F.lit("\r\n"), F.col("block"),
     )
-    rows.withColumn("block", block).select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", max_records).text(path)
+    rows.withColumn("block", block).select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", max_records).option("compression", compression).text(path)
 
 
 def _parse(head: bytes) -> dict[bytes, bytes]:
@@ -91,6 +94,8 @@ def candidates(files: DataFrame) -> DataFrame:
             out = []
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data = content.as_buffer()
+                if data[:2].to_pybytes() == GZIP:
+                    data = gzip.decompress(data)
                 raw, size = memoryview(data), len(data)
                 for start in range(0, size, WINDOW):
                     window = bytes(raw[start : start + WINDOW + len(MAGIC) - 1])
@@ -151,7 +156,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return chained(candidates(files))
 
 
-def round_trip(pages: DataFrame, *, min_bytes: int = 0, max_records: int = 20_000) -> DataFrame:
+def round_trip(pages: DataFrame, *, min_bytes: int = 0, max_records: int = 10_000) -> DataFrame:
     """Archive pages in scratch storage and read them back."""
     spark = pages.sparkSession
     path = Scratch(spark, "warc").path("archives")
