@@ -9,10 +9,11 @@ probability below ``miss``.
 Candidates become links in rounds. In each, every table bucket that still holds
 nodes of more than one component names one pivot, and its other members are held
 against it: pairs grow with the members, never with their square. Confirmed links
-merge components. What then still stands apart inside a bucket is compared in
-blocks of bounded size inside tasks, on the minhashes, each pair in its first common
-bucket alone; only pairs near the threshold leave the task, and are confirmed. So no
-partner is dropped and no bucket is capped.
+merge components. Buckets that then still hold several components are gathered by
+pivot into canopies (members of a bucket share its pivot, hence a canopy), dealt in
+blocks of bounded size, and compared inside tasks on their sets; what leaves a task
+is at most a few pairs for each two components that link, confirmed like the others.
+So no partner is dropped and no bucket is capped.
 
 Words are maximal runs of non-white-space characters, A-Z lower-cased. Null, empty
 and blank texts have empty sets and link with nothing. Of rows that share an id but
@@ -119,40 +120,71 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, items array<long>")
 
 
-def _leftover_pairs(members: DataFrame, m: int, k: int, agree: int, pct: int, block: int) -> DataFrame:
-    """members (key, i, j, node, comp, n, sig): pairs of a bucket's members that lie in
-    different components and agree on ``agree`` minhashes, each from its first common bucket."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("chunks"))
-    dealt = members.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets of small numbers."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not left or not right:
+        return out
+    side = []
+    for sets in (left, right):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        item = np.concatenate(sets)
+        order = np.argsort(item, kind="stable")
+        side.append((owner[order], item[order], len(sets)))
+    for start in range(0, int(max(side[0][1][-1:].max(initial=0), side[1][1][-1:].max(initial=0))) + 1, width):
+        dense = []
+        for owner, item, n in side:
+            lo, hi = np.searchsorted(item, [start, start + width])
+            m = np.zeros((n, width), np.float32)
+            m[owner[lo:hi], item[lo:hi] - start] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _leftover_pairs(members: DataFrame, pct: int, block: int, best: int = 4) -> DataFrame:
+    """members (canopy, node, comp, n, items): pairs of a canopy's members that lie in different
+    components and whose sets link. For each pair of components a block gives its ``best`` pairs:
+    one link joins them."""
+    sizes = members.groupBy("canopy").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("chunks"))
+    dealt = members.join(sizes, "canopy").withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     # a member of chunk c meets every chunk once: cell (lesser, greater)
     cells = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"x": F.least("c", "o"), "y": F.greatest("c", "o")})
 
     def compare(key, t):
-        node, comp, n, c = (t.column(x).to_numpy() for x in ("node", "comp", "n", "c"))
-        i, j, x, y = (t.column(v)[0].as_py() for v in ("i", "j", "x", "y"))
-        sig = np.stack(t.column("sig").to_numpy(zero_copy_only=False))
-        left = np.flatnonzero(c == x)
-        right = left if x == y else np.flatnonzero(c == y)
-        out_u, out_v = [], []
-        for a in left:
-            r = right[(comp[right] != comp[a]) & (n[right] * 100 >= n[a] * pct) & (n[a] * 100 >= n[right] * pct)]
-            if x == y:
-                r = r[r > a]
-            if not len(r):
-                continue
-            same = sig[r] == sig[a]
-            groups = same.reshape(len(r), 2, m, k).all(axis=3)
-            first = (groups[:, 0].argmax(axis=1) == i) & (groups[:, 1].argmax(axis=1) == j)
-            r = r[first & (same.sum(axis=1) >= agree)]
-            out_u += [node[a]] * len(r)
-            out_v += node[r].tolist()
-        return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
-
-    return cells.groupBy("key", "x", "y").applyInArrow(compare, "u long, v long")
+        node, comp, n, c = (t.column(v).to_numpy() for v in ("node", "comp", "n", "c"))
+        found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+        kinds, counts = np.unique(comp, return_counts=True)
+        if len(kinds) > 1:
+            raw = t.column("items").combine_chunks()
+            _, number, often = np.unique(raw.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+            shared = often > 1  # an item of one member adds to no intersection
+            number = np.where(shared, np.cumsum(shared) - 1, -1)[number]
+            sets = [x[x >= 0] for x in np.split(number, np.cumsum(raw.value_lengths().to_numpy())[:-1])]
+            small = comp != kinds[counts.argmax()]
+            x, y = key[1].as_py(), key[2].as_py()
+            left, right = np.flatnonzero(c == x), np.flatnonzero(c == y)
+            for rows, cols in ((left[small[left]], right), (left[~small[left]], right[small[right]])):
+                i = _overlaps([sets[r] for r in rows], [sets[r] for r in cols])
+                spare = 100 * i - pct * (n[rows][:, None] + n[cols][None] - i)
+                # items travel in 31 bits: allow for as many chance collisions as a set may hold
+                slack = (100 + pct) * np.ceil(float(n.max()) ** 2 / 2**30)
+                for r, k in zip(*np.nonzero((spare >= -slack) & (comp[rows][:, None] != comp[cols][None])), strict=True):
+                    u, v = rows[r], cols[k]
+                    pair = (int(min(comp[u], comp[v])), int(max(comp[u], comp[v])))
+                    kept = found.setdefault(pair, [])
+                    kept.append((float(-spare[r, k]), int(node[u]), int(node[v])))
+                    if len(kept) > 64:
+                        kept.sort()
+                        del kept[best:]
+        out = [x[1:] for kept in found.values() for x in sorted(kept)[:best]]
+        return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
+
+    return cells.groupBy("canopy", "x", "y").applyInArrow(compare, "u long, v long").distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, *, size: int = 5, pct: int = 80, k: int = 2, miss: float = 1e-4, rounds: int = 3, block: int = 1024, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, size: int = 5, pct: int = 80, k: int = 2, miss: float = 1e-4, rounds: int = 2, block: int = 512, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -178,10 +210,10 @@ def near_duplicates(
     keys = (
         nodes.select("node", side(0).alias("a"), side(1).alias("b"))
         .select("node", "a", "b", F.explode(pairs_of_groups).alias("p"))
-        .select(F.xxhash64(F.col("a")[F.col("p.i")], F.col("b")[F.col("p.j")]).alias("key"), "p", "node")
+        .select(F.xxhash64(F.col("a")[F.col("p.i")], F.col("b")[F.col("p.j")]).alias("key"), "node")
     )
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
-    buckets = scratch.save(keys.join(shared, "key").select("key", "p.i", "p.j", "node"), "buckets")
+    buckets = scratch.save(keys.join(shared, "key").select("key", "node"), "buckets")
     met = buckets.select("node").distinct()
     first_text = (
         docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -218,8 +250,9 @@ def near_duplicates(
             star = at.join(mixed, "key").where(F.col("comp") != F.col("pivot.comp")).select(F.col("node").alias("u"), F.col("pivot.node").alias("v")).distinct()
             found = near(star)
         else:
-            open_ = at.join(mixed.select("key"), "key").join(sigs, "node")
-            found = _leftover_pairs(open_, m, k, agree, pct, block)
+            canopies = at.join(mixed.select("key", F.col("pivot.node").alias("canopy")), "key").select("canopy", "node", "comp").distinct()
+            short = F.transform("items", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("items")
+            found = _leftover_pairs(canopies.join(sets.select("node", "n", short), "node"), pct, block)
         edges = scratch.save(linked(found), f"links-{r}")
         if not edges.limit(1).count():
             if r < rounds:
