@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from routeloom.plans import evaluation, routing, texts
+
+_MODULES = (routing, evaluation, texts)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
