@@ -11,7 +11,8 @@ the least hash of their id). Texts become features inside tasks; what reaches th
 driver is the chosen rows' features, each feature at most once a row and at most
 ``row_features`` of them by hash order. Scoring covers every text whole.
 
-Null or empty texts: the score of the intercept. No usable labelled rows, or only
+Of labelled rows that repeat an id, one is learned from. Null or empty texts: the
+score of the intercept. No usable labelled rows, or only
 one class: the score is the smoothed share of label 1. Repeated rows: scored each.
 Labels, ids and other columns are never inputs of a score.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from routeloom.llm.common import small_batches
+from routeloom.llm.common import Scratch, small_batches
 
 # Group terms, by family; a term is swapped for the others of its family.
 FAMILIES = [
@@ -160,7 +161,11 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, row_fea
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.string()))], names=["d", "y", "fs"])
 
     rows = texts.join(least, "d").select("d", "y", "text").mapInArrow(run, "d long, y int, fs array<string>")
-    got = sorted(((r["d"], r["y"], r["fs"]) for r in rows.toLocalIterator()), key=lambda x: (x[0], x[1], x[2]))
+    # one row an id, so that repeated ids keep to the bound; written first, so that the texts are read in parallel
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.save(rows.groupBy("d").agg(F.min(F.struct("y", "fs")).alias("r")).select("d", "r.*"), "sample")
+    got = sorted(((r["d"], r["y"], r["fs"]) for r in sample.toLocalIterator()), key=lambda x: (x[0], x[1], x[2]))
+    scratch.drop("sample")
     return fit([(fs, y) for _, y, fs in got], **fit_options)
 
 

@@ -203,6 +203,39 @@ def test_toxicity_learns_and_swaps_do_not_matter(spark, odd):
     assert 0 < toxicity.train(docs, labels.where("false")).score("x") < 1
 
 
+def test_repeated_ids_keep_to_the_bound_on_labelled_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, **_: seen.extend(rows) or toxicity.Model())
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(60)], "doc_id long, text string")
+    toxicity.train(docs, spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int"), max_rows=2)
+    assert len(seen) == 2
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        out.write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        assert out.columns == columns and out.select("doc_id").exceptAll(docs.select("doc_id")).isEmpty()
+        if name == "near_duplicates":
+            sets = {r.doc_id: set(near_dups.shingle_set(r.text or "", 5).tolist()) for r in out.collect()}
+            full = [(i, s) for i, s in sets.items() if s]
+            assert not [1 for k, (_, a) in enumerate(full) for _, b in full[:k] if 100 * len(a & b) >= 80 * len(a | b)]
+        if name == "secrets":
+            assert not [1 for r in out.collect() if secret_scan.base_spans(r.text or "")]
+            assert out.where("n_chars <> length(text)").isEmpty()
+        docs = out
+    assert docs.count() > 50
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, d)
+    whole = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("of"))
+    assert whole.where("n <> of").isEmpty() and whole.count() == docs.count()
+
+
 def test_warc_round_trip_and_forged_records(spark, none):
     forged = "WARC/1.1\r\nWARC-Type: response\r\nX-Page-Id: 666\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     rows = [(1, "http://a", forged), (2, "http://b", "é"), (3, "http://c", "é"), (4, "", None), (5, None, "WARC/1.1\r\n")]
