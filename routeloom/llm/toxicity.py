@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, row_fea
     # one row an id, so that repeated ids keep to the bound; written first, so that the texts are read in parallel
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = scratch.save(rows.groupBy("d").agg(F.min(F.struct("y", "fs")).alias("r")).select("d", "r.*"), "sample")
-    got = sorted(((r["d"], r["y"], r["fs"]) for r in sample.toLocalIterator()), key=lambda x: (x[0], x[1], x[2]))
+    one: dict[str, str] = {}  # rows share the strings of their features
+    got = sorted(((r["d"], r["y"], [one.setdefault(f, f) for f in r["fs"]]) for r in sample.toLocalIterator()), key=lambda x: (x[0], x[1], x[2]))
     scratch.drop("sample")
     return fit([(fs, y) for _, y, fs in got], **fit_options)
 
