@@ -28,6 +28,16 @@ def best_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce(-F.col("m.minus"), "first").alias("ref"), F.coalesce("m.s", F.lit(0.0)).alias("score"))
 
 
+def drift(a: DataFrame, b: DataFrame, least: int = 2) -> DataFrame:
+    """Ids that another intent's ref covers better than any of their own, with ``least`` tokens shared.
+    a: id, intent, toks; b: ref, intent, toks."""
+    p = _pairs(a, b).join(b.select("ref", F.col("intent").alias("of")), "ref").join(a.select("id", "intent"), "id").withColumn("s", F.round(F.col("shared") / F.col("nb"), 9))
+    own = F.col("of") == F.col("intent")
+    best = p.groupBy("id").agg(F.max(F.when(own, F.col("s"))).alias("own"), F.max(F.when(~own, F.struct("s", (-F.col("ref")).alias("minus"), "shared"))).alias("other"))
+    far = best.where((F.col("other.s") > F.coalesce("own", F.lit(0.0))) & (F.col("other.shared") >= least))
+    return far.select("id", (-F.col("other.minus")).alias("ref"), F.col("other.s").alias("score"), F.coalesce("own", F.lit(0.0)).alias("own"))
+
+
 def near_in_group(df: DataFrame, group: str, pos: str, above: float = 0.6) -> DataFrame:
     """Pairs (first, second) of a group's rows whose word sets are alike, equal normal forms aside.
     df: group, pos, norm, toks. Groups are a speaker's or an item's few lines."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from routeloom.plans import evaluation, routing, texts
+from routeloom.plans import evaluation, routing, texts, utterances
 
-_MODULES = (routing, evaluation, texts)
+_MODULES = (routing, evaluation, texts, utterances)
 
 
 def queries() -> dict:

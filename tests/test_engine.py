@@ -89,3 +89,40 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     batch = route_columns(rows)
     assert batch.exceptAll(spark.table("streamed")).isEmpty() and spark.table("streamed").count() == batch.count()
+
+
+def test_noise_edits_are_from_the_table_and_keep_slots(spark):
+    from routeloom.functions import noise
+
+    rows = [(1, "call {the} heater ?"), (2, "{call}"), (3, "the"), (4, ""), (5, None), (6, "play list"), (7, "call the heater two please")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    found = {r.id: {tuple(e) for e in r.e} for r in df.where("t is not null").select("id", noise.candidate_edits(noise.spoken(F.col("t"))).alias("e")).collect()}
+    assert found[1] == {("homophone", 0, 1, "cool"), ("homophone", 2, 1, "eater")}
+    assert found[2] == found[3] == found[4] == set()
+    assert found[6] == {("homophone", 0, 1, "pray"), ("merge_split", 0, 2, "playlist")}
+    out = {r.id: r.h for r in df.select("id", noise.misheard(F.col("t"), F.col("id").cast("string")).alias("h")).collect()}
+    assert out[1] in {"cool {the} heater", "call {the} eater", "cool {the} eater"} and out[6] in {"pray list", "playlist"}
+    assert [out[i] for i in (2, 3, 4, 5)] == [None] * 4 and out[7] != rows[6][1]
+
+
+def test_dropped_words_keep_numbers_and_move_offsets(spark):
+    from routeloom.functions import noise
+
+    df = spark.createDataFrame([("a",), ("b",)], "id string").withColumn("w", F.array(*map(F.lit, ["go", "to", "{x}", "12", "now"])))
+    every = df.select(noise.drop_words(F.col("w"), F.col("id"), 1.0).alias("o")).select("o.*").collect()
+    assert [(r.text, r.starts) for r in every] == [("{x} 12", [0, 4])] * 2
+    assert df.select(noise.drop_words(F.array(F.lit("go")), F.col("id"), 1.0).alias("o")).first().o.text == "go"
+
+
+def test_spans_decode_detect_and_score(spark):
+    from routeloom.operators import spans
+
+    tags = ["B-a", "I-a", "B-a", "O", "I-b", "I-a", "I-a"]
+    toks = spark.createDataFrame([(1, i, i, i + 1, t) for i, t in enumerate(tags)], "id int, pos int, start int, end int, tag string")
+    assert sorted((r.start, r.end, r.label) for r in spans.decode(toks, "id").collect()) == [(0, 2, "a"), (2, 3, "a"), (4, 5, "b"), (5, 7, "a")]
+    found = spark.createDataFrame([("x 12345 67890 and 4321",)], "t string").select(spans.detect(F.col("t"), {"long": "[0-9]{5} [0-9]{5}", "code": "[0-9]{4,6}"}).alias("s")).first().s
+    assert [tuple(s) for s in found] == [(2, 13, "long"), (18, 22, "code")]
+    kind = "array<struct<start:int,end:int>>"
+    rows = spark.createDataFrame([("k", "ab cd", [(0, 5)], [(0, 2), (3, 5)]), ("k", "ab", [(0, 2)], []), ("k", "ab", [(0, 2)], [(0, 2)])], f"s string, text string, truth {kind}, found {kind}")
+    r = spans.scores(rows, "s", F.lit(True)).where("s = 'k'").first()
+    assert (r.n_true, r.n_found, r.n_exact, round(r.leak_rate, 3)) == (3, 3, 1, 0.333)
