@@ -30,11 +30,16 @@ from routeloom.llm.common import small_batches, with_text
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 DROPPED = frozenset("aside button canvas datalist dialog fieldset footer form head iframe input label map math menu nav noscript object option search select svg template textarea title video audio".split())
 RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "svg", "math")
+TO_THE_END = ("script", "style", "iframe", "textarea")  # hold no markup: without an end tag they hold the rest
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HINTED = frozenset("article aside div dl details figure header li ol p section span table ul".split())
-CLOSED_BY_BLOCK = frozenset({"p"})
+#: An element that its next sibling ends: the names it ends, and the containers across which it ends none.
+SIBLINGS = {
+    **dict.fromkeys(["li"], (("li",), ("ul", "ol", "menu", "dir"))), **dict.fromkeys(["dd", "dt"], (("dd", "dt"), ("dl",))), **dict.fromkeys(["option", "optgroup"], (("option",), ("select", "datalist"))),
+    **dict.fromkeys(["td", "th"], (("td", "th"), ("tr", "table"))), "tr": (("tr",), ("table",)), **dict.fromkeys(["thead", "tbody", "tfoot"], (("thead", "tbody", "tfoot"), ("table",))),
+}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?</(?P=raw)\s*>|<(?:" + "|".join(TO_THE_END) + r")\b[^>]*>.*\Z|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|disclaimer|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|sidebar|aside|widget|widgets|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|toc|header|masthead|footer|copyright|comment|comments|commentlist|disqus|replies|respond|discussion|share|sharing|social|related|recommended|recommendations|toolbar|skip)(?:$|[\s_-])",
     re.I,
@@ -55,19 +60,60 @@ def _hinted(name: str, attrs: str, in_article: bool) -> bool:
     return name in HINTED and bool(HINT.search(f"{values.get('class', '')} {values.get('id', '')}"))
 
 
+class Open:
+    """The open elements. A block's end tag ends what is open inside it, an inline one's reaches across no block."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def last(self, names: tuple[str, ...]) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def push(self, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name in BLOCKS or name in DROPPED:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+
+    def cut(self, upto: int) -> None:
+        while len(self.names) > upto:
+            self.places[self.names.pop()].pop()
+        while self.blocks and self.blocks[-1] >= upto:
+            self.blocks.pop()
+
+    def before(self, name: str) -> None:
+        """End what the start tag ends: a p at a block, an li at the next li and so on."""
+        if name in BLOCKS and self.blocks and self.names[self.blocks[-1]] == "p":
+            self.cut(self.blocks[-1])
+        if name in SIBLINGS:
+            ended, across = SIBLINGS[name]
+            at = self.last(ended)
+            if at > self.last(across):
+                self.cut(at)
+
+    def end(self, name: str) -> None:
+        at = self.last((name,))
+        if at >= 0 and (name in BLOCKS or name in DROPPED or not self.blocks or self.blocks[-1] <= at):
+            self.cut(at)
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, weight, inside the article) of each line; a gap is a line of weight 0 without text."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = at = 0
-    link = article = 0
-    dropped: list[str] = []  # open elements inside the dropped one, that one first
+    opened = Open()
+    links: list[int] = []  # places of the open link, articles and dropped element
+    articles: list[int] = []
+    dropped: list[int] = []
 
     def flush() -> None:
         nonlocal linked
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            lines.append((text, max(0, len(text) - linked), article > 0))
+            lines.append((text, max(0, len(text) - linked), bool(articles)))
         parts.clear()
         linked = 0
 
@@ -76,9 +122,19 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if upto > at and not dropped:
             piece = page[at:upto]
             parts.append(piece)
-            if link:
+            if links:
                 linked += len(piece)
 
+    def close() -> None:
+        n = len(opened.names)
+        for places in (links, dropped):
+            if places and places[-1] >= n:
+                places.pop()
+        while articles and articles[-1] >= n:
+            flush()
+            articles.pop()
+            lines.append(("", 0, False))
+
     for m in TAG.finditer(page):
         text(m.start())
         at = m.end()
@@ -86,33 +142,31 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if name is None:
             continue
         name = name.lower()
-        if dropped:
-            if m["end"]:
-                if name in dropped:
-                    while dropped.pop() != name:
-                        pass
-            elif name == dropped[0] and name not in VOID:
-                dropped.append(name)
-            continue
-        if name in BLOCKS or name in DROPPED:
-            flush()
-        elif name == "br":
-            parts.append(" ")
+        if not dropped:
+            if name in BLOCKS or name in DROPPED:
+                flush()
+            elif name == "br":
+                parts.append(" ")
         if m["end"]:
-            if name == "a":
-                link = max(0, link - 1)
-            elif name in ("article", "main") and article:
-                article -= 1
-                lines.append(("", 0, False))
+            if name == "a" and not dropped:
+                links.clear()
+            opened.end(name)
+            close()
             continue
-        if name not in VOID and not m["attrs"].endswith("/") and (name in DROPPED or name == "header" and not article or _hinted(name, m["attrs"], article > 0)):
-            dropped.append(name)
-            lines.append(("", 0, article > 0))
-        elif name == "a":
-            link += 1
-        elif name in ("article", "main"):
-            lines.append(("", 0, False))
-            article += 1
+        opened.before(name)
+        close()
+        if name in VOID or m["attrs"].endswith("/"):
+            continue
+        if not dropped:
+            if name in DROPPED or name == "header" and not articles or _hinted(name, m["attrs"], bool(articles)):
+                dropped.append(len(opened.names))
+                lines.append(("", 0, bool(articles)))
+            elif name == "a":
+                links[:] = [len(opened.names)]
+            elif name in ("article", "main"):
+                lines.append(("", 0, False))
+                articles.append(len(opened.names))
+        opened.push(name)
     text(len(page))
     flush()
     return lines

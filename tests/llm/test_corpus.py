@@ -113,6 +113,14 @@ def test_html_extraction():
     assert html_extract.main_text("") == "" and html_extract.main_text("<p>unclosed") == "unclosed"
 
 
+def test_html_dropped_elements_without_end_tags():
+    for ad in ('<p class="ad">Buy', '<ul><li>One<li class="share">Share<li>Two</ul>', '<div><nav><a>Menu</a></div>', '<div><form><p>Mail</div>', '<section><div class="ad">Buy</section>', '<div><svg><path d="M0">Buy</div>', '<dl><dt>One<dd hidden>Buy<dt>Two</dl>'):
+        got = html_extract.main_text(f"<body><article><p>First{ad}<p>Body 1</p><p>Body 2</article></body>").split("\n\n")
+        assert got == ["First", *(["One", "Two"] if "One" in ad else []), "Body 1", "Body 2"], ad
+    assert html_extract.main_text('<article><p>a <span class="ad">Buy <span>now</span> here</span> b</p><aside>x<p>y<div>z</aside><p>c</article>') == "a b\n\nc"
+    assert html_extract.main_text('<article><div class="ad"><div>x</div>y<b><p>z</b> more</div><p>c</article>') == "c"
+
+
 def test_near_duplicates_match_brute_force(spark, odd, none):
     r = random.Random(3)
     docs = []
