@@ -2,12 +2,17 @@
 
 Markup is stripped into text lines, one per block element. A line's weight is its
 text outside links; lines of menus, headers, footers, sidebars, notices, adverts,
-forms and comments weigh nothing, and each such element also leaves a gap of empty
-lines. Weights are summed over sliding windows of lines: the text surges where a
-window's sum rises from nothing above the surge level and dives where it falls back to nothing.
-The lines between a surge and its dive are kept. Where a page marks its article, all
-spans inside it are kept, however short; elsewhere a span must hold a fair share of
-the page's text.
+forms and comments weigh nothing, and such elements leave an empty line. Weights are
+summed over sliding windows of lines: the text surges where a window's sum rises from
+nothing above the surge level and dives where a whole window falls back to nothing.
+The lines between a surge and its dive are kept.
+
+Every page is scanned so. An ``article`` or ``main`` mark only helps: inside it any
+line of text weighs at least 1 and the surge level is 0. Each innermost mark is
+scanned by itself, and so are the lines outside any; what an element holds inside
+another leaves one empty line there. Marks and unmarked spans that hold less than
+``share`` of the heaviest are left out; a mark's own lines count with those of the
+marks inside it. Where no window of a page passes the surge level, the level is 0.
 
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined by an empty line. Null, empty or unfinished markup gives the text
@@ -99,9 +104,12 @@ class Open:
             self.cut(at)
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, inside the article) of each line; a gap is a line of weight 0 without text."""
-    lines: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> tuple[list[tuple[str, int, int]], list[int]]:
+    """(text, weight, innermost mark) of each line, and the mark around each mark; 0 is outside any.
+    A gap is a line of weight 0 without text."""
+    lines: list[tuple[str, int, int]] = []
+    around = [0]
+    marks = [0]  # those open
     parts: list[str] = []
     linked = at = 0
     opened = Open()
@@ -113,7 +121,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         nonlocal linked
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            lines.append((text, max(0, len(text) - linked), bool(articles)))
+            lines.append((text, max(1 if articles else 0, len(text) - linked), marks[-1]))
         parts.clear()
         linked = 0
 
@@ -133,7 +141,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         while articles and articles[-1] >= n:
             flush()
             articles.pop()
-            lines.append(("", 0, False))
+            marks.pop()
 
     for m in TAG.finditer(page):
         text(m.start())
@@ -160,43 +168,50 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not dropped:
             if name in DROPPED or name == "header" and not articles or _hinted(name, m["attrs"], bool(articles)):
                 dropped.append(len(opened.names))
-                lines.append(("", 0, bool(articles)))
+                lines.append(("", 0, marks[-1]))
             elif name == "a":
                 links[:] = [len(opened.names)]
             elif name in ("article", "main"):
-                lines.append(("", 0, False))
+                lines.append(("", 0, marks[-1]))
+                around.append(marks[-1])
+                marks.append(len(around) - 1)
                 articles.append(len(opened.names))
         opened.push(name)
     text(len(page))
     flush()
-    return lines
+    return lines, around
 
 
 def spans_of(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
     """The [surge, dive) line ranges: a window sum above ``surge`` opens one, and it runs from and to empty windows."""
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    spans, start = [], None
+    spans: list[list[int]] = []
     for i, w in enumerate(weights):
-        if start is None and w:
-            start = i
-        elif start is not None and not w:
-            spans.append((start, i))
-            start = None
-    if start is not None:
-        spans.append((start, len(weights)))
-    return [(a, b) for a, b in spans if max(sums[a:b]) > surge]
+        if w and spans and i - spans[-1][1] < window:
+            spans[-1][1] = i + 1
+        elif w:
+            spans.append([i, i + 1])
+    return [(a, b) for a, b in spans if max(sum(weights[i : min(i + window, b)]) for i in range(a, b)) > surge]
 
 
 def main_text(page: str, window: int = 3, surge: int = 80, share: float = 0.15) -> str:
-    lines = lines_of(page)
-    marked = any(inside and text for text, _, inside in lines)
-    if marked:
-        kept = [text for text, _, inside in lines if inside and text]
-        return "\n\n".join(kept)
-    weights = [w for _, w, _ in lines]
-    spans = spans_of(weights, window, surge) or spans_of(weights, window, 0)
-    most = max((sum(weights[a:b]) for a, b in spans), default=0)
-    return "\n\n".join(lines[i][0] for a, b in spans if sum(weights[a:b]) >= share * most for i in range(a, b))
+    lines, around = lines_of(page)
+    places: list[list[int]] = [[] for _ in around]  # the lines of each mark, a row of gaps as one
+    for i, (text, _, mark) in enumerate(lines):
+        if text or not places[mark] or lines[places[mark][-1]][0]:
+            places[mark].append(i)
+    weights = [[lines[i][1] for i in own] for own in places]
+    if not any(spans_of(w, window, surge) for w in weights):
+        surge = 0
+    spans = [spans_of(w, window, 0 if mark else surge) for mark, w in enumerate(weights)]
+    held = [sum(w) for w in weights]
+    outside = [sum(weights[0][a:b]) for a, b in spans[0]]
+    least = share * max([*held[1:], *outside], default=0)
+    for mark in range(len(around) - 1, 0, -1):
+        if around[mark]:
+            held[around[mark]] += held[mark]
+    kept = [places[0][i] for (a, b), w in zip(spans[0], outside, strict=True) if w >= least for i in range(a, b)]
+    kept += [own[i] for own, found, w in zip(places[1:], spans[1:], held[1:], strict=True) if w >= least for a, b in found for i in range(a, b)]
+    return "\n\n".join(lines[i][0] for i in sorted(kept) if lines[i][0])
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = 3, surge: int = 80, share: float = 0.15) -> DataFrame:

@@ -121,6 +121,21 @@ def test_html_dropped_elements_without_end_tags():
     assert html_extract.main_text('<article><div class="ad"><div>x</div>y<b><p>z</b> more</div><p>c</article>') == "c"
 
 
+def test_html_marks_only_help_the_scan():
+    long = "A plain sentence that goes on for a while, as articles do, and then some more of it. " * 3
+    real, teaser = f"<div>{long}</div>" * 2, "<article><h3><a href='/x'>Other news</a></h3><p>A teaser of few words</p></article>"
+    want = f"{long.strip()}\n\n{long.strip()}"
+    assert html_extract.main_text(f"<body>{teaser}{real}</body>") == want == html_extract.main_text(f"<body>{real}{teaser * 9}</body>")
+    assert html_extract.main_text(f"<main>{real}{teaser * 9}</main>") == want
+    assert html_extract.main_text(f"<main><h1>Title</h1><article>{real}</article>{teaser * 3}</main>") == f"Title\n\n{want}"
+    ad = "<div class='ad'>Buy this</div>"
+    for between in (ad, ad * 5, teaser):
+        assert html_extract.main_text(f"<body>{real}{between}<p>A short one.</p>{between}<p>Another.</p></body>") == f"{want}\n\nA short one.\n\nAnother."
+    assert html_extract.main_text(f"<main>{teaser * 20}</main>").count("A teaser of few words") == 20
+    assert html_extract.main_text(f"<article><p>{long}</p><ul>{'<li><a>Source</a></li>' * 4}</ul><p>End.</p></article>").endswith("Source\n\nEnd.")
+    assert html_extract.main_text(f"<p>{long}</p><ul>{'<li><a>Menu</a></li>' * 4}</ul><p>{long}</p>") == want
+
+
 def test_near_duplicates_match_brute_force(spark, odd, none):
     r = random.Random(3)
     docs = []
