@@ -11,7 +11,8 @@ candidate for every hit: its offset and the offset its length field leads to. A
 payload may hold the magic, or a whole forged record, so a hit proves nothing; only
 offsets that the chain from the start of the file reaches are records. The chain is
 resolved over the small candidate rows by pointer jumping: the jump of every
-candidate doubles each step, so a file of n records takes log2(n) steps.
+candidate doubles each step, so a file of n records takes log2(n) steps. Headers may
+have any length; a file whose chain does not end at its last byte is an error.
 
 Files are compressed as one stream each; offsets count its uncompressed bytes. An
 archive file holds at most ``max_records`` records, which bounds a task's bytes
@@ -84,6 +85,17 @@ def _number(x: bytes | None) -> int | None:
     return int(x) if x is not None and x.lstrip(b"-").isdigit() else None
 
 
+def _find(raw: memoryview, what: bytes, at: int, upto: int) -> int:
+    """The first place of ``what`` in raw[at:upto], or -1."""
+    step = 8192
+    while at < upto:
+        found = bytes(raw[at : min(at + step + len(what) - 1, upto)]).find(what)
+        if found >= 0:
+            return at + found
+        at, step = at + step, min(2 * step, WINDOW)
+    return -1
+
+
 def candidates(files: DataFrame) -> DataFrame:
     """files (path, content): a row for every hit of the magic, payload or not."""
 
@@ -96,26 +108,31 @@ def candidates(files: DataFrame) -> DataFrame:
                 data = content.as_buffer()
                 if data[:2].to_pybytes() == GZIP:
                     data = gzip.decompress(data)
-                raw, size = memoryview(data), len(data)
+                raw, size, before = memoryview(data), len(data), len(out)
+                stop = _find(raw, b"\r\n\r\n", 0, size)
                 for start in range(0, size, WINDOW):
                     window = bytes(raw[start : start + WINDOW + len(MAGIC) - 1])
                     hit = window.find(MAGIC)
                     while hit >= 0:
                         at, hit = start + hit, window.find(MAGIC, hit + 1)
-                        head = bytes(raw[at : at + 8192])
-                        if (stop := head.find(b"\r\n\r\n")) < 0:
+                        if 0 <= stop < at:  # else the empty line found last is the first from here too
+                            stop = _find(raw, b"\r\n\r\n", at, size)
+                        # a line of the magic inside is no header field
+                        if stop < 0 or _find(raw, b"\r\n" + MAGIC, at, stop + 2) >= 0:
                             continue
-                        fields = _parse(head[:stop])
+                        fields = _parse(bytes(raw[at:stop]))
                         length = _number(fields.get(b"content-length"))
-                        if length is None or length < 0 or at + stop + 8 + length > size:
+                        if length is None or length < 0 or stop + 8 + length > size:
                             continue
-                        block = bytes(raw[at + stop + 4 : at + stop + 4 + length])
+                        block = bytes(raw[stop + 4 : stop + 4 + length])
                         payload = block.partition(b"\r\n\r\n")[2]
                         own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                         kind = fields.get(b"warc-type", b"").decode("utf-8", "replace")
                         whole = kind == "response"
                         stored = fields.get(b"warc-payload-digest", b"").rpartition(b":")[2].decode("utf-8", "replace")
-                        out.append((path, at, at + stop + 8 + length, size, _number(fields.get(b"x-page-id")), len(payload) if whole else _number(fields.get(b"x-payload-length")), own if whole else stored, kind, _number(fields.get(b"x-refers-to-page-id")), stored))
+                        out.append((path, at, stop + 8 + length, size, _number(fields.get(b"x-page-id")), len(payload) if whole else _number(fields.get(b"x-payload-length")), own if whole else stored, kind, _number(fields.get(b"x-refers-to-page-id")), stored))
+                if size and (len(out) == before or out[before][1]):
+                    raise ValueError(f"{path}: no record at its start")
             cols = list(zip(*out, strict=True)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
@@ -143,7 +160,11 @@ def chained(found: DataFrame) -> DataFrame:
 
     def resolve(t):
         t = t.sort_by("at")
-        return t.filter(pa.array(reachable(t.column("at").to_numpy(), t.column("next").to_numpy())))
+        t = t.filter(pa.array(reachable(t.column("at").to_numpy(), t.column("next").to_numpy())))
+        end, size = (t.column(c)[-1].as_py() if len(t) else 0 for c in ("next", "size"))
+        if not len(t) or end != size:
+            raise ValueError(f"the chain of records ends at byte {end} of {size}")
+        return t
 
     return found.groupBy("file").applyInArrow(resolve, found.schema)
 

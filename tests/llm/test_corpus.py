@@ -272,6 +272,22 @@ def test_warc_round_trip_and_forged_records(spark, none):
     assert warc.round_trip(empty).count() == 0
 
 
+def test_warc_long_headers_and_broken_chains(spark, tmp_path):
+    urls = {1: "http://a", 2: "http://b/" + "x " * 50_000, 3: "http://c", 4: "http://d/" + "y" * 8150, 5: "http://e"}
+    pages = spark.createDataFrame([(i, u, f"page {i} " + "WARC/1.1\r\n" * 2000) for i, u in urls.items()], "page_id long, url string, html string").coalesce(1).sortWithinPartitions("page_id")
+    assert {r.page_id: r.payload_bytes for r in warc.round_trip(pages).collect()} == dict.fromkeys(urls, 20_007)
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-Id: 1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    for i, (content, n) in enumerate([(record * 3, 3), (record * 2 + record[:-9], None), (record + b"junk" + record, None), (b"junk" + record, None)]):
+        (tmp_path / str(i)).mkdir()
+        (tmp_path / str(i) / "a.warc").write_bytes(content)
+        found = warc.read_archives(spark, f"file://{tmp_path}/{i}")
+        if n:
+            assert found.count() == n
+        else:
+            with pytest.raises(Exception, match="chain of records ends|no record at its start"):
+                found.collect()
+
+
 def test_pointer_jumping_leaves_unreached_candidates():
     at = np.array([0, 5, 10, 12, 20])
     assert warc.reachable(at, np.array([10, 12, 20, 20, 99])).tolist() == [True, False, True, False, True]
