@@ -2,14 +2,15 @@
 
 A logistic model over the presence of words and word beginnings. Beside the label
 loss it is charged for unfairness: every labelled text that names a group is paired
-with copies in which the group's term is swapped for another of its family, and the
-squared difference of the two scores is added with weight ``fairness``. Naming a
-group alone then moves a score little.
+with copies in which the group's term is swapped for another of its family, its
+beginnings with it where no other word of the text has them, and the squared
+difference of the two log-odds is added with weight ``fairness``. Naming a group
+alone then moves a score little.
 
 Fitting takes at most ``max_rows`` labelled rows (a documented bound; the rows with
 the least hash of their id). Texts become features inside tasks; what reaches the
-driver is the chosen rows' features, each feature at most once a row and at most
-``row_features`` of them by hash order. Scoring covers every text whole.
+driver is all features of the chosen rows, each feature once a row. Scoring covers
+every text whole.
 
 Of labelled rows that repeat an id, one is learned from. Null or empty texts: the
 score of the intercept. No usable labelled rows, or only
@@ -33,13 +34,13 @@ from pyspark.sql import types as T
 
 from routeloom.llm.common import Scratch, small_batches
 
-# Group terms, by family; a term is swapped for the others of its family.
+# Group terms, by family; a term is swapped for the others of its families.
 FAMILIES = [
     "man woman".split(), "men women".split(), "boy girl".split(), "male female".split(), "straight gay lesbian bisexual queer".split(), "cisgender transgender trans".split(),
     "white black asian latino hispanic arab african european american".split(), "christian muslim jewish hindu buddhist sikh atheist catholic".split(), "christians muslims jews hindus buddhists sikhs atheists catholics".split(),
     "young old elderly".split(), "deaf blind disabled".split(), "immigrant refugee native".split(), "immigrants refugees natives".split(), "homme femme".split(), "hombre mujer".split(), "mann frau".split(), "juif musulman chrétien".split(), "judío musulmán cristiano".split(), "jude muslim christ".split(),
 ]
-SWAPS = {t: [o for o in family if o != t] for family in FAMILIES for t in family}
+SWAPS = {t: [*dict.fromkeys(o for family in FAMILIES if t in family for o in family if o != t)] for family in FAMILIES for t in family}
 LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5)
 KEEP_WORDS = 400_000
@@ -61,6 +62,15 @@ def features(text: str) -> set[str]:
     return out
 
 
+def swaps(fs: set[str]) -> Iterator[tuple[list[str], list[str], float]]:
+    """(features lost, features won, share) of each copy of a text that names a term's like in its place."""
+    for term in sorted(fs & SWAPS.keys()):
+        rest = {b for w in fs if w != term and w[:3] == term[:3] and w[-1] != "_" for b in features_of_word(w)}
+        for other in SWAPS[term]:
+            new = features_of_word(other)
+            yield [f for f in features_of_word(term) if f not in rest and f not in new], [f for f in new if f not in fs], 1 / len(SWAPS[term])
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
@@ -108,20 +118,20 @@ def fit(rows: list[tuple[list[str], int]], *, fairness: float = 1.0, max_feature
     chosen = [f for f in ranked[:max_features] if strength(f) > 3]
     chosen = sorted({*chosen, *(t for t in SWAPS if t in in1 or t in in0)})
     index = {f: i for i, f in enumerate(chosen)}
-    r, c, pair_out, pair_in, pair_w = [], [], [], [], []
+    r, c = [], []
+    pairs: Counter[tuple[tuple[int, ...], tuple[int, ...]]] = Counter()  # copies by the columns they lose and win
     for k, (fs, _) in enumerate(rows):
         for f in sorted(fs):
             if (i := index.get(f)) is not None:
                 r.append(k)
                 c.append(i)
-            for other in SWAPS.get(f, ()):
-                if f in index:
-                    pair_out.append(index[f])
-                    pair_in.append(index.get(other, len(chosen)))
-                    pair_w.append(1 / len(SWAPS[f]))
+        for lost, won, part in swaps(set(fs)):
+            pairs[tuple(index[f] for f in lost if f in index), tuple(index[f] for f in won if f in index)] += part
     r, c = np.array(r, np.int64), np.array(c, np.int64)
-    a, b, pw = np.array(pair_out, np.int64), np.array(pair_in, np.int64), np.array(pair_w)
-    n = len(chosen) + 1  # the last is a term the rows never name: weight 0
+    pw = np.array(list(pairs.values()), float)
+    cells = [(k, i, sign) for k, sides in enumerate(pairs) for side, sign in zip(sides, (1, -1), strict=True) for i in side]
+    a, b, sign = (np.array([x[j] for x in cells], np.int64) for j in range(3))  # copy, column, whether lost or won
+    n = len(chosen)
     w, bias = np.zeros(n), base.intercept
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
@@ -130,18 +140,17 @@ def fit(rows: list[tuple[list[str], int]], *, fairness: float = 1.0, max_feature
         err = p - y
         g = np.bincount(c, err[r], n) / len(y) + ridge / 100 * w
         if len(a):
-            gap = pw * (w[a] - w[b]) * 2 * fairness / len(y)
-            g += np.bincount(a, gap, n) - np.bincount(b, gap, n)
+            gap = pw * np.bincount(a, sign * w[b], len(pw)) * 2 * fairness / len(y)
+            g += np.bincount(b, sign * gap[a], n)
         g = np.append(g, err.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) * min(1.0, 2 * (1 - t / (steps + 1)))
         w -= step[:-1] * 0.2
-        w[-1] = 0.0
         bias -= step[-1] * 0.2
     return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-4}, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, row_features: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **fit_options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **fit_options) -> Model:
     """Fit on the labelled documents; the caller chooses which labels may be seen."""
     small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("d"), F.col(label_col).cast("int").alias("y")).where("d is not null and y in (0, 1)").groupBy("d").agg(F.max("y").alias("y"))
@@ -149,15 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, row_fea
     texts = docs.select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for b in batches:
-            out = []
-            for t in b.column(2).to_pylist():
-                fs = features(t)
-                if len(fs) > row_features:
-                    fs = sorted(fs, key=lambda f: (f not in SWAPS, xxhash.xxh3_64_intdigest(f)))[:row_features]
-                out.append(sorted(fs))
+            out = [sorted(features(t)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.string()))], names=["d", "y", "fs"])
 
     rows = texts.join(least, "d").select("d", "y", "text").mapInArrow(run, "d long, y int, fs array<string>")

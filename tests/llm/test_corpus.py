@@ -226,6 +226,25 @@ def test_toxicity_learns_and_swaps_do_not_matter(spark, odd):
     assert 0 < toxicity.train(docs, labels.where("false")).score("x") < 1
 
 
+def test_swaps_take_the_beginnings_along(spark, monkeypatch):
+    r = random.Random(7)
+    rows = []
+    for i in range(400):
+        named = ["muslim"] if r.random() < (0.1 if i % 4 else 0.6) else []
+        bad = ["idiot"] if not i % 4 and r.random() < 0.9 else []
+        rows.append((sorted(toxicity.features(" ".join(["".join(r.choice("abcdefg") for _ in range(5)) for _ in range(20)] + bad + named))), int(not i % 4)))
+    model = toxicity.fit(rows)  # with the fairness that production has
+    assert abs(model.score("a muslim friend") - model.score("a christian friend")) < 0.05
+    lost, won, _ = next(x for x in toxicity.swaps(toxicity.features("a muslim likes music")) if "jewish" in x[1])
+    assert (lost, won) == (["muslim", "musl_", "musli_"], ["jewish", "jew_", "jewi_", "jewis_"])
+
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, **_: seen.extend(rows) or toxicity.Model())
+    text = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(20_000))
+    toxicity.train(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert set(seen[0][0]) == toxicity.features(text)
+
+
 def test_repeated_ids_keep_to_the_bound_on_labelled_rows(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(toxicity, "fit", lambda rows, **_: seen.extend(rows) or toxicity.Model())
