@@ -32,12 +32,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the smallest id. Rows that repeat an id become one."""
-    groups = near_dups.near_duplicates(docs, size=5, pct=80)
-    keep = Scratch(spark, "kept").save(groups.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("copies")), "ids")
-    stay = docs.join(keep.where("copies = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(keep.where("copies > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group stays: the smallest id. Rows that repeat both id and set become one."""
+    scratch = Scratch(spark, "kept")
+    groups = scratch.save(near_dups.near_duplicates(docs, size=5, pct=80, digests=True).where("doc_id is not null"), "groups")
+    ids = scratch.save(groups.groupBy("doc_id").agg(F.count("*").alias("copies"), F.max("kept").alias("kept")), "ids")
+    stay = docs.join(ids.where("copies = 1 and kept").select("doc_id"), "doc_id", "left_semi")
+    several = near_dups.with_digests(docs.join(ids.where("copies > 1 and kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns), 5)
+    own = several.join(groups.where("kept").select("doc_id", "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi")
+    repeated = own.where("n_shingles > 0").dropDuplicates(["doc_id", "hi", "lo"]).unionByName(own.where("n_shingles = 0")).select(*docs.columns)
+    return stay.select(*docs.columns).unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

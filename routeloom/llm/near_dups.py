@@ -16,9 +16,10 @@ is at most a few pairs for each two components that link, confirmed like the oth
 So no partner is dropped and no bucket is capped.
 
 Words are maximal runs of non-white-space characters, A-Z lower-cased. Null, empty
-and blank texts have empty sets and link with nothing. Of rows that share an id but
-differ in text, the largest set links and the others stand alone. A null id takes no
-part: its component is null and it is kept.
+and blank texts have empty sets and link with nothing. Nodes are distinct sets, so rows
+that share an id but differ in text each link by their own; a component is named by its
+smallest id, and of that id's rows those with one set are kept. A null id takes no part:
+its component is null and it is kept.
 """
 
 from __future__ import annotations
@@ -90,34 +91,52 @@ class MinHasher:
         return out.astype(np.uint32).view(np.int32)
 
 
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    import xxhash
+
+    d = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int, n_hashes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         hasher = MinHasher(n_hashes)
         for b in batches:
             n, hi, lo, sig = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingle_set(text, size)
-                d = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
-                hi.append((d >> 64) - (1 << 63))
-                lo.append((d & (1 << 64) - 1) - (1 << 63))
+                for side, x in zip((hi, lo), _digest(s), strict=True):
+                    side.append(x)
                 sig.append(hasher.sign(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], names=["doc", "n", "hi", "lo", "sig"])
 
     return with_text(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))).mapInArrow(run, "doc long, n long, hi long, lo long, sig array<int>")
 
 
+def with_digests(docs: DataFrame, size: int, text_col: str = "text") -> DataFrame:
+    """docs with n_shingles and the digest (hi, lo) of each row's set."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t or "", size) for t in b.column(at).to_pylist()]
+            more = [(len(s), *_digest(s)) for s in sets]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[i] for x in more], pa.int64()) for i in range(3))], names=[*b.schema.names, "n_shingles", "hi", "lo"])
+
+    return docs.mapInArrow(run, docs.select("*", *(F.lit(0).cast("long").alias(c) for c in ("n_shingles", "hi", "lo"))).schema)
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """docs (node, text): the full shingle sets."""
+    """docs (node, text): the full shingle sets and their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, size).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "items"])
+            sets = [shingle_set(t, size) for t in b.column(1).to_pylist()]
+            hi, lo = zip(*map(_digest, sets), strict=True) if sets else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["node", "items", "hi", "lo"])
 
-    return docs.mapInArrow(run, "node long, items array<long>")
+    return docs.mapInArrow(run, "node long, items array<long>, hi long, lo long")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -184,9 +203,9 @@ def _leftover_pairs(members: DataFrame, pct: int, block: int, best: int = 4) ->
 
 
 def near_duplicates(
-    docs: DataFrame, *, size: int = 5, pct: int = 80, k: int = 2, miss: float = 1e-4, rounds: int = 2, block: int = 512, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, size: int = 5, pct: int = 80, k: int = 2, miss: float = 1e-4, rounds: int = 2, block: int = 512, digests: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept.
+    """One row per input row: id, n_shingles, component_id, kept; with ``digests`` also its set's hi, lo.
 
     Documents link where 100 * shared shingles >= pct * all shingles of the two.
     """
@@ -200,7 +219,7 @@ def near_duplicates(
 
     sketched = scratch.save(_sketches(docs, id_col, text_col, size, hashes), "sketches")
     nodes = scratch.save(
-        sketched.where("n > 0 and doc is not null").groupBy("hi", "lo").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")).groupBy("node").agg(F.max_by(F.struct("hi", "lo", "n", "sig"), F.struct("n", "hi", "lo")).alias("s")).select("node", "s.*"),
+        sketched.where("n > 0 and doc is not null").groupBy("hi", "lo").agg(F.min("doc").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
 
@@ -214,13 +233,10 @@ def near_duplicates(
     )
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
     buckets = scratch.save(keys.join(shared, "key").select("key", "node"), "buckets")
-    met = buckets.select("node").distinct()
-    first_text = (
-        docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-        .join(met.withColumnRenamed("node", "doc"), "doc")
-        .select(F.col("doc").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    )
-    sets = scratch.save(_sets(first_text, size).join(nodes.select("node", "n"), "node").where(F.size("items") == F.col("n")).dropDuplicates(["node"]).select("node", "n", "items"), "sets")
+    met = buckets.select("node").distinct().join(nodes.select("node", "least"), "node")
+    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("text")).join(met, "least").select("node", F.coalesce("text", F.lit("")).alias("text"))
+    # an id may have other texts: the set must be the node's own
+    sets = scratch.save(_sets(texts, size).join(nodes.select("node", "n", "hi", "lo"), ["node", "hi", "lo"]).dropDuplicates(["node"]).select("node", "n", "items"), "sets")
     sigs = nodes.select("node", "n", "sig")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -270,11 +286,12 @@ def near_duplicates(
             merged = old.unionByName(step.join(labels.select("node"), "node", "left_anti"))
         labels = scratch.save(merged, f"labels-{r}")
 
-    members = nodes.select("hi", "lo", "node")
+    members = nodes.select("hi", "lo", "node", F.struct(F.col("least").alias("doc"), "node").alias("top"))
     if labels is not None:
-        members = members.join(labels, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
-    else:
-        members = members.withColumnRenamed("node", "component")
+        tops = labels.join(members.select("node", "top"), "node").groupBy("component").agg(F.min("top").alias("first"))
+        named = labels.join(tops, "component").select("node", "first")
+        members = members.join(named, "node", "left").withColumn("top", F.coalesce("first", "top"))
+    members = members.select("hi", "lo", F.col("top.doc").alias("component"), (F.col("node") == F.col("top.node")).alias("own"))
     out = sketched.select("doc", "n", "hi", "lo").join(members, ["hi", "lo"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc"))
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce((F.col("doc") == component) & F.coalesce("own", F.lit(True)), F.lit(True)).alias("kept"), *(["hi", "lo"] if digests else []))

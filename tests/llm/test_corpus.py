@@ -168,6 +168,20 @@ def test_near_duplicates_match_brute_force(spark, odd, none):
     assert near_dups.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 60), ("b", 40)))
+    rows = [(5, a), (5, b), (6, a + " more"), (7, b), (8, b + " more"), (9, "alone in all of this")]
+    out = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, pct=85).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in out) == [(5, 38, 5, True), (5, 58, 5, True), (6, 59, 5, False), (7, 38, 5, False), (8, 39, 5, False), (9, 3, 9, True)]
+
+    import corpus_pipeline
+
+    rows += [(5, a), (5, b + " more"), (None, a), (10, ""), (10, "")]
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(((x.doc_id or 0, x.text) for x in left if (x.doc_id or 0) != 5)) == [(0, a), (9, "alone in all of this"), (10, ""), (10, "")]
+    assert [x[0] for x in sorted(x.text for x in left if x.doc_id == 5)] == ["a", "b"]
+
+
 def test_decontamination_finds_edited_items(spark, odd, none):
     item = "the quick brown fox jumps over the lazy dog while seven wizards quietly box up jam"
     edited = item.replace("brown", "brwn").replace("lazy", "lazzy").upper()
