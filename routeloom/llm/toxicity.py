@@ -4,25 +4,25 @@ A logistic model over the presence of words and word beginnings. Beside the labe
 loss it is charged for unfairness: every labelled text that names a group is paired
 with copies in which the group's term is swapped for another of its family, its
 beginnings with it where no other word of the text has them, and the squared
-difference of the two log-odds is added with weight ``fairness``. Naming a group
-alone then moves a score little.
+difference of the two raw scores (log-odds) is added with weight ``fairness``. Naming
+a group alone then moves a score little.
 
 Fitting takes at most ``max_rows`` labelled rows (a documented bound; the rows with
-the least hash of their id). Texts become features inside tasks; what reaches the
-driver is all features of the chosen rows, each feature once a row. Scoring covers
-every text whole.
+the least hash of their id). Texts become features inside tasks, features are counted
+by class and chosen on Spark, and the driver gets the chosen rows as column numbers.
+Scoring covers every text whole, a very long one in one piece.
 
 Of labelled rows that repeat an id, one is learned from. Null or empty texts: the
-score of the intercept. No usable labelled rows, or only
-one class: the score is the smoothed share of label 1. Repeated rows: scored each.
-Labels, ids and other columns are never inputs of a score.
+score of the intercept. No usable labelled rows, or only one class: the score is the
+smoothed share of label 1. Repeated rows: scored each. Empty table: no rows. Labels,
+ids and other columns, whatever their names, are never inputs of a score: they travel
+in the struct ``row``.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -94,51 +94,76 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def fit(rows: list[tuple[list[str], int]], *, fairness: float = 1.0, max_features: int = 4000, min_rows: int = 4, ridge: float = 0.02, steps: int = 300, rate: float = 0.5) -> Model:
-    """rows: (features, label). Logistic regression with ridge and swap penalties, by full-batch Adam."""
-    y = np.array([label for _, label in rows], float)
+def choose(sample: DataFrame, *, max_features: int = 4000, min_rows: int = 4) -> list[str]:
+    """The model's features, from counts by class over the sample's rows (y, fs): the
+    ``max_features`` that tell the classes apart best, and all group terms that occur."""
+    totals = sample.agg(F.sum("y").alias("n1"), F.count("*").alias("n")).first()
+    n1, n0 = totals["n1"] or 0, totals["n"] - (totals["n1"] or 0)
+    counts = sample.select("y", F.explode("fs").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
+    a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
+    strength = F.round(F.abs(F.log(a / F.lit(n1 + 1)) - F.log(b / F.lit(n0 + 1))) / F.sqrt(1 / a + 1 / b), 9)
+    ranked = counts.where(F.col("n") >= min_rows).withColumn("s", strength).where("s > 3").orderBy(F.desc("s"), "f").limit(max_features)
+    terms = counts.where(F.col("f").isin(*SWAPS))
+    return sorted(r["f"] for r in ranked.select("f").union(terms.select("f")).distinct().collect())
+
+
+@dataclass
+class Coded:
+    """Labelled rows as columns of the chosen features: row k has columns[starts[k]:starts[k + 1]].
+    copies: (columns lost, columns won, weight) of swapped copies."""
+
+    y: np.ndarray
+    starts: np.ndarray
+    columns: np.ndarray
+    copies: list[tuple[np.ndarray, np.ndarray, float]]
+
+
+def coded(sample: DataFrame, chosen: list[str]) -> Coded:
+    """The sample's rows (d, y, fs) as column numbers. What reaches the driver is four bytes
+    for each chosen feature of a row, and the distinct swapped copies with their weights."""
+    index = {f: i for i, f in enumerate(chosen)}
+
+    def number(fs) -> bytes:
+        return np.array(sorted(index[f] for f in fs if f in index), "<i4").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copy = pa.struct([("lost", pa.binary()), ("won", pa.binary()), ("part", pa.float64())])
+        for batch in batches:
+            sets = [set(fs) for fs in batch.column(2).to_pylist()]
+            copies = [[{"lost": number(lost), "won": number(won), "part": part} for lost, won, part in swaps(fs)] for fs in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(number, sets), pa.binary()), pa.array(copies, pa.list_(copy))], names=["d", "y", "columns", "copies"])
+
+    rows = sample.select("d", "y", "fs").mapInArrow(run, "d long, y int, columns binary, copies array<struct<lost:binary,won:binary,part:double>>")
+    got = rows.select("d", "y", "columns").orderBy("d").toArrow()
+    columns = got.column("columns").to_pylist()
+    starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in columns])]).astype(np.int64)
+    pairs = rows.select(F.explode("copies").alias("c")).groupBy("c.lost", "c.won").agg(F.sum("c.part").alias("part")).orderBy("lost", "won").collect()
+    copies = [(np.frombuffer(r["lost"], "<i4"), np.frombuffer(r["won"], "<i4"), r["part"]) for r in pairs]
+    return Coded(got.column("y").to_numpy().astype(float), starts, np.frombuffer(b"".join(columns), "<i4").astype(np.int64), copies)
+
+
+def fit(rows: Coded, chosen: list[str], *, fairness: float = 1.0, ridge: float = 0.02, steps: int = 300, rate: float = 0.5) -> Model:
+    """Logistic regression with ridge and swap penalties, by full-batch Adam."""
+    y, n = rows.y, len(chosen)
     positive = y.sum()
     share = (positive + 1) / (len(y) + 2)
     base = Model({}, math.log(share / (1 - share)))
     if not 0 < positive < len(y):
         return base
-    n1, n0 = positive, len(y) - positive
-    in1: Counter[str] = Counter()
-    in0: Counter[str] = Counter()
-    for fs, label in rows:
-        (in1 if label else in0).update(fs)
-
-    def strength(f: str) -> float:
-        a, b = in1[f], in0[f]
-        gap = abs(math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1)))
-        return gap / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-
-    seen = [f for f in in1.keys() | in0.keys() if in1[f] + in0[f] >= min_rows]
-    ranked = sorted(seen, key=lambda f: (-strength(f), f))
-    chosen = [f for f in ranked[:max_features] if strength(f) > 3]
-    chosen = sorted({*chosen, *(t for t in SWAPS if t in in1 or t in in0)})
-    index = {f: i for i, f in enumerate(chosen)}
-    r, c = [], []
-    pairs: Counter[tuple[tuple[int, ...], tuple[int, ...]]] = Counter()  # copies by the columns they lose and win
-    for k, (fs, _) in enumerate(rows):
-        for f in sorted(fs):
-            if (i := index.get(f)) is not None:
-                r.append(k)
-                c.append(i)
-        for lost, won, part in swaps(set(fs)):
-            pairs[tuple(index[f] for f in lost if f in index), tuple(index[f] for f in won if f in index)] += part
-    r, c = np.array(r, np.int64), np.array(c, np.int64)
-    pw = np.array(list(pairs.values()), float)
-    cells = [(k, i, sign) for k, sides in enumerate(pairs) for side, sign in zip(sides, (1, -1), strict=True) for i in side]
-    a, b, sign = (np.array([x[j] for x in cells], np.int64) for j in range(3))  # copy, column, whether lost or won
-    n = len(chosen)
+    c, sizes = rows.columns, np.diff(rows.starts)
+    owner = np.repeat(np.arange(len(y)), sizes)
+    pw = np.array([part for _, _, part in rows.copies])
+    # of each cell of the copies: the copy, the column, whether lost or won
+    a = np.repeat(np.arange(len(pw)), [len(lost) + len(won) for lost, won, _ in rows.copies])
+    b = np.concatenate([np.concatenate([lost, won]) for lost, won, _ in rows.copies]).astype(np.int64) if len(pw) else np.empty(0, np.int64)
+    sign = np.concatenate([np.repeat([1.0, -1.0], [len(lost), len(won)]) for lost, won, _ in rows.copies]) if len(pw) else np.empty(0)
     w, bias = np.zeros(n), base.intercept
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
-        z = bias + np.bincount(r, w[c], len(y))
+        z = bias + np.bincount(owner, w[c], len(y))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         err = p - y
-        g = np.bincount(c, err[r], n) / len(y) + ridge / 100 * w
+        g = np.bincount(c, err[owner], n) / len(y) + ridge / 100 * w
         if len(a):
             gap = pw * np.bincount(a, sign * w[b], len(pw)) * 2 * fairness / len(y)
             g += np.bincount(b, sign * gap[a], n)
@@ -147,12 +172,11 @@ def fit(rows: list[tuple[list[str], int]], *, fairness: float = 1.0, max_feature
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) * min(1.0, 2 * (1 - t / (steps + 1)))
         w -= step[:-1] * 0.2
         bias -= step[-1] * 0.2
-    return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-4}, float(bias))
+    return Model({f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-4}, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **fit_options) -> Model:
-    """Fit on the labelled documents; the caller chooses which labels may be seen."""
-    small_batches(docs.sparkSession)
+def labelled_sample(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, max_rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(d, y, fs) of at most ``max_rows`` labelled rows, one an id, written to scratch."""
     known = labels.select(F.col(id_col).alias("d"), F.col(label_col).cast("int").alias("y")).where("d is not null and y in (0, 1)").groupBy("d").agg(F.max("y").alias("y"))
     least = known.orderBy(F.xxhash64("d"), "d").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -164,12 +188,20 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, id_col:
 
     rows = texts.join(least, "d").select("d", "y", "text").mapInArrow(run, "d long, y int, fs array<string>")
     # one row an id, so that repeated ids keep to the bound; written first, so that the texts are read in parallel
+    return scratch.save(rows.groupBy("d").agg(F.min(F.struct("y", "fs")).alias("r")).select("d", "r.*"), "sample")
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, max_features: int = 4000, min_rows: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **fit_options
+) -> Model:
+    """Fit on the labelled documents; the caller chooses which labels may be seen."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "toxicity")
-    sample = scratch.save(rows.groupBy("d").agg(F.min(F.struct("y", "fs")).alias("r")).select("d", "r.*"), "sample")
-    one: dict[str, str] = {}  # rows share the strings of their features
-    got = sorted(((r["d"], r["y"], [one.setdefault(f, f) for f in r["fs"]]) for r in sample.toLocalIterator()), key=lambda x: (x[0], x[1], x[2]))
+    sample = labelled_sample(docs, labels, scratch, max_rows=max_rows, id_col=id_col, text_col=text_col, label_col=label_col)
+    chosen = choose(sample, max_features=max_features, min_rows=min_rows)
+    model = fit(coded(sample, chosen), chosen, **fit_options)
     scratch.drop("sample")
-    return fit([(fs, y) for _, y, fs in got], **fit_options)
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:

@@ -244,27 +244,44 @@ def test_swaps_take_the_beginnings_along(spark, monkeypatch):
     r = random.Random(7)
     rows = []
     for i in range(400):
-        named = ["muslim"] if r.random() < (0.1 if i % 4 else 0.6) else []
+        named = [r.choice(["muslim", "gay", "jewish"])] if r.random() < (0.1 if i % 4 else 0.6) else []
         bad = ["idiot"] if not i % 4 and r.random() < 0.9 else []
-        rows.append((sorted(toxicity.features(" ".join(["".join(r.choice("abcdefg") for _ in range(5)) for _ in range(20)] + bad + named))), int(not i % 4)))
-    model = toxicity.fit(rows)  # with the fairness that production has
-    assert abs(model.score("a muslim friend") - model.score("a christian friend")) < 0.05
+        rows.append((i, " ".join(["".join(r.choice("abcdefg") for _ in range(5)) for _ in range(20)] + bad + named), int(not i % 4)))
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    gaps = []
+    for options in ({"fairness": 0.0}, {}, {"fairness": 20.0}):  # {}: with the fairness that production has
+        model = toxicity.train(docs, labels, **options)
+        gaps.append(abs(model.score("a muslim friend") - model.score("a christian friend")))
+    assert gaps[0] > 0.1 > 0.05 > gaps[1] >= gaps[2]
     lost, won, _ = next(x for x in toxicity.swaps(toxicity.features("a muslim likes music")) if "jewish" in x[1])
     assert (lost, won) == (["muslim", "musl_", "musli_"], ["jewish", "jew_", "jewi_", "jewis_"])
 
-    seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda rows, **_: seen.extend(rows) or toxicity.Model())
-    text = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(20_000))
-    toxicity.train(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
-    assert set(seen[0][0]) == toxicity.features(text)
 
+def test_toxicity_sample_keeps_its_bound_and_whole_texts(spark):
+    from routeloom.llm.common import Scratch
 
-def test_repeated_ids_keep_to_the_bound_on_labelled_rows(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda rows, **_: seen.extend(rows) or toxicity.Model())
+    options = {"id_col": "doc_id", "text_col": "text", "label_col": "toxic"}
     docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(60)], "doc_id long, text string")
-    toxicity.train(docs, spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int"), max_rows=2)
-    assert len(seen) == 2
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(docs, labels, Scratch(spark, "t"), max_rows=2, **options).count() == 2
+    text = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(20_000))
+    one = toxicity.labelled_sample(spark.createDataFrame([(1, text)], "doc_id long, text string"), labels, Scratch(spark, "t"), max_rows=9, **options).collect()
+    assert set(one[0].fs) == toxicity.features(text)
+
+
+def test_toxicity_of_held_out_documents(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = corpus_pipeline.toxicity_model(docs, d)
+    held = docs.join(labels.where(corpus_pipeline.fold(F.col("doc_id")) == 2).select("doc_id", "toxic").dropDuplicates(["doc_id"]), "doc_id")
+    got = sorted((r.score, r.toxic) for r in toxicity.score(held, model).select("score", "row.toxic").where("toxic is not null").collect())
+    ones = sum(y for _, y in got)
+    order = sum(i for i, (_, y) in enumerate(got, 1) if y)
+    area = (order - ones * (ones + 1) / 2) / (ones * (len(got) - ones))
+    hits = [(s >= 0.3) == y for s, y in got]
+    assert len(got) > 500 and area > 0.95 and sum(hits) / len(hits) > 0.95
 
 
 def test_pipeline_stages(spark, tmp_path):
