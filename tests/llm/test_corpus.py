@@ -244,15 +244,15 @@ def test_swaps_take_the_beginnings_along(spark, monkeypatch):
     r = random.Random(7)
     rows = []
     for i in range(400):
-        named = [r.choice(["muslim", "gay", "jewish"])] if r.random() < (0.1 if i % 4 else 0.6) else []
-        bad = ["idiot"] if not i % 4 and r.random() < 0.9 else []
+        named = ["muslim"] if r.random() < (0.1 if i % 4 else 0.6) else []
+        bad = ["idiot"] if not i % 4 and r.random() < 0.8 else []
         rows.append((i, " ".join(["".join(r.choice("abcdefg") for _ in range(5)) for _ in range(20)] + bad + named), int(not i % 4)))
     docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     gaps = []
     for options in ({"fairness": 0.0}, {}, {"fairness": 20.0}):  # {}: with the fairness that production has
         model = toxicity.train(docs, labels, **options)
         gaps.append(abs(model.score("a muslim friend") - model.score("a christian friend")))
-    assert gaps[0] > 0.1 > 0.05 > gaps[1] >= gaps[2]
+    assert gaps[0] > 2 * gaps[1] and 0.05 > gaps[1] > gaps[2], gaps
     lost, won, _ = next(x for x in toxicity.swaps(toxicity.features("a muslim likes music")) if "jewish" in x[1])
     assert (lost, won) == (["muslim", "musl_", "musli_"], ["jewish", "jew_", "jewi_", "jewis_"])
 
