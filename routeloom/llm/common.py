@@ -26,9 +26,11 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one only where none is set."""
+    """The shared folder named by the session. Only a session on this machine alone may do without one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/routeloom-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root

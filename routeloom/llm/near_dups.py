@@ -11,15 +11,17 @@ nodes of more than one component names one pivot, and its other members are held
 against it: pairs grow with the members, never with their square. Confirmed links
 merge components. Buckets that then still hold several components are gathered by
 pivot into canopies (members of a bucket share its pivot, hence a canopy), dealt in
-blocks of bounded size, and compared inside tasks on their sets; what leaves a task
-is at most a few pairs for each two components that link, confirmed like the others.
-So no partner is dropped and no bucket is capped.
+blocks of bounded size, and compared inside tasks on their full sets; what leaves a
+task is one link for each two components that have any. So no partner is dropped and
+no bucket is capped.
 
 Words are maximal runs of non-white-space characters, A-Z lower-cased. Null, empty
 and blank texts have empty sets and link with nothing. Nodes are distinct sets, so rows
 that share an id but differ in text each link by their own; a component is named by its
 smallest id, and of that id's rows those with one set are kept. A null id takes no part:
-its component is null and it is kept.
+its component is null and it is kept. Ids must be whole numbers: others are refused.
+A very long text is one set in one task. Empty table: no rows. Other columns, whatever
+their names, play no part.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from routeloom.llm.common import Scratch, small_batches, with_text
 from routeloom.llm.components import components
@@ -141,7 +144,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
     """Sizes of the intersections of all left with all right sets of small numbers."""
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(left), len(right)))
     if not left or not right:
         return out
     side = []
@@ -161,18 +164,21 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096
     return out
 
 
-def _leftover_pairs(members: DataFrame, pct: int, block: int, best: int = 4) -> DataFrame:
-    """members (canopy, node, comp, n, items): pairs of a canopy's members that lie in different
-    components and whose sets link. For each pair of components a block gives its ``best`` pairs:
-    one link joins them."""
-    sizes = members.groupBy("canopy").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("chunks"))
-    dealt = members.join(sizes, "canopy").withColumn("c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+def _leftover_links(members: DataFrame, pct: int, block: int, salts: int = 16) -> DataFrame:
+    """members (canopy, node, comp, n, items): links between a canopy's members that lie in different
+    components, judged on full sets. For each pair of components a block gives its closest link:
+    one joins them."""
+    chunks = F.ceil(F.count("*") / F.lit(block)).cast("int")
+    # only canopies of several blocks need their count; it meets their members by salt
+    large = members.groupBy("canopy").agg(chunks.alias("chunks")).where("chunks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(large, ["canopy", "salt"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("c", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
     # a member of chunk c meets every chunk once: cell (lesser, greater)
     cells = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"x": F.least("c", "o"), "y": F.greatest("c", "o")})
 
     def compare(key, t):
         node, comp, n, c = (t.column(v).to_numpy() for v in ("node", "comp", "n", "c"))
-        found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+        found: dict[tuple[int, int], tuple[float, int, int]] = {}
         kinds, counts = np.unique(comp, return_counts=True)
         if len(kinds) > 1:
             raw = t.column("items").combine_chunks()
@@ -186,18 +192,12 @@ def _leftover_pairs(members: DataFrame, pct: int, block: int, best: int = 4) ->
             for rows, cols in ((left[small[left]], right), (left[~small[left]], right[small[right]])):
                 i = _overlaps([sets[r] for r in rows], [sets[r] for r in cols])
                 spare = 100 * i - pct * (n[rows][:, None] + n[cols][None] - i)
-                # items travel in 31 bits: allow for as many chance collisions as a set may hold
-                slack = (100 + pct) * np.ceil(float(n.max()) ** 2 / 2**30)
-                for r, k in zip(*np.nonzero((spare >= -slack) & (comp[rows][:, None] != comp[cols][None])), strict=True):
+                for r, k in zip(*np.nonzero((spare >= 0) & (comp[rows][:, None] != comp[cols][None])), strict=True):
                     u, v = rows[r], cols[k]
                     pair = (int(min(comp[u], comp[v])), int(max(comp[u], comp[v])))
-                    kept = found.setdefault(pair, [])
-                    kept.append((float(-spare[r, k]), int(node[u]), int(node[v])))
-                    if len(kept) > 64:
-                        kept.sort()
-                        del kept[best:]
-        out = [x[1:] for kept in found.values() for x in sorted(kept)[:best]]
-        return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
+                    found[pair] = min(found.get(pair, (math.inf, 0, 0)), (float(-spare[r, k]), int(node[u]), int(node[v])))
+        out = list(found.values())
+        return pa.table({"u": pa.array([x[1] for x in out], pa.int64()), "v": pa.array([x[2] for x in out], pa.int64())})
 
     return cells.groupBy("canopy", "x", "y").applyInArrow(compare, "u long, v long").distinct()
 
@@ -210,6 +210,8 @@ def near_duplicates(
     Documents link where 100 * shared shingles >= pct * all shingles of the two.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be of a whole-number type, not {docs.schema[id_col].dataType.simpleString()}")
     small_batches(spark)
     scratch = Scratch(spark, "neardups")
     m = groups_for(pct / 100, k, miss)
@@ -255,6 +257,7 @@ def near_duplicates(
         return pairs.join(a, "u").join(b, "v").where(fits & (same >= agree)).select("u", "v")
 
     labels: DataFrame | None = None
+    last = -1
     merged: DataFrame | None = None
     for r in range(rounds + 1):
         if labels is None:
@@ -267,9 +270,8 @@ def near_duplicates(
             found = near(star)
         else:
             canopies = at.join(mixed.select("key", F.col("pivot.node").alias("canopy")), "key").select("canopy", "node", "comp").distinct()
-            short = F.transform("items", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("items")
-            found = _leftover_pairs(canopies.join(sets.select("node", "n", short), "node"), pct, block)
-        edges = scratch.save(linked(found), f"links-{r}")
+            found = _leftover_links(canopies.join(sets, "node"), pct, block)
+        edges = scratch.save(linked(found) if r < rounds else found, f"links-{r}")
         if not edges.limit(1).count():
             if r < rounds:
                 continue
@@ -284,7 +286,12 @@ def near_duplicates(
             up = step.select(F.col("node").alias("component"), F.col("component").alias("top"))
             old = labels.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
             merged = old.unionByName(step.join(labels.select("node"), "node", "left_anti"))
-        labels = scratch.save(merged, f"labels-{r}")
+        labels, last = scratch.save(merged, f"labels-{r}"), r
+
+    for used in ("buckets", "sets", *(f"{x}-{r}" for r in range(rounds + 1) for x in ("links", "components"))):
+        scratch.drop(used)
+    for r in range(last):
+        scratch.drop(f"labels-{r}")
 
     members = nodes.select("hi", "lo", "node", F.struct(F.col("least").alias("doc"), "node").alias("top"))
     if labels is not None:

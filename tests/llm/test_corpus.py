@@ -166,6 +166,22 @@ def test_near_duplicates_match_brute_force(spark, odd, none):
     some = {(x.doc_id, x.n_shingles, x.component_id, x.kept) for x in near_dups.near_duplicates(odd).collect()}
     assert {(1, 0, 1, True), (2, 0, 2, True), (4, 1, 4, True), (5, 1, 4, False)} <= some
     assert near_dups.near_duplicates(none).count() == 0
+    with pytest.raises(TypeError):
+        near_dups.near_duplicates(none.withColumn("doc_id", F.lit("a")))
+
+
+def test_leftover_links_of_a_hot_canopy(spark):
+    """Members that share a common passage only, and a few that link: none is lost in any block."""
+    r = np.random.default_rng(5)
+    common = r.integers(0, 1 << 62, 40)
+    sets = [np.concatenate([common, r.integers(0, 1 << 62, 60)]) for _ in range(150)]
+    sets += [np.concatenate([s[:95], r.integers(0, 1 << 62, 5)]) for s in sets[::7]]
+    rows = [(3, i, i, 100, s.tolist()) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "canopy long, node long, comp long, n long, items array<long>")
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 185 * len(np.intersect1d(sets[i], sets[j])) >= 85 * 200}
+    assert len(want) == 22
+    for block in (16, 512):
+        assert {(min(x.u, x.v), max(x.u, x.v)) for x in near_dups._leftover_links(members, 85, block).collect()} == want
 
 
 def test_near_duplicates_of_repeated_ids(spark):
