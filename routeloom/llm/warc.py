@@ -14,12 +14,16 @@ resolved over the small candidate rows by pointer jumping: the jump of every
 candidate doubles each step, so a file of n records takes log2(n) steps. Headers may
 have any length; a file whose chain does not end at its last byte is an error.
 
-Files are compressed as one stream each; offsets count its uncompressed bytes. An
-archive file holds at most ``max_records`` records, which bounds a task's bytes
-and a file's chain. Null html: an empty payload. Rows that repeat both id and
-payload of a response are responses too. A null id sorts last; its page is a
-response where no other page has the payload. Empty table: no records. Columns
-other than id, url and html are not archived.
+Payload digests are taken only of records that the chain reaches, so forged heads
+inside a payload cost their own bytes and no more.
+
+Files are compressed as one stream each; offsets count its uncompressed bytes. Pages
+are written by classes of size, and an archive file holds so few records that its
+payloads stay within ``file_bytes``, or one record where a page alone is larger: that
+bounds a task's bytes and a file's chain. Null html: an empty payload. Rows that repeat
+both id and payload of a response are responses too. A null id sorts last; its page is
+a response where no other page has the payload. Empty table: no records. Columns other
+than id, url and html are not archived.
 """
 
 from __future__ import annotations
@@ -34,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import Scratch
+from routeloom.llm.common import Scratch, small_batches
 
 MAGIC = b"WARC/1.1\r\n"
 GZIP = b"\x1f\x8b"
 END = "\r\n\r\n"
 WINDOW = 1 << 20
+#: Upper bounds of the size classes of payloads, in bytes; the last class has none.
+CLASSES = [1 << 14, 1 << 18, 1 << 22]
 
 
 def _base32(hex_digest):
@@ -60,8 +66,20 @@ def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, max_records: int = 10_000, compression: str = "gzip", date: str = "2024-01-01T00:00:00Z") -> None:
-    """One record per row, in files of at most ``max_records``."""
+def write_archives(
+    pages: DataFrame, path: str, *, min_bytes: int = 0, max_records: int = 10_000, file_bytes: int = 160_000_000, compression: str = "gzip", date: str = "2024-01-01T00:00:00Z"
+) -> None:
+    """One record per row, in files of at most ``max_records`` whose payloads fit ``file_bytes``."""
+    n = F.coalesce(F.octet_length("html"), F.lit(0))
+    number = sum((n > top).cast("int") for top in CLASSES)
+    present = {r["c"]: r["top"] for r in pages.select(number.alias("c"), n.alias("n")).groupBy("c").agg(F.max("n").alias("top")).collect()}
+    for c, top in sorted(present.items() or [(0, 0)]):
+        own = min(max_records, max(1, file_bytes // max(1, top)))
+        _write_class(pages.where(number == c), f"{path}/class={c}", min_bytes, own, compression, date)
+
+
+def _write_class(pages: DataFrame, path: str, min_bytes: int, max_records: int, compression: str, date: str) -> None:
+    # equal payloads have one size, so a class has all rows of a digest
     rows = decide(pages, min_bytes).withColumn("b32", _base32(F.col("digest")))
     uri = F.regexp_replace(F.coalesce(F.when(F.trim("url") != "", F.col("url")), F.lit("about:blank")), r"[\x00-\x20]", "%20")
     uid = lambda c: F.regexp_replace(F.md5(F.coalesce(c.cast("string"), F.lit("-"))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
@@ -96,8 +114,29 @@ def _find(raw: memoryview, what: bytes, at: int, upto: int) -> int:
     return -1
 
 
+def _hits(raw: memoryview) -> Iterator[tuple[int, int, int, dict[bytes, bytes]]]:
+    """(offset, block's offset, successor's offset, fields) of every hit of the magic that heads a record."""
+    size = len(raw)
+    stop = _find(raw, b"\r\n\r\n", 0, size)
+    for start in range(0, size, WINDOW):
+        window = bytes(raw[start : start + WINDOW + len(MAGIC) - 1])
+        hit = window.find(MAGIC)
+        while hit >= 0:
+            at, hit = start + hit, window.find(MAGIC, hit + 1)
+            if 0 <= stop < at:  # else the empty line found last is the first from here too
+                stop = _find(raw, b"\r\n\r\n", at, size)
+            # a line of the magic inside is no header field
+            if stop < 0 or _find(raw, b"\r\n" + MAGIC, at, stop + 2) >= 0:
+                continue
+            fields = _parse(bytes(raw[at:stop]))
+            length = _number(fields.get(b"content-length"))
+            if length is not None and 0 <= length <= size - stop - 8:
+                yield at, stop + 4, stop + 8 + length, fields
+
+
 def candidates(files: DataFrame) -> DataFrame:
-    """files (path, content): a row for every hit of the magic, payload or not."""
+    """files (path, content): a row for every hit of the magic, payload or not. Those that no chain
+    of this file's offsets reaches have no digest of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["file", "at", "next", "size", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "stored_digest"]
@@ -108,31 +147,21 @@ def candidates(files: DataFrame) -> DataFrame:
                 data = content.as_buffer()
                 if data[:2].to_pybytes() == GZIP:
                     data = gzip.decompress(data)
-                raw, size, before = memoryview(data), len(data), len(out)
-                stop = _find(raw, b"\r\n\r\n", 0, size)
-                for start in range(0, size, WINDOW):
-                    window = bytes(raw[start : start + WINDOW + len(MAGIC) - 1])
-                    hit = window.find(MAGIC)
-                    while hit >= 0:
-                        at, hit = start + hit, window.find(MAGIC, hit + 1)
-                        if 0 <= stop < at:  # else the empty line found last is the first from here too
-                            stop = _find(raw, b"\r\n\r\n", at, size)
-                        # a line of the magic inside is no header field
-                        if stop < 0 or _find(raw, b"\r\n" + MAGIC, at, stop + 2) >= 0:
-                            continue
-                        fields = _parse(bytes(raw[at:stop]))
-                        length = _number(fields.get(b"content-length"))
-                        if length is None or length < 0 or stop + 8 + length > size:
-                            continue
-                        block = bytes(raw[stop + 4 : stop + 4 + length])
-                        payload = block.partition(b"\r\n\r\n")[2]
-                        own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        kind = fields.get(b"warc-type", b"").decode("utf-8", "replace")
-                        whole = kind == "response"
-                        stored = fields.get(b"warc-payload-digest", b"").rpartition(b":")[2].decode("utf-8", "replace")
-                        out.append((path, at, stop + 8 + length, size, _number(fields.get(b"x-page-id")), len(payload) if whole else _number(fields.get(b"x-payload-length")), own if whole else stored, kind, _number(fields.get(b"x-refers-to-page-id")), stored))
-                if size and (len(out) == before or out[before][1]):
+                raw, size = memoryview(data), len(data)
+                hits = list(_hits(raw))
+                if size and not (hits and hits[0][0] == 0):
                     raise ValueError(f"{path}: no record at its start")
+                worth = reachable(np.array([h[0] for h in hits], np.int64), np.array([h[2] for h in hits], np.int64))
+                for (at, block, following, fields), hash_it in zip(hits, worth.tolist(), strict=True):
+                    kind = fields.get(b"warc-type", b"").decode("utf-8", "replace")
+                    stored = fields.get(b"warc-payload-digest", b"").rpartition(b":")[2].decode("utf-8", "replace")
+                    length, digest = _number(fields.get(b"x-payload-length")), stored
+                    if kind == "response":
+                        length = digest = None
+                        if hash_it:
+                            payload = bytes(raw[block : following - 4]).partition(b"\r\n\r\n")[2]
+                            length, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                    out.append((path, at, following, size, _number(fields.get(b"x-page-id")), length, digest, kind, _number(fields.get(b"x-refers-to-page-id")), stored))
             cols = list(zip(*out, strict=True)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
@@ -171,9 +200,8 @@ def chained(found: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under a path, one row each."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(key, str(min(8, int(spark.conf.get(key, "10000")))))  # whole files: a few to a batch
+    small_batches(spark, 8)  # whole files: a few to a batch
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "content")
     return chained(candidates(files))
 
 

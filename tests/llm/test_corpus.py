@@ -354,6 +354,21 @@ def test_warc_long_headers_and_broken_chains(spark, tmp_path):
                 found.collect()
 
 
+def test_warc_forged_heads_repeats_and_large_pages(spark):
+    heads = "".join(f"WARC/1.1\r\nWARC-Type: response\r\nX-Page-Id: {i}\r\nContent-Length: {700_000 - 70 * i}\r\n\r\n" for i in range(10_000))
+    rows = [(1, "http://a", heads + "x" * 100_000), (2, "http://b", "y" * 5_000_000), (3, "http://c", "short"), (3, "http://c", "short"), (4, "http://d", "short"), (None, "http://e", "short"), (5, "http://f", "z" * 300_000)]
+    got = sorted(((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
+    want = [(i or 0, len(h), "revisit" if i in (4, None) else "response", 3 if i in (4, None) else None) for i, _, h in rows]
+    assert got == sorted(want, key=str)
+
+
+def test_warc_files_hold_bounded_payloads(spark, tmp_path):
+    pages = spark.range(300).selectExpr("id page_id", "'u' url", "repeat(cast(id as string), cast(10 + 40 * id as int)) html").repartition(1)
+    warc.write_archives(pages, f"file://{tmp_path}/w", file_bytes=400_000)
+    by_file = warc.candidates(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{tmp_path}/w").select("path", "content")).groupBy("file").agg(F.sum("payload_bytes").alias("n")).collect()
+    assert len(by_file) > 10 and max(r.n for r in by_file) <= 400_000
+
+
 def test_pointer_jumping_leaves_unreached_candidates():
     at = np.array([0, 5, 10, 12, 20])
     assert warc.reachable(at, np.array([10, 12, 20, 20, 99])).tolist() == [True, False, True, False, True]
