@@ -1,18 +1,21 @@
 """Secret scanning: base patterns and a linear-chain conditional random field.
 
 The base patterns (assignments, access ids, long hex) give spans that always stay.
-Beside them a linear-chain CRF tags tokens as begin, inside or outside a secret from
-their shape, the words around them and features of the whole file, and is decoded by
-Viterbi. Tokens with no digit and no credential word near them have no evidence in
-the model, so chains are decoded in stretches around digits and credential words,
-over the whole text; overlapping stretches are joined.
+Beside them a linear-chain CRF tags every token of the text as begin, inside or outside
+a secret from its shape, the words around it and features of the whole file, and is
+decoded by Viterbi. Scores of all tokens are computed; from them follows, for each
+place, the most that a secret beginning there could add to the best path. Where that
+is below zero for a whole stretch, the best path is outside there, so the recursion
+runs over the other stretches only, with outside on both borders: the result is that
+of the whole chain.
 
 The field is trained here, on sequences this module writes from a seed: credentials
 of many formats in code and prose, and look-alikes (dates, versions, phone and card
 numbers, addresses, paths, decorated words).
 
 Offsets are code points, end exclusive. Null or empty text: no spans. Repeated rows:
-scanned each. All other columns pass through ``redact`` unchanged, n_chars aside.
+scanned each. Empty table: no rows. A very long text is one chain in one task. All
+other columns, whatever their names, pass through ``redact`` unchanged.
 """
 
 from __future__ import annotations
@@ -39,12 +42,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CREDENTIAL_WORDS = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "credential", "bearer", "private_key", "pwd")
 PREFIXES = ("ghp_", "gho_", "sk-", "sk_live_", "xoxb-", "xoxp-", "glpat-", "eyJ", "AIza", "ya29.", "npm_", "shpat_")
+WORDS = re.compile("|".join(map(re.escape, CREDENTIAL_WORDS)))
 KINDS = {"assign": 0, "access": 1, "hex": 2, "crf": 3}
 
-DIGITS = re.compile(r"[0-9]+")
 TOKEN = re.compile(r"[A-Za-z0-9+/_.\-]+|[^\sA-Za-z0-9+/_.\-]")
-TOKEN_CHARS = frozenset(string.ascii_letters + string.digits + "+/_.-")
-BEFORE, AFTER, LEAST = 64, 32, 12
+LONG = 12  # characters from which entropy and changes of kind are features
+KEEP_TOKENS = 400_000
 TAGS = 3  # outside, begin, inside
 
 
@@ -74,36 +77,54 @@ def shape(t: str) -> str:
     return "".join(out[:6])
 
 
+def is_word(token: str) -> bool:
+    return WORDS.search(token.lower()) is not None
+
+
+def length_kind(token: str) -> int:
+    return min(len(token), 64).bit_length()
+
+
+def character_kinds(token: str) -> int:
+    """How many of digits, upper case and lower case it has."""
+    return any(map(str.isdigit, token)) + any(map(str.isupper, token)) + any(c.isalpha() and not c.isupper() for c in token)
+
+
+def neighbour(token: str) -> str:
+    return token if len(token) == 1 and not token.isalnum() else "w"
+
+
+def own_features(t: str) -> list[str]:
+    """What a token shows by itself."""
+    n, classes = len(t), character_kinds(t)
+    digits, letters = sum(map(str.isdigit, t)), sum(map(str.isalpha, t))
+    f = ["bias", f"len{length_kind(t)}", f"classes{classes}", f"shape:{shape(t)}"]
+    if n >= LONG:
+        switches = sum(a.isdigit() != b.isdigit() for a, b in zip(t, t[1:], strict=False))
+        f += [f"entropy{int(_entropy(t) * 2)}", f"switches{min(switches, 8) // 2}", f"classes{classes}long"]
+    if digits == n:
+        f.append("number")
+    if (n - digits - letters) * 4 > n or "." in t or "/" in t:
+        f.append("punctuated")
+    if any(t.startswith(p) for p in PREFIXES):
+        f.append("prefix")
+    if is_word(t):
+        f.append("word")
+    return f
+
+
+def near_features(near: int, classes: int, length: int) -> list[str]:
+    """near: how many tokens back the closest credential word is, 0 for none within 4."""
+    return [f"word-{near}", f"after-word:classes{classes}", f"after-word:len{length}"] if near else ["noword"]
+
+
 def token_features(tokens: list[str], file_features: list[str]) -> list[list[str]]:
-    low = [t.lower() for t in tokens]
-    words = [any(w in t for w in CREDENTIAL_WORDS) for t in low]
+    words = list(map(is_word, tokens))
     out = []
     for i, t in enumerate(tokens):
-        n = len(t)
-        digits, upper = sum(map(str.isdigit, t)), sum(map(str.isupper, t))
-        letters = sum(map(str.isalpha, t))
-        lower, other = letters - upper, n - digits - letters
-        classes = (digits > 0) + (upper > 0) + (lower > 0)
-        switches = sum(a.isdigit() != b.isdigit() for a, b in zip(t, t[1:], strict=False))
-        f = ["bias", f"len{min(n, 64).bit_length()}", f"classes{classes}", f"shape:{shape(t)}"]
-        if n >= LEAST:
-            f += [f"entropy{int(_entropy(t) * 2)}", f"switches{min(switches, 8) // 2}", f"classes{classes}long"]
-        if digits == n:
-            f.append("number")
-        if other * 4 > n or "." in t or "/" in t:
-            f.append("punctuated")
-        if any(t.startswith(p) for p in PREFIXES):
-            f.append("prefix")
-        if words[i]:
-            f.append("word")
-        near = [d for d in (1, 2, 3, 4) if i >= d and words[i - d]]
-        f.append(f"word-{near[0]}" if near else "noword")
-        if near:
-            f += [f"after-word:classes{classes}", f"after-word:len{min(n, 64).bit_length()}"]
-        for d in (-1, 1):
-            if 0 <= i + d < len(tokens):
-                u = tokens[i + d]
-                f.append(f"{d}:{u if len(u) == 1 and not u.isalnum() else 'w'}")
+        near = next((d for d in (1, 2, 3, 4) if i >= d and words[i - d]), 0)
+        f = own_features(t) + near_features(near, character_kinds(t), length_kind(t))
+        f += [f"{d}:{neighbour(tokens[i + d])}" for d in (-1, 1) if 0 <= i + d < len(tokens)]
         out.append(f + file_features)
     return out
 
@@ -127,23 +148,62 @@ class Field:
         self.moves = np.zeros((TAGS, TAGS))
         self.moves[0, 2] = -1e4  # inside follows begin or inside alone
         self.first = np.array([0.0, 0.0, -1e4])
+        self._coder: Coder | None = None
 
     def emissions(self, fs: list[list[str]]) -> np.ndarray:
         zero = np.zeros(TAGS)
         return np.array([sum((self.weights.get(f, zero) for f in row), np.zeros(TAGS)) for row in fs])
 
-    def decode(self, fs: list[list[str]]) -> list[int]:
-        e = self.emissions(fs)
-        score, back = self.first + e[0], []
+    def path(self, e: np.ndarray, before: bool = False, after: bool = False) -> list[int]:
+        """The best tags of tokens with scores e; before, after: outside is on that border."""
+        score, back = (self.moves[0] if before else self.first) + e[0], []
         for row in e[1:]:
             total = score[:, None] + self.moves
             back.append(total.argmax(axis=0))
             score = total.max(axis=0) + row
-        tags = [int(score.argmax())]
+        tags = [int((score + self.moves[:, 0] if after else score).argmax())]
         for b in reversed(back):
             tags.append(int(b[tags[-1]]))
         return tags[::-1]
 
+    def stretches(self, e: np.ndarray) -> list[tuple[int, int]]:
+        """[first, last] of the tokens that the best path may tag begin or inside: elsewhere it is outside.
+
+        A secret from i to j adds at most enter + leave + begin_i + inside_(i+1) + ... + inside_j
+        to the path without it, whatever stands beside it; one that adds less than nothing is in no best path.
+        """
+        m = self.moves - self.moves[0, 0]
+        enter = (m[:, 1] - m[:, 0]).max()
+        leave = max(0.0, (m[1:, :2] - m[0, :2]).max())
+        begin = e[:, 1] - e[:, 0] + enter
+        begin[0] = max(begin[0], begin[0] - enter + self.first[1] - self.first[0])
+        inside = np.cumsum(e[:, 2] - e[:, 0] + m[1:, 2].max())
+        most = np.maximum.accumulate(inside[::-1])[::-1]  # falls from left to right
+        starts = np.flatnonzero(begin + leave - inside + most > -1e-6)
+        if not len(starts):
+            return []
+        lasts = np.searchsorted(-most, (begin + leave - inside)[starts] + 1e-6) - 1
+        out: list[list[int]] = []
+        for a, b in zip(starts.tolist(), np.maximum(lasts, starts).tolist(), strict=True):
+            if out and a <= out[-1][1] + 1:
+                out[-1][1] = max(out[-1][1], b)
+            else:
+                out.append([a, b])
+        return [(a, b) for a, b in out]
+
+    def decode(self, e: np.ndarray) -> list[tuple[int, list[int]]]:
+        """(first token, tags) of the stretches that are not surely outside."""
+        n = len(e)
+        return [(a, self.path(e[a : b + 1], a > 0, b < n - 1)) for a, b in (self.stretches(e) if n else [])]
+
+    def coder(self) -> "Coder":
+        if self._coder is None:
+            self._coder = Coder(self)
+        return self._coder
+
+    def __getstate__(self):
+        return self.__dict__ | {"_coder": None}
+
     def step(self, fs: list[list[str]], tags: list[int], rate: float, decay: float) -> None:
         """One stochastic gradient step on the log-likelihood of a tagged sequence."""
         e = self.emissions(fs)
@@ -172,6 +232,60 @@ class Field:
             self.moves += rate * 0.2 * g
 
 
+class Coder:
+    """Scores of token sequences. Tokens that show the same share a row; a token's row is kept."""
+
+    def __init__(self, field: Field):
+        self.field = field
+        self.ids: dict[str, int] = {}
+        self.kinds: dict[tuple, int] = {}
+        self.plain: dict[tuple, int] = {}
+        # of each row: its own scores, those it gives its next and its previous token, then word, classes, length
+        self.rows = np.zeros((1024, 3 * TAGS + 3))
+        self.near = np.array([[[self.sums(near_features(d, c, n)) for n in range(8)] for c in range(4)] for d in range(5)])
+
+    def sums(self, fs: list[str]) -> np.ndarray:
+        return self.field.emissions([fs])[0]
+
+    def row(self, t: str) -> int:
+        fs = own_features(t)
+        kind = (neighbour(t), *fs)
+        at = self.kinds.setdefault(kind, len(self.kinds))
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        if at == len(self.kinds) - 1:
+            self.rows[at] = [*self.sums(fs), *self.sums([f"-1:{kind[0]}"]), *self.sums([f"1:{kind[0]}"]), is_word(t), character_kinds(t), length_kind(t)]
+        return at
+
+    def learn(self, tokens: set[str]) -> None:
+        if len(self.ids) > KEEP_TOKENS:
+            self.ids.clear()
+        ids, plain = self.ids, self.plain
+        for t in tokens.difference(ids):
+            if len(t) < LONG and t.isascii() and t.isalpha() and t.islower():
+                # lower-case letters alone: length, credential words and known beginnings are all there is
+                key = (len(t), is_word(t), t.startswith(PREFIXES))
+                if (at := plain.get(key)) is None:
+                    at = plain[key] = self.row(t)
+                ids[t] = at
+            else:
+                ids[t] = self.row(t)
+
+    def emissions(self, tokens: list[str], file_features: list[str]) -> np.ndarray:
+        """Equal to the sums of the tokens' feature weights."""
+        if unknown := set(tokens).difference(self.ids):
+            self.learn(unknown if len(self.ids) <= KEEP_TOKENS else set(tokens))
+        rows = self.rows[np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))]
+        word, classes, length = rows[:, 3 * TAGS :].astype(np.int64).T
+        near = np.zeros(len(tokens), np.int64)
+        for d in (4, 3, 2, 1):
+            near[d:][word[:-d] > 0] = d
+        e = rows[:, :TAGS] + self.near[near, classes, length] + self.field.emissions([file_features])[0]
+        e[1:] += rows[:-1, TAGS : 2 * TAGS]
+        e[:-1] += rows[1:, 2 * TAGS : 3 * TAGS]
+        return e
+
+
 def _sequences(seed: int, n: int) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     """(text, secret spans) of written examples."""
     r = random.Random(seed)
@@ -237,68 +351,24 @@ def train_field(seed: int = 5, sequences: int = 900, epochs: int = 6, rate: floa
     return field
 
 
-def stretches(text: str, low: str) -> list[tuple[int, int]]:
-    """Where the field could find anything: around long tokens with digits, and after credential words."""
-    marks = []
-    words: list[int] = []
-    if len(low) == len(text):
-        for w in CREDENTIAL_WORDS:
-            at = low.find(w)
-            while at >= 0:
-                words.append(at)
-                at = low.find(w, at + 1)
-    else:
-        words = [m.start() for w in CREDENTIAL_WORDS for m in re.finditer(re.escape(w), text, re.I | re.A)]
-    done = -1
-    for m in DIGITS.finditer(text):
-        a, b = m.span()
-        if a < done:
-            continue
-        while a > 0 and text[a - 1] in TOKEN_CHARS:
-            a -= 1
-        while b < len(text) and text[b] in TOKEN_CHARS:
-            b += 1
-        done = b
-        if b - a >= LEAST and not (b - a == m.end() - m.start()):
-            marks.append((a, b))
-    marks += [(w, min(len(text), w + 48)) for w in words]
-    out: list[list[int]] = []
-    for a, b in sorted(marks):
-        a, b = max(0, a - BEFORE), min(len(text), b + AFTER)
-        while a > 0 and text[a - 1] in TOKEN_CHARS:
-            a -= 1
-        while b < len(text) and text[b] in TOKEN_CHARS:
-            b += 1
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
-    low = text.lower()
-    places = stretches(text, low)
-    if not places:
+    tokens = TOKEN.findall(text)
+    if not tokens:
         return []
-    of_file, out = features_of_file(text, low), []
-    for a, b in places:
-        found = list(TOKEN.finditer(text, a, b))
-        if not found:
-            continue
-        start = None
-        for m, tag in zip(found, field.decode(token_features([m[0] for m in found], of_file)), strict=True):
-            if tag == 2 and start is not None:
-                end = m.end()
-                continue
-            if start is not None:
-                out.append((start, end))
-                start = None
+    found = field.decode(field.coder().emissions(tokens, features_of_file(text, text.lower())))
+    if not any(any(tags) for _, tags in found):
+        return []
+    places = [m.span() for m in TOKEN.finditer(text)]
+    out: list[tuple[int, int]] = []
+    for first, tags in found:
+        open_ = False
+        for (a, b), tag in zip(places[first:], tags, strict=False):
             if tag == 1:
-                start, end = m.start(), m.end()
-        if start is not None:
-            out.append((start, end))
-    return [(a, b) for a, b in out if b - a >= 8]
+                out.append((a, b))
+            elif tag == 2 and open_:
+                out[-1] = (out[-1][0], b)
+            open_ = tag > 0
+    return out
 
 
 def all_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

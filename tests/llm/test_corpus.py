@@ -227,7 +227,59 @@ def test_secrets(spark, odd, none):
     key = "ghp_a8Kd02LmZq91XcVb73NtYuIoP56QwErTy44s"
     out = secret_scan.scan(spark.createDataFrame([(1, f"the key {key} is here"), (2, "a plain text of 12 words, version 1.2.3 on 2024-01-02")], "doc_id long, text string")).collect()
     assert {r.doc_id: r.spans for r in out} == {1: f"crf:8:{8 + len(key)}", 2: ""}
-    assert secret_scan.redact(odd).count() == len(ODD) and secret_scan.scan(none).count() == 0
+    rows = [*ODD, (6, "token=abcdef1 " * 20_000, "en", None, 6)]
+    every = secret_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(every) == len(rows) and {r.doc_id: r.n_assign for r in every} == dict.fromkeys([1, 2, 3, 4, 5, None], 0) | {6: 20_000}
+    clean = secret_scan.redact(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.text for r in clean} == {i: t for i, t, *_ in ODD} | {6: "[SECRET] " * 20_000}
+    assert secret_scan.scan(none).count() == 0 and secret_scan.redact(none).count() == 0
+
+
+def _random_texts(n):
+    r = random.Random(11)
+    bits = ["token", "API_KEY", "passwd", "secret", "=", ":", " ", " ", '"', "'", "AKIA", "ghp_", "sk-", "abc", "Zq9", "0f3a9c", "4b", "é", "x1Y2z3", ".", "/", "-", "\n", "the", "word", "is", "19", "aGVsbG8", "@", "+"]
+    return ["".join(r.choice(bits) for _ in range(r.randint(0, 60))) for _ in range(n)]
+
+
+def test_secret_base_spans_match_plain_patterns():
+    import re
+
+    for text in _random_texts(4000):
+        want = [("assign", m.start(), m.end()) for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A) if len(m[2]) >= 6]
+        want += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        want += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+        assert secret_scan.base_spans(text) == sorted(want, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def test_field_decodes_like_the_whole_chain():
+    field = secret_scan.trained()
+    kept = field.moves.copy()
+    rng = np.random.default_rng(3)
+    for k, text in enumerate([*_random_texts(1500), *(t for t, _ in secret_scan._sequences(77, 300))]):
+        tokens = secret_scan.TOKEN.findall(text)
+        if not tokens:
+            continue
+        fs = secret_scan.features_of_file(text, text.lower())
+        e = field.coder().emissions(tokens, fs)
+        assert np.allclose(e, field.emissions(secret_scan.token_features(tokens, fs)))
+        if k % 3 == 0:  # other models than the trained one
+            field.moves = kept + np.where(kept > -100, rng.normal(0, 2, kept.shape), 0)
+            e = e + rng.normal(0, 2, e.shape)
+        tags = [0] * len(tokens)
+        for at, some in field.decode(e):
+            tags[at : at + len(some)] = some
+        assert tags == field.path(e)
+        field.moves = kept.copy()
+
+
+def test_secrets_held_out():
+    field = secret_scan.trained()
+    hits = found = true = 0
+    for text, spans in secret_scan._sequences(99, 500):
+        got = secret_scan.field_spans(text, field)
+        hits, found, true = hits + len(set(got) & set(spans)), found + len(got), true + len(spans)
+    assert hits / found > 0.95 and hits / true > 0.95
+    assert secret_scan.field_spans("the password is hunter2 and so on", field) == [(16, 23)]
 
 
 def test_personal_data_base_spans(spark, none):
