@@ -17,6 +17,8 @@ marks inside it. Where no window of a page passes the surge level, the level is
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined by an empty line. Null, empty or unfinished markup gives the text
 there is, or an empty string. Rows are independent; repeated rows give equal results.
+Empty table: no rows. A very long page is read in one piece, in time linear in its
+length. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -46,9 +48,10 @@ SIBLINGS = {
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?</(?P=raw)\s*>|<(?:" + "|".join(TO_THE_END) + r")\b[^>]*>.*\Z|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|disclaimer|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|sidebar|aside|widget|widgets|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|toc|header|masthead|footer|copyright|comment|comments|commentlist|disqus|replies|respond|discussion|share|sharing|social|related|recommended|recommendations|toolbar|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|disclaimer|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|sidebar|aside|widget|widgets|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|toc|masthead|footer|copyright|comment|comments|commentlist|disqus|replies|respond|discussion|share|sharing|social|related|recommended|recommendations|toolbar|skip)(?:$|[\s_-])",
     re.I,
 )
+HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)  # an article's own header has its title
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACE = re.compile(r"\s+")
@@ -62,7 +65,8 @@ def _hinted(name: str, attrs: str, in_article: bool) -> bool:
         return True
     if values.get("role", "").lower() in ROLES:
         return True
-    return name in HINTED and bool(HINT.search(f"{values.get('class', '')} {values.get('id', '')}"))
+    names = f"{values.get('class', '')} {values.get('id', '')}"
+    return name in HINTED and bool(HINT.search(names) or not in_article and HEADER.search(names))
 
 
 class Open:
@@ -183,14 +187,19 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int]], list[int]]:
 
 
 def spans_of(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
-    """The [surge, dive) line ranges: a window sum above ``surge`` opens one, and it runs from and to empty windows."""
-    spans: list[list[int]] = []
-    for i, w in enumerate(weights):
-        if w and spans and i - spans[-1][1] < window:
-            spans[-1][1] = i + 1
-        elif w:
-            spans.append([i, i + 1])
-    return [(a, b) for a, b in spans if max(sum(weights[i : min(i + window, b)]) for i in range(a, b)) > surge]
+    """The [surge, dive) line ranges. A window slides over the lines and is summed: its sum leaves
+    nothing at a surge point and is back at nothing at the dive point, ``window`` lines after the
+    last line with weight. A range counts if the sum passed the surge level on the way."""
+    spans = []
+    total = most = start = 0
+    for end in range(1, len(weights) + window + 1):
+        before, total = total, total + (weights[end - 1] if end <= len(weights) else 0) - (weights[end - window - 1] if end > window else 0)
+        if not before and total:
+            start, most = end - 1, 0
+        most = max(most, total)
+        if before and not total and most > surge:
+            spans.append((start, end - window))
+    return spans
 
 
 def main_text(page: str, window: int = 3, surge: int = 80, share: float = 0.15) -> str:
