@@ -6,24 +6,27 @@ exact hits of all pieces (one automaton) are the only places to look; each is
 verified with Myers' bit-parallel distance over the stretch of text around it.
 
 Both sides are compared in lower case with white space collapsed. Items travel in
-blocks of bounded size (``block_chars``), each read and broadcast by itself, so a
-large benchmark takes more passes, not more memory. Texts are searched whole.
-
-Null or empty texts match nothing; items shorter than ``min_chars`` after
-normalising, and null items, are not searched for. Repeated items and rows each
-give their matches. Ties between places go to the least distance, then the first.
+blocks of bounded size (``block_chars``): where there are several, each is fetched,
+searched for and its result written before the next is fetched, so a large benchmark
+takes more passes, not more memory. Texts are searched whole, however long.
+
+Items shorter than ``min_chars`` after normalising are found unedited only, and not
+inside a longer word of letters or digits; writing systems without spaces have no such
+words. Null or empty texts match nothing, null or blank items nowhere. Repeated rows
+each give their matches, repeated items one. Ties between places go to the least
+distance, then the first. Empty tables: no matches. Other columns, whatever their
+names, play no part and pass through ``clean``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import small_batches, with_text
+from routeloom.llm.common import Scratch, small_batches, with_text
 
 
 def normalise(text: str) -> str:
@@ -70,18 +73,25 @@ class Myers:
         return least, at
 
 
+def _stands_alone(text: str, a: int, b: int) -> bool:
+    spaced = lambda c: c.isalnum() and c < "\u2e80"
+    return not (a > 0 and spaced(text[a - 1]) and spaced(text[a]) or b < len(text) and spaced(text[b - 1]) and spaced(text[b]))
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], chars_per_edit: int, min_chars: int):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
         self.items: list[tuple[int, str, int, Myers]] = []
+        self.short: list[bool] = []
         where: dict[str, list[tuple[int, int]]] = {}
         for item_id, raw in items:
             item = normalise(raw)
-            if len(item) < min_chars:
+            if not item:
                 continue
-            edits = len(item) // chars_per_edit
+            edits = len(item) // chars_per_edit if len(item) >= min_chars else 0
+            self.short.append(len(item) < min_chars)
             for at, piece in cut_pieces(item, edits):
                 where.setdefault(piece, []).append((len(self.items), at))
             self.items.append((item_id, item, edits, Myers(item)))
@@ -102,6 +112,11 @@ class Matcher:
         out = []
         for k, found in starts.items():
             item_id, item, edits, myers = self.items[k]
+            if self.short[k]:
+                at = next((s for s in found if _stands_alone(text, s, s + len(item))), None)
+                if at is not None:
+                    out.append((item_id, 0, at + len(item)))
+                continue
             exact = text.find(item)
             if exact >= 0:
                 out.append((item_id, 0, exact + len(item)))
@@ -124,6 +139,17 @@ class Matcher:
         return out
 
 
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> tuple[DataFrame, int]:
+    """The items (i, t, block) and the number of blocks."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+    blocks = -(-(items.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars)
+    return items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(max(1, blocks)))), blocks
+
+
+def _fetched(items: DataFrame, block: int) -> list[tuple[int, str]]:
+    return [(r["i"], r["t"]) for r in items.where(F.col("block") == block).orderBy("i", "t").collect()]
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, chars_per_edit: int = 16, min_chars: int = 24, block_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
@@ -131,12 +157,9 @@ def contaminated(
     spark = docs.sparkSession
     small_batches(spark)
     rows = with_text(docs.select(F.col(id_col), F.col(text_col).alias("text")))
-    kind = rows.schema[id_col].dataType.simpleString()
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct()
-    size = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = -(-size // block_chars)
+    schema = f"{id_col} {rows.schema[id_col].dataType.simpleString()}, {item_col} long, distance long, end long"
 
-    def search(block: list[tuple[int, str]]) -> DataFrame:
+    def search(rows: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, chars_per_edit, min_chars)
             for b in batches:
@@ -144,8 +167,34 @@ def contaminated(
                 cols = list(zip(*out, strict=True)) if out else [()] * 4
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[id_col, item_col, "distance", "end"])
 
-        return rows.mapInArrow(run, f"{id_col} {kind}, {item_col} long, distance long, end long")
+        return rows.mapInArrow(run, schema)
+
+    items, blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
+    scratch, found = Scratch(spark, "contaminated"), spark.createDataFrame([], schema)
+    for b in range(blocks):
+        hits = search(rows, _fetched(items, b))
+        found = hits if blocks == 1 else found.unionByName(scratch.save(hits, f"block-{b}"))
+    return found
+
+
+def clean(
+    docs: DataFrame, benchmark: DataFrame, *, chars_per_edit: int = 16, min_chars: int = 24, block_chars: int = 4_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """The rows of docs in whose text no item is found, whatever their id."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def search(rows: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(block, chars_per_edit, min_chars)
+            for b in batches:
+                yield b.filter(pa.array([not matcher.match(t or "") for t in b.column(at).to_pylist()], pa.bool_()))
+
+        return rows.mapInArrow(run, docs.schema)
 
-    parts = [search([tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()]) for b in range(blocks)]
-    empty = spark.createDataFrame([], f"{id_col} {kind}, {item_col} long, distance long, end long")
-    return reduce(DataFrame.unionByName, parts) if parts else empty
+    items, blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
+    scratch, left = Scratch(docs.sparkSession, "clean"), docs
+    for b in range(blocks):
+        left = search(left, _fetched(items, b))
+        left = left if blocks == 1 else scratch.save(left, f"block-{b}")
+    return left
