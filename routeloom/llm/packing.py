@@ -9,7 +9,9 @@
 
 Only the last sequence has padding. What reaches the driver is one total per range
 partition. Null text: only the end id. Repeated document ids: each row is its own
-document. Empty table: no pieces. Ties in the key fall by row id.
+document. Empty table: no pieces. Ties in the key fall by row id. A very long text is
+tokenised in one task and cut like any other. Other columns, whatever their names, play
+no part.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ candidates, so scanning is one projection of the texts: no shuffle, no Python.
 
 Patterns are written so that matching is linear: runs begin at their first character
 only and loops do not backtrack. Offsets are code points, end exclusive. Null or
-empty text: no spans. Repeated rows: scanned each.
+empty text: no spans. Repeated rows: scanned each. Empty table: no rows. A very long
+text is one row of one task. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ vectors (``pivot_sample``); any pivots give exact results, they only set the wor
 
 Null vectors, and those with null or non-finite components, take no part. Vectors
 meet only those of their own length. Rows that repeat an id are each candidates; a
-query row leaves out itself alone. Empty table: no rows.
+query row leaves out itself alone. Empty table: no rows. Other columns, whatever their
+names, play no part.
 """
 
 from __future__ import annotations

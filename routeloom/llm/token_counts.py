@@ -11,8 +11,9 @@ taken by Zipf's law on that rank, in fixed point so that sums are exact. Among t
 best segmentations the one with fewest tokens counts. A character outside the
 vocabulary costs one token for each of its UTF-8 bytes.
 
-Null or empty text: zero tokens. Repeated rows: counted each. Other columns of the
-input do not matter.
+Null or empty text: zero tokens. Repeated rows: counted each. Empty table: no rows. A
+very long text is split in one task; a very long word takes time in proportion to its
+length. Other columns of the input, whatever their names, do not matter.
 """
 
 from __future__ import annotations

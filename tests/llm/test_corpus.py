@@ -1,6 +1,7 @@
 """Corpus operators against brute force, round trips and odd inputs."""
 
 import base64
+import functools
 import hashlib
 import random
 import zlib
@@ -42,6 +43,10 @@ def test_token_counts_match_plain_dynamic_programming(spark, odd, none):
     words = ["hello", "help", "helper", "中文", "a", "naïve", "x" * 40, "the", "then"]
     counter.insert(words)
     assert {w: counter.counts[w] for w in words} == {w: plain(w) for w in words}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = functools.cache(plain)
+    want = sorted((d.doc_id, len((d.text or "").split()), sum(map(known, (d.text or "").split()))) for d in docs.collect())
+    assert sorted(map(tuple, token_counts.token_counts(docs, PIECES).collect())) == want
     got = {(r.doc_id, r.n_words) for r in token_counts.token_counts(odd, PIECES).collect()}
     assert (1, 0) in got and (2, 0) in got and (3, 30_000) in got
     assert token_counts.token_counts(none, PIECES).count() == 0
@@ -113,6 +118,34 @@ def test_html_extraction():
     assert html_extract.main_text("") == "" and html_extract.main_text("<p>unclosed") == "unclosed"
 
 
+def test_html_surge_and_dive_points_by_windows():
+    r = random.Random(9)
+    for _ in range(300):
+        w, window, surge = [r.choice([0, 0, 0, 5, 60, 120]) for _ in range(r.randint(0, 25))], r.randint(1, 4), r.choice([0, 80])
+        sums = [sum(w[max(0, i - window + 1) : i + 1]) for i in range(len(w) + window)]
+        want, i = [], 0
+        while i < len(sums):
+            j = i
+            while j < len(sums) and sums[j]:
+                j += 1
+            if j > i and max(sums[i:j]) > surge:
+                want.append((i, j - window + 1))
+            i = max(j, i + 1)
+        assert html_extract.spans_of(w, window, surge) == want
+
+
+def test_html_extraction_on_spark(spark, none):
+    long = "A plain sentence that goes on for a while, as articles do, and then some more of it. " * 3
+    rows = [(1, "u", f"<article><div class='post-header'><h1>Title</h1></div><p>{long}</article>"), (2, None, None), (3, "", ""), (4, "u", f"<p>{long}</p>"), (4, "u", f"<p>{long}</p>"), (None, "v", f"<div class='page-header'>Site</div><p>{long}"), (5, "w", f"<p>{long}</p>" * 3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("other"), "n_chars": F.lit("x")})
+    got = html_extract.extract(pages).collect()
+    s = long.strip()
+    assert sorted(((r.page_id or 0, r.url, r.text) for r in got), key=str) == sorted([(1, "u", f"Title\n\n{s}"), (2, None, ""), (3, "", ""), (4, "u", s), (4, "u", s), (0, "v", s), (5, "w", "\n\n".join([s] * 3000))], key=str)
+    assert all(r.n_chars == len(r.text) for r in got)
+    empty = none.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("lang").alias("html"))
+    assert html_extract.extract(empty).count() == 0
+
+
 def test_html_dropped_elements_without_end_tags():
     for ad in ('<p class="ad">Buy', '<ul><li>One<li class="share">Share<li>Two</ul>', '<div><nav><a>Menu</a></div>', '<div><form><p>Mail</div>', '<section><div class="ad">Buy</section>', '<div><svg><path d="M0">Buy</div>', '<dl><dt>One<dd hidden>Buy<dt>Two</dl>'):
         got = html_extract.main_text(f"<body><article><p>First{ad}<p>Body 1</p><p>Body 2</article></body>").split("\n\n")
@@ -205,9 +238,46 @@ def test_decontamination_finds_edited_items(spark, odd, none):
     bench = spark.createDataFrame([(7, item), (8, None), (9, "short")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(docs, bench).collect()}
     assert got == {(1, 7): 0, (2, 7): 2}
+    more = docs.union(spark.createDataFrame([(None, f"no id {item}"), (5, "a short one"), (6, "shorter"), (6, "shorter"), (8, "問題は何ですか"), (9, item)], docs.schema))
+    bench = bench.union(spark.createDataFrame([(10, "題は"), (7, item)], bench.schema))
+    for block_chars in (4_000_000, 40):
+        hits = sorted(((r.doc_id or 0, r.item_id, r.distance) for r in decontaminate.contaminated(more, bench, block_chars=block_chars).collect()))
+        assert hits == [(0, 7, 0), (1, 7, 0), (2, 7, 2), (5, 9, 0), (8, 10, 0), (9, 7, 0)]
+        left = decontaminate.clean(more.withColumn("item_id", F.lit("x")), bench, block_chars=block_chars)
+        assert left.columns == [*more.columns, "item_id"] and sorted(r.doc_id for r in left.collect()) == [3, 4, 6, 6]
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(odd, bench.where("false")).count() == 0
 
 
+def test_decontamination_matches_brute_force():
+    r = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
+    items = [(k, " ".join(r.choice(words) for _ in range(r.randint(6, 12)))) for k in range(12)]
+    matcher = decontaminate.Matcher(items, 16, 24)
+
+    def least(p, t):
+        row = [0] * (len(t) + 1)
+        for i, c in enumerate(p):
+            new = [i + 1]
+            for j, d in enumerate(t):
+                new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row)
+
+    found = 0
+    for _ in range(60):
+        k, item = r.choice(items)
+        chars = list(item)
+        for _ in range(r.randint(0, 7)):
+            at = r.randrange(len(chars))
+            chars[at : at + r.randint(0, 1)] = r.choice(["", "x", "yz", chars[at]])
+        text = " ".join(r.choice(words) for _ in range(4)) + " " + "".join(chars) + " " + r.choice(words)
+        plain = decontaminate.normalise(text)
+        want = {i: d for i, x in items if (d := least(x, plain)) <= len(x) // 16}
+        assert {i: d for i, d, _ in matcher.match(text)} == want
+        found += len(want)
+    assert 20 < found < 60
+
+
 def test_myers_distance_matches_a_table():
     r = random.Random(2)
     for _ in range(200):
@@ -291,6 +361,46 @@ def test_personal_data_base_spans(spark, none):
     assert pii.scan(none).count() == 0
 
 
+def _plain_personal(text):
+    import re
+
+    def sound(m):
+        digits = [int(c) for c in m if c.isdigit()]
+        return 14 <= len(digits) <= 19 and sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits[::-1])) % 10 == 0
+
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", sound),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= sum(map(str.isdigit, m)) <= 15),
+    ]
+    spans = [(m.start(), k, m.end(), name) for k, (name, p, ok) in enumerate(kinds) for m in re.finditer(p, text) if ok(m[0])]
+    return ",".join(f"{name}:{a}:{b}" for a, _, b, name in sorted(spans))
+
+
+def test_personal_data_base_spans_match_plain_patterns(spark, odd):
+    r = random.Random(12)
+    bits = ["a", "b.c", "@", ".", "x-y", "+", "1", "23", "456", "7890", "4111111111111111", "4111 1111 1111 1111", " ", " ", "-", "(", ")", "é", "😀", "255", "0300", "de", "%", "\n", "+1 (743) 555-3824", "10.0.0.1"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(4000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    bad = [x for x in pii.scan(docs).select("doc_id", "base_sha256").collect() if x.base_sha256 != hashlib.sha256(_plain_personal(texts[x.doc_id]).encode()).hexdigest()]
+    assert not bad
+    every = pii.scan(odd.unionByName(spark.createDataFrame([(6, "mail a@b.co " * 5000, "en", None, 6)], SCHEMA))).collect()
+    assert len(every) == len(ODD) + 1 and {x.doc_id: x.n_email for x in every} == dict.fromkeys([1, 2, 3, 4, 5, None], 0) | {6: 5000}
+
+
+def test_boosted_trees_choose_by_format_and_context(spark):
+    texts = ["call me at 743 555 3824 today", "ssn 536-22-1844 on file", "write to user41 (at) mail2 (dot) example now", "version 12.04.2019 of it", "isbn 978-3-16-148410-0 here", "page 2019-2021 only", "order 3 4 5 6 7 8 then"]
+    got = [x.spans for x in pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["number:11:23", "number:4:15", "hidden:9:40", "", "", "", ""]
+    trees, threshold = pii.trained(spark)
+    rows = pii.examples(spark, 2000, seed=91)
+    x = pii.candidate_features(F.col("match"), F.col("before"), F.col("hidden"))
+    held = rows.select("label", (pii.margin(x, trees) >= threshold).alias("chosen")).groupBy("label", "chosen").count().collect()
+    n = {(int(h.label), h.chosen): h["count"] for h in held}
+    assert n[1, True] / (n[1, True] + n.get((0, True), 0)) > 0.95 and n[1, True] / (n[1, True] + n.get((1, False), 0)) > 0.9
+
+
 def test_toxicity_learns_and_swaps_do_not_matter(spark, odd):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefg") for _ in range(5))
