@@ -45,9 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    found = Scratch(spark, "contaminated").save(hits.select("doc_id").where("doc_id is not null").distinct(), "ids")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
