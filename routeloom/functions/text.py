@@ -1,7 +1,9 @@
-"""Text functions as column expressions."""
+"""Text functions as column expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,14 @@ STOPWORDS = """a an the to me my i you your can could please for of on in at it
 and or so this that from with just do does will would there here we us our im ill ive
 id dont some""".split()
 MAX_WORDS = 24
+FRAGMENT_WORDS, FRAGMENT_WORDS_DISFLUENT = 6, 9
+FIRST_NAMES = """anil kavya ravi deepa suresh meghana karthik divya arun lakshmi senthil priya vignesh
+rahul neha amit pooja vikas sunita rohit nikhil anjali vishnu sreeja joseph arjun reshma
+sourav moumita arindam tanushree debashis riya harpreet gurpreet manjeet simran jaspreet
+navjot farah""".split()
+SENSITIVE_SLOTS = ["contact", "phone", "address", "otp", "card"]
+SLOTS = SENSITIVE_SLOTS + """place city temperature fan_level song artist station podcast time date duration team topic
+note_text message_text event_title drive_mode color speed seat window number""".split()
 PHONE = r"\+91|(?:^|[^0-9])(?:[0-9][\s-]?){9}[0-9](?:[^0-9]|$)"
 SHORT_NUMBER = r"(?:^|[^0-9.:])[0-9]{4,6}(?:[^0-9.:]|$)"
 CARD = r"(?i)\bcard ending\b|\bending\s+[0-9]+"
@@ -17,6 +27,11 @@ WORD_TOKEN = r"[\p{L}\p{N}_]+(?:[.:][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\s]"
 OPENER = r"^(?:(?:uh|um|er|so|hey|okay|ok)\s+)*(?:(?:can|could|would|will|shall)\s+(?:you|we|i)|is\s+there|are\s+there|do\s+you)\b"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize(text: Column) -> Column:
     """Lower case, apostrophes dropped, white space collapsed, one final question mark removed."""
     t = F.regexp_replace(F.lower(text), "['‘’]", "")
@@ -64,34 +79,98 @@ def asks(text: Column) -> Column:
     return text.rlike(OPENER)
 
 
+def has_sensitive_slot(text: Column) -> Column:
+    return F.arrays_overlap(slots(text), F.array(*map(F.lit, SENSITIVE_SLOTS)))
+
+
 def detect_sensitive(text: Column) -> Column:
     """A phone number, a short number, a card phrase, or a capitalised word that starts no sentence and is not I."""
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    after = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda p, w: ~p.rlike(r"[.!?]$") & w.rlike("^[A-Z]") & ~w.rlike("^I(?:[^A-Za-z0-9_]|$)"))
-    return text.rlike(PHONE) | text.rlike(SHORT_NUMBER) | text.rlike(CARD) | F.exists(after, lambda x: x)
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    named = lambda ws: F.exists(F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda p, w: ~p.rlike(r"[.!?]$") & w.rlike(r"^\p{Lu}") & (w != "I")), lambda x: F.coalesce(x, F.lit(False)))
+    return text.rlike(PHONE) | text.rlike(SHORT_NUMBER) | text.rlike(CARD) | bound(words, named)
+
 
+def _without_slots(text: Column) -> Column:
+    return F.regexp_replace(text, r"\{[^{}]*\}", " ")
 
-def format_errors(text: Column) -> Column:
-    """Codes of the hard line rules a text breaks; an empty text breaks only that one."""
-    bare = F.regexp_replace(text, r"\{[^{}]*\}", " ")
+
+def format_errors(text: Column, seed: Column | None = None) -> Column:
+    """Codes of the hard line rules a text breaks; an empty text breaks only that one. With the
+    text of the seed it belongs to, the slots are compared."""
+    bare = _without_slots(text)
+    body = F.lower(F.regexp_replace(bare, r"\?$", ""))
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    ascii_only = ~text.rlike(r"[^\x00-\x7F]")
     rules = {
-        "unbalanced_brace": bare.rlike("[{}]"), "too_many_words": words > MAX_WORDS, "non_ascii": text.rlike(r"[^\x00-\x7F]"), "uppercase": text != F.lower(text),
-        "bad_space": text.rlike(r"^\s|\s$") | F.contains(text, F.lit("  ")), "space_before_mark": F.endswith(text, F.lit(" ?")), "long_number": bare.rlike("[0-9]{4}"),
+        "unbalanced_brace": bare.rlike("[{}]"), "too_many_words": words > MAX_WORDS, "non_ascii": ~ascii_only, "uppercase": text != F.lower(text),
+        "bad_space": text.rlike(r"^\s|\s$") | F.contains(text, F.lit("  ")), "punctuation": ascii_only & body.rlike("[^a-z0-9' ]"),
+        "space_before_mark": F.endswith(text, F.lit(" ?")), "long_number": bare.rlike("[0-9]{4}"),
+        "literal_name": F.arrays_overlap(F.split(normalize(bare), " "), F.array(*map(F.lit, FIRST_NAMES))),
     }
+    if seed is not None:
+        names = lambda t: F.array_sort(F.array_distinct(slots(t)))
+        rules["slots_differ"] = names(text) != names(seed)
     every = F.array_compact(F.array(*[F.when(cond, F.lit(code)) for code, cond in rules.items()]))
     return F.when(F.trim(F.regexp_replace(text, r"\s+", " ")) == "", F.array(F.lit("empty"))).otherwise(every)
 
 
+def text_errors(text: Column) -> Column:
+    """The line rules for a text without a seed, and slots that do not exist."""
+    unknown = F.size(F.array_except(slots(text), F.array(*map(F.lit, SLOTS)))) > 0
+    return F.concat(format_errors(text), F.when(unknown, F.array(F.lit("unknown_slot"))).otherwise(F.array().cast("array<string>")))
+
+
+def style_slips(text: Column, style: Column, variant: Column) -> Column:
+    """Codes of a line that does not suit its seed's style."""
+    marked = F.endswith(text, F.lit("?"))
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    most = F.when(variant == "disfluent", FRAGMENT_WORDS_DISFLUENT).otherwise(FRAGMENT_WORDS)
+    slips = {
+        "question_mark": (style != "question") & marked, "reads_as_question": (style != "question") & ~marked & asks(text),
+        "long_fragment": (style == "fragment") & (words > most), "literal_digit": _without_slots(text).rlike("[0-9]") & ~text.rlike("[0-9]{4}"),
+    }
+    return F.array_compact(F.array(*[F.when(cond, F.lit(code)) for code, cond in slips.items()]))
+
+
+def is_snake(name: Column) -> Column:
+    return name.rlike("^[a-z][a-z0-9]*(?:_[a-z0-9]+)*$")
+
+
+def keyword_hits(text: Column, entries: dict[str, list[list[str]]]) -> Column:
+    """name: keywords of every entry whose keywords all begin some word of the text."""
+    words = F.split(F.lower(text), "[^a-z0-9]+")
+    begins = lambda ws, k: F.exists(ws, lambda w: F.startswith(w, F.lit(k)))
+
+    def hits(ws: Column) -> Column:
+        found = []
+        for name, alternatives in entries.items():
+            for keys in alternatives:
+                every = F.lit(True)
+                for k in keys:
+                    every = every & begins(ws, k)
+                found.append(F.when(every, F.lit(f"{name}: {' '.join(keys)}")))
+        return F.array_compact(F.array(*found))
+
+    return bound(words, hits)
+
+
 def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD_TOKEN), F.lit(0))
 
 
 def token_spans(text: Column, pattern: str) -> Column:
-    """(start, end, text) of a pattern's matches, in code points."""
+    """(start, end, text) of a pattern's matches, in code points: one pass over matches and the gaps before them."""
+    kind = "array<struct<start:int,end:int,text:string>>"
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    at = F.transform(F.sequence(F.lit(1), F.size(hits)), lambda i: F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(hits, F.lit(1), i - 1), F.lit(0), lambda a, x: a + F.length(x)))
-    return F.when(F.size(hits) == 0, F.array().cast("array<struct<start:int,end:int,text:string>>")).otherwise(F.zip_with(at, hits, lambda s, h: F.struct(s.alias("start"), (s + F.length(h)).alias("end"), h.alias("text"))))
+
+    def add(acc: Column, pair: Column) -> Column:
+        a = acc["at"] + F.length(pair["gap"])
+        b = a + F.length(pair["hit"])
+        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), pair["hit"].alias("text")))).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    pairs = F.filter(F.zip_with(hits, gaps, lambda h, g: F.struct(g.alias("gap"), h.alias("hit"))), lambda p: p["hit"].isNotNull())
+    return F.when(text.rlike(pattern), F.aggregate(pairs, start, add, lambda acc: acc["out"])).otherwise(F.when(text.isNotNull(), F.array().cast(kind)))
 
 
 def bio_tags(tokens: Column, spans: Column) -> Column:
@@ -102,5 +181,5 @@ def bio_tags(tokens: Column, spans: Column) -> Column:
 
 def softmax(x: Column, temperature: float | Column = 1.0) -> Column:
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    e = F.transform(x, lambda v: F.exp((v - F.array_max(x)) / t))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    scaled = bound(F.array_max(x), lambda m: F.transform(x, lambda v: F.exp((v - m) / t)))
+    return bound(scaled, lambda e: bound(F.aggregate(e, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(e, lambda v: v / total)))

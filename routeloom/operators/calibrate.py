@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +36,21 @@ def ece(df: DataFrame, bins: int = 15) -> DataFrame:
 
 
 def temperature_scan(df: DataFrame, grid: list[float] = GRID) -> DataFrame:
-    """Mean nll at every temperature of the grid: rows meet the fixed list inside a projection."""
-    each = df.select("logits", "y", F.explode(F.array(*map(F.lit, grid))).alias("t"))
-    p = F.get(softmax(F.col("logits"), F.col("t")), F.col("y"))
-    return each.groupBy("t").agg(F.avg(-F.log(F.greatest(p, F.lit(1e-12)))).alias("nll"))
+    """Mean nll at every temperature of the grid. Each batch of rows gives its sums, one row; the
+    logits of all rows have one length."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1)
+            x = x - x.max(axis=1, keepdims=True)
+            own = x[np.arange(b.num_rows), b.column(1).to_numpy()]
+            nll = [np.minimum(np.log(np.exp(x / t).sum(axis=1)) - own / t, -math.log(1e-12)).sum() for t in grid]
+            yield pa.RecordBatch.from_arrays([pa.array(grid, pa.float64()), pa.array(nll, pa.float64()), pa.array([b.num_rows] * len(grid), pa.int64())], names=["t", "nll", "n"])
+
+    each = df.select(F.col("logits").cast("array<double>"), F.col("y").cast("int")).mapInArrow(sums, "t double, nll double, n long")
+    return each.groupBy("t").agg((F.sum("nll") / F.sum("n")).alias("nll"))
 
 
 def threshold_scan(df: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:

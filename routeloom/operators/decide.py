@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,21 +11,34 @@ from routeloom.vocab import DEMANDS, TAGS
 ARRAY = lambda xs: F.array(*map(F.lit, xs))
 
 
-def _lookup(table: dict, *keys: Column) -> Column:
-    """A cell of a policy table; an unknown key fails the query."""
-    m = F.create_map(*[F.lit(x) for x in chain(*table.items())])
-    key = F.concat_ws("|", *keys)
-    return F.coalesce(F.try_element_at(m, key), F.raise_error(F.concat(F.lit("no policy cell "), key)).cast("boolean" if isinstance(next(iter(table.values())), bool) else "string"))
+def _fail(what: str, *keys: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"no policy cell: {what} "), F.concat_ws("|", *keys)))
 
 
-def raw_demand(policy: Policy, speed: Column, workload: Column) -> Column:
-    return _lookup(policy.demand_table, speed, workload)
+def raw_rank(policy: Policy, speed: Column, workload: Column) -> Column:
+    """The rank of the demand of a speed and a workload; an unknown pair fails the query."""
+    cells = F
+    for key, demand in policy.demand_table.items():
+        a, b = key.split("|")
+        cells = cells.when((speed == a) & (workload == b), DEMANDS.index(demand))
+    return cells.otherwise(_fail("demand", speed, workload).cast("int"))
 
 
-def relaxed(demand: Column, steps: Column) -> Column:
+def relaxed(rank: Column, steps: Column) -> Column:
     """Parked stays parked; otherwise down by steps, low at least."""
-    rank = F.array_position(ARRAY(DEMANDS), demand)
-    return F.when(rank == 1, demand).otherwise(F.element_at(ARRAY(DEMANDS), F.greatest(rank - steps, F.lit(2)).cast("int")))
+    return F.when(rank == 0, 0).otherwise(F.greatest(rank - steps, F.lit(1)))
+
+
+def allowed(gate: dict[str, bool], level: Column, rank: Column) -> Column:
+    """A gate's cell for a level and a demand's rank; an unknown level fails the query."""
+    levels: dict[str, list[int]] = {}
+    for key, may in gate.items():
+        a, b = key.split("|")
+        levels.setdefault(a, []).extend([DEMANDS.index(b)] * may)
+    cells = F
+    for a, ranks in levels.items():
+        cells = cells.when(level == a, rank.isin(*ranks) if ranks else F.lit(False))
+    return cells.otherwise(_fail("gate", level).cast("boolean"))
 
 
 def route_columns(df: DataFrame, policy: Policy | None = None) -> DataFrame:
@@ -35,24 +46,30 @@ def route_columns(df: DataFrame, policy: Policy | None = None) -> DataFrame:
     tier, capability, distraction, actuation and sensitive."""
     policy = policy or Policy()
     c = F.col
-    df = df.withColumn("_raw", raw_demand(policy, c("speed"), c("workload")))
+    df = df.withColumn("_raw", raw_rank(policy, c("speed"), c("workload")))
     df = df.withColumn("_relaxed", relaxed(c("_raw"), F.when(c("passenger"), policy.passenger_relax_steps).otherwise(0)))
-    d = lambda route, reason, demand="_relaxed": F.struct(F.lit(route).alias("route"), F.lit(reason).alias("reason"), c(demand).alias("demand"))
     offline = ~c("connectivity").isin(*policy.cloud_connectivity)
-    known = c("capability").isin(*TAGS["capability"])
-    tree = (
-        F.when(c("actuation") == "safety_critical", d("LOCAL", "safety_critical"))
-        .when((c("actuation") != "none") & ~F.when(c("actuation") == "none", True).otherwise(_lookup(policy.actuation_gate, F.when(c("actuation") == "none", "comfort").otherwise(c("actuation")), c("_raw"))), d("REFUSE", "restricted_actuation", "_raw"))
-        .when(~_lookup(policy.distraction_gate, c("distraction"), c("_relaxed")), d("REFUSE", "distraction"))
-        .when((c("capability") == "local_ok") | ((c("capability") == "needs_small_local") & (c("tier") == "small")), d("LOCAL", "local_capable"))
-        .when(offline & (c("capability") == "cloud_preferred"), d("LOCAL", "local_fallback"))
-        .when(offline, d("DEFER", "no_connectivity"))
-        .when(c("sensitive") & (c("privacy") == "strict"), d(policy.strict_privacy_route, "strict_privacy"))
-        .when(c("sensitive"), d("CLOUD_MASKED", "sensitive_spans"))
-        .when(known, d("CLOUD", "cloud_default"))
-        .otherwise(F.raise_error(F.lit("unknown capability")).cast("struct<route:string,reason:string,demand:string>"))
+    reason = (
+        F.when(c("actuation") == "safety_critical", "safety_critical")
+        .when((c("actuation") != "none") & ~F.when(c("actuation") == "none", True).otherwise(allowed(policy.actuation_gate, c("actuation"), c("_raw"))), "restricted_actuation")
+        .when(~allowed(policy.distraction_gate, c("distraction"), c("_relaxed")), "distraction")
+        .when((c("capability") == "local_ok") | ((c("capability") == "needs_small_local") & (c("tier") == "small")), "local_capable")
+        .when(offline & (c("capability") == "cloud_preferred"), "local_fallback")
+        .when(offline, "no_connectivity")
+        .when(c("sensitive") & (c("privacy") == "strict"), "strict_privacy")
+        .when(c("sensitive"), "sensitive_spans")
+        .when(c("capability").isin(*TAGS["capability"]), "cloud_default")
+        .otherwise(F.raise_error(F.lit("unknown capability")).cast("string"))
     )
-    return df.withColumn("_d", tree).select("*", "_d.route", "_d.reason", "_d.demand").drop("_d", "_raw", "_relaxed")
+    # generated once a row: filters on a route stop here instead of taking the tree along many times
+    df = df.withColumn("_d", F.explode(F.array(F.struct(reason.alias("reason"), c("_raw").alias("raw"), c("_relaxed").alias("relaxed"))))).withColumn("reason", c("_d.reason"))
+    route = (
+        F.when(c("reason").isin("safety_critical", "local_capable", "local_fallback"), "LOCAL").when(c("reason").isin("restricted_actuation", "distraction"), "REFUSE")
+        .when(c("reason") == "no_connectivity", "DEFER").when(c("reason") == "strict_privacy", policy.strict_privacy_route).when(c("reason") == "sensitive_spans", "CLOUD_MASKED").otherwise("CLOUD")
+    )
+    rank = F.when(c("reason") == "restricted_actuation", c("_d.raw")).otherwise(c("_d.relaxed"))
+    demand = F.when(rank == 0, DEMANDS[0]).when(rank == 1, DEMANDS[1]).when(rank == 2, DEMANDS[2]).otherwise(DEMANDS[3])
+    return df.withColumns({"route": route, "demand": demand}).drop("_raw", "_relaxed", "_d")
 
 
 def context_prefix() -> Column:

@@ -50,14 +50,22 @@ def mcc(cells: DataFrame, by: list[str]) -> DataFrame:
     return sums.join(pairs, by).select(*by, value.alias("mcc"))
 
 
-def report(df: DataFrame, by: list[str]) -> DataFrame:
-    """n, accuracy, swe, macro_f1, mcc and critical misses of each group of df (y, p, safety)."""
-    s = scored(df)
-    base = s.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg((F.col("y") == F.col("p")).cast("double")).alias("accuracy"), F.avg("cost").alias("swe"),
-        F.count_if("missed").alias("critical_misses"), F.count_if("eligible").alias("n_critical"),
+def cells_of(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """n of (by, y, p, safety): at most 50 rows a group."""
+    return df.groupBy(*by, "y", "p", "safety").agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+
+
+def report(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """n, accuracy, swe, macro_f1, mcc and critical misses of each group of df (y, p, safety, and the
+    number of rows each row stands for, if ``weight`` names it). Rows are read once, into cells."""
+    own = cells_of(df, by, weight)
+    total = lambda c: F.sum(F.col("n") * c)
+    whole = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    base = scored(own).groupBy(*by).agg(
+        F.sum("n").alias("n"), (total((F.col("y") == F.col("p")).cast("double")) / F.sum("n")).alias("accuracy"), (total(F.col("cost")) / F.sum("n")).alias("swe"),
+        whole(F.col("missed")).alias("critical_misses"), whole(F.col("eligible")).alias("n_critical"),
     )
-    cells = confusion(df, by)
+    cells = own.groupBy(*by, "y", "p").agg(F.sum("n").alias("n"))
     f1 = per_class(cells, by).groupBy(*by).agg(F.avg("f1").alias("macro_f1"))
     out = base.join(f1, by).join(mcc(cells, by), by)
     r = lambda c: F.round(c, 6)

@@ -8,17 +8,25 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from routeloom.vocab import ACTUATIONS, DEMANDS, DISTRACTIONS, SPEEDS, WORKLOADS
+from routeloom.vocab import ACTUATIONS, DEMANDS, DISTRACTIONS, ROUTES, SPEEDS, WORKLOADS
 
-# The default policy and the cost matrix.
+# The default policy and the cost matrix; the names of Policy's fields, which stored policies use.
 DEMAND_OF = {
     "parked|low": "parked", "parked|medium": "parked", "parked|high": "parked",
     "low|low": "low", "low|medium": "medium", "low|high": "high",
     "medium|low": "medium", "medium|medium": "medium", "medium|high": "high",
     "high|low": "medium", "high|medium": "high", "high|high": "high",
 }
-REFUSED_DISTRACTION = ["medium|high", "high|low", "high|medium", "high|high"]
-REFUSED_ACTUATION = ["restricted|low", "restricted|medium", "restricted|high"]
+DISTRACTION_ALLOWED = {
+    "low|parked": True, "low|low": True, "low|medium": True, "low|high": True,
+    "medium|parked": True, "medium|low": True, "medium|medium": True, "medium|high": False,
+    "high|parked": True, "high|low": False, "high|medium": False, "high|high": False,
+}
+ACTUATION_ALLOWED = {
+    "safety_critical|parked": True, "safety_critical|low": True, "safety_critical|medium": True, "safety_critical|high": True,
+    "comfort|parked": True, "comfort|low": True, "comfort|medium": True, "comfort|high": True,
+    "restricted|parked": True, "restricted|low": False, "restricted|medium": False, "restricted|high": False,
+}
 COSTS = {
     "LOCAL_SAFETY_CRITICAL": {"LOCAL": 0, "CLOUD": 10, "CLOUD_MASKED": 10, "DEFER": 8, "REFUSE": 5},
     "LOCAL_OTHER": {"LOCAL": 0, "CLOUD": 2, "CLOUD_MASKED": 2, "DEFER": 2, "REFUSE": 3},
@@ -29,15 +37,11 @@ COSTS = {
 }
 
 
-def _gate(levels: list[str], refused: list[str]) -> dict[str, bool]:
-    return {f"{a}|{d}": f"{a}|{d}" not in refused for a in levels for d in DEMANDS}
-
-
 @dataclass(frozen=True)
 class Policy:
     demand_table: dict[str, str] = field(default_factory=lambda: dict(DEMAND_OF))
-    distraction_gate: dict[str, bool] = field(default_factory=lambda: _gate(DISTRACTIONS, REFUSED_DISTRACTION))
-    actuation_gate: dict[str, bool] = field(default_factory=lambda: _gate(ACTUATIONS[1:], REFUSED_ACTUATION))
+    distraction_gate: dict[str, bool] = field(default_factory=lambda: dict(DISTRACTION_ALLOWED))
+    actuation_gate: dict[str, bool] = field(default_factory=lambda: dict(ACTUATION_ALLOWED))
     passenger_relax_steps: int = 1
     cloud_connectivity: tuple[str, ...] = ("weak", "good")
     strict_privacy_route: str = "LOCAL"
@@ -92,3 +96,18 @@ def violations(spark: SparkSession, policy: Policy) -> DataFrame:
 def cost_table(spark: SparkSession, costs: dict[str, dict[str, float]] = COSTS) -> DataFrame:
     """The 30 cells (true_row, pred, cost)."""
     return spark.createDataFrame([(t, p, float(c)) for t, row in costs.items() for p, c in row.items()], "true_row string, pred string, cost double")
+
+
+def cost_violations(spark: SparkSession, costs: dict) -> DataFrame:
+    """(rule, cell): every way in which a cost matrix is not usable; no rows for a good one."""
+    cells = [(t, p, json.dumps(c)) for t, row in costs.items() for p, c in row.items()]
+    got = spark.createDataFrame(cells, "t string, p string, c string")
+    want = spark.createDataFrame([(t, p, p == ("LOCAL" if t.startswith("LOCAL_") else t)) for t in COSTS for p in ROUTES], "t string, p string, diagonal boolean")
+    cell = F.concat_ws("|", "t", "p").alias("cell")
+    value, number = F.col("c").try_cast("double"), F.col("c").rlike(r"^-?[0-9.]+(?:[eE][+-]?[0-9]+)?$")
+    issue = lambda df, rule: df.select(F.lit(rule).alias("rule"), cell)
+    return (
+        issue(want.join(got, ["t", "p"], "left_anti"), "missing").unionByName(issue(got.join(want, ["t", "p"], "left_anti"), "unexpected"))
+        .unionByName(issue(got.join(want, ["t", "p"]).where(~number | (value < 0)), "no number of 0 or more"))
+        .unionByName(issue(got.join(want, ["t", "p"]).where(F.col("diagonal") & number & (value != 0)), "a right route has a cost"))
+    )

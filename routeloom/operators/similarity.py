@@ -14,42 +14,54 @@ def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def best_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The most similar ref of each id with any shared token; the smallest ref on ties."""
+    """The most similar ref of each id with any shared token, and how many they share; the smallest ref on ties."""
     scored = _pairs(a, b).withColumn("j", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 9))
-    best = scored.groupBy("id").agg(F.max(F.struct("j", (-F.col("ref")).alias("minus"))).alias("m"))
-    return best.select("id", (-F.col("m.minus")).alias("ref"), F.col("m.j").alias("score"))
+    best = scored.groupBy("id").agg(F.max(F.struct("j", (-F.col("ref")).alias("minus"), "shared")).alias("m"))
+    return best.select("id", (-F.col("m.minus")).alias("ref"), F.col("m.j").alias("score"), F.col("m.shared").alias("shared"))
 
 
 def best_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The ref whose tokens an id covers best, first ref on ties; an id that shares none gets the first ref at 0."""
-    first = b.agg(F.min("ref").alias("first"))
-    scored = _pairs(a, b).withColumn("s", F.round(F.col("shared") / F.col("nb"), 9)).groupBy("id").agg(F.max(F.struct("s", (-F.col("ref")).alias("minus"))).alias("m"))
-    out = a.select("id").join(scored, "id", "left").join(F.broadcast(first))
+    """The ref whose tokens an id covers best, then the one that shares more, then the first; an id that
+    shares none gets the first ref at 0. Refs without tokens take no part."""
+    first = b.where(F.size("toks") > 0).agg(F.min("ref").alias("first"))
+    scored = _pairs(a, b).withColumn("s", F.round(F.col("shared") / F.col("nb"), 9)).groupBy("id").agg(F.max(F.struct("s", "shared", (-F.col("ref")).alias("minus"))).alias("m"))
+    out = a.select("id").join(scored, "id", "left").join(F.broadcast(first))  # one row
     return out.select("id", F.coalesce(-F.col("m.minus"), "first").alias("ref"), F.coalesce("m.s", F.lit(0.0)).alias("score"))
 
 
 def drift(a: DataFrame, b: DataFrame, least: int = 2) -> DataFrame:
-    """Ids that another intent's ref covers better than any of their own, with ``least`` tokens shared.
+    """Ids that another intent's ref, with ``least`` tokens shared, covers better than any of their own does.
     a: id, intent, toks; b: ref, intent, toks."""
     p = _pairs(a, b).join(b.select("ref", F.col("intent").alias("of")), "ref").join(a.select("id", "intent"), "id").withColumn("s", F.round(F.col("shared") / F.col("nb"), 9))
-    own = F.col("of") == F.col("intent")
-    best = p.groupBy("id").agg(F.max(F.when(own, F.col("s"))).alias("own"), F.max(F.when(~own, F.struct("s", (-F.col("ref")).alias("minus"), "shared"))).alias("other"))
-    far = best.where((F.col("other.s") > F.coalesce("own", F.lit(0.0))) & (F.col("other.shared") >= least))
+    own, other = F.col("of") == F.col("intent"), (F.col("of") != F.col("intent")) & (F.col("shared") >= least)
+    best = p.groupBy("id").agg(F.max(F.when(own, F.col("s"))).alias("own"), F.max(F.when(other, F.struct("s", (-F.col("ref")).alias("minus")))).alias("other"))
+    far = best.where(F.col("other.s") > F.coalesce("own", F.lit(0.0)))
     return far.select("id", (-F.col("other.minus")).alias("ref"), F.col("other.s").alias("score"), F.coalesce("own", F.lit(0.0)).alias("own"))
 
 
 def near_in_group(df: DataFrame, group: str, pos: str, above: float = 0.6) -> DataFrame:
     """Pairs (first, second) of a group's rows whose word sets are alike, equal normal forms aside.
-    df: group, pos, norm, toks. Groups are a speaker's or an item's few lines."""
-    a = df.select(group, F.col(pos).alias("first"), F.col("norm").alias("n1"), F.col("toks").alias("t1"))
-    b = df.select(group, F.col(pos).alias("second"), F.col("norm").alias("n2"), F.col("toks").alias("t2"))
-    both = a.join(b, group).where((F.col("first") < F.col("second")) & (F.col("n1") != F.col("n2")))
+    df: group, pos, norm, toks; pos is unique in its group.
+
+    Two sets alike by more than ``above`` share a word among the first n - ceil(above * n) + 1 of each in
+    any common order; words go by rarity, so rows meet on a rare word of their group and a group of any
+    size is spread over its words."""
+    often = df.select(F.explode("toks").alias("w")).groupBy("w").agg(F.count("*").alias("often"))
+    words = df.select(group, F.col(pos).alias("at"), F.size("toks").alias("n"), F.explode("toks").alias("w")).join(often, "w")
+    rank = F.row_number().over(Window.partitionBy(group, "at").orderBy("often", "w"))
+    prefix = words.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.lit(above) * F.col("n") - 1e-9) + 1)
+    a = prefix.select(group, "w", F.col("at").alias("first"), F.col("n").alias("n1"))
+    b = prefix.select(group, "w", F.col("at").alias("second"), F.col("n").alias("n2"))
+    sizes = (F.col("n1") >= above * F.col("n2") - 1e-9) & (F.col("n2") >= above * F.col("n1") - 1e-9)
+    met = a.join(b, [group, "w"]).where((F.col("first") < F.col("second")) & sizes).select(group, "first", "second").distinct()
+    side = lambda name, i: df.select(group, F.col(pos).alias(name), F.col("norm").alias(f"norm{i}"), F.col("toks").alias(f"t{i}"))
+    both = met.join(side("first", 1), [group, "first"]).join(side("second", 2), [group, "second"]).where("norm1 <> norm2")
     j = F.size(F.array_intersect("t1", "t2")).cast("double") / F.size(F.array_union("t1", "t2"))
-    return both.where(F.size(F.array_union("t1", "t2")) > 0).withColumn("score", F.round(j, 9)).where(F.col("score") > above).select(group, "first", "second", "score")
+    return both.withColumn("score", F.round(j, 9)).where(F.col("score") > above).select(group, "first", "second", "score")
 
 
 def repeats(df: DataFrame, norm: str, order: str) -> DataFrame:
     """Rows whose normal form came before, with the row that had it first: a join on small per-form minima,
-    so a form of any size is spread."""
-    first = df.groupBy(norm).agg(F.min(order).alias("first"))
+    so a form of any size is spread. Forms that stand alone are left out of the join."""
+    first = df.groupBy(norm).agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     return df.join(first, norm).where(F.col(order) > F.col("first")).select(order, "first")

@@ -42,7 +42,8 @@ def class_report(spark: SparkSession, d: str) -> DataFrame:
 
 def route_report(spark: SparkSession, d: str) -> DataFrame:
     """All metrics of all subsets."""
-    return metrics.report(metrics.in_subsets(predictions(spark, d), _subsets()), ["subset"])
+    cells = metrics.cells_of(predictions(spark, d), ["split", "sensitive"])
+    return metrics.report(metrics.in_subsets(cells, _subsets()), ["subset"], weight="n")
 
 
 def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:

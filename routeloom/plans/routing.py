@@ -63,8 +63,8 @@ def route_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def summary_sets(spark: SparkSession, d: str) -> DataFrame:
     """A2: counts by route, by reason, by both and in all, in one pass."""
-    routed(spark, d).createOrReplaceTempView("_routed")
-    return spark.sql("SELECT grouping_id(route, reason) AS level, route, reason, count(*) AS n FROM _routed GROUP BY GROUPING SETS ((route), (reason), (route, reason), ())")
+    r = routed(spark, d)
+    return r.groupingSets([["route"], ["reason"], ["route", "reason"], []], "route", "reason").agg(F.grouping_id().alias("level"), F.count("*").alias("n")).select("level", "route", "reason", "n")
 
 
 def route_pivot(spark: SparkSession, d: str) -> DataFrame:

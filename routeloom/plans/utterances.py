@@ -177,8 +177,8 @@ ORACLE = {
     "first_words": "SELECT conv_id, count(DISTINCT string_split(text, ' ')[1]) AS openers, count(DISTINCT role) AS roles FROM conversations GROUP BY conv_id HAVING openers < 4",
     "drifted": f"""WITH a AS (SELECT conv_id * 1000 + turn AS id, {_content('text')} AS toks FROM conversations), b AS (SELECT item_id AS ref, {_content('text')} AS toks FROM benchmark), {_SIM},
         p AS (SELECT id, ref, shared, round(shared / nb::DOUBLE, 9) AS v, ref % 4 = (id // 1000) % 4 AS mine FROM s),
-        o AS (SELECT id, max(v) FILTER (mine) AS own FROM p GROUP BY id), t AS (SELECT * FROM p WHERE NOT mine QUALIFY row_number() OVER (PARTITION BY id ORDER BY v DESC, ref) = 1)
-        SELECT id, ref, v AS score, coalesce(own, 0) AS own FROM t JOIN o USING (id) WHERE v > coalesce(own, 0) AND shared >= 2""",
+        o AS (SELECT id, max(v) FILTER (mine) AS own FROM p GROUP BY id), t AS (SELECT * FROM p WHERE NOT mine AND shared >= 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY v DESC, ref) = 1)
+        SELECT id, ref, v AS score, coalesce(own, 0) AS own FROM t JOIN o USING (id) WHERE v > coalesce(own, 0)""",
     "keyword_hits": "WITH w AS (SELECT item_id, list_filter(string_split(rtrim(regexp_replace(trim(regexp_replace(regexp_replace(lower(text), '[''‘’]', '', 'g'), '\\s+', ' ', 'g')), '\\?$', ''), ' '), ' '), lambda w: w <> '') AS w FROM benchmark) SELECT item_id, array_to_string(list_filter(["
     + ", ".join(f"CASE WHEN {' AND '.join(f'len(list_filter(w, lambda x: starts_with(x, {k!r}))) > 0' for k in ks)} THEN '{n}' END" for n, ks in KEYWORDS.items()) + "], lambda x: x IS NOT NULL), ',') AS hits FROM w",
     "decoded_spans": """WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), g AS (SELECT item_id, w, unnest(range(len(w))) AS i FROM w),
