@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, below: int = 1 << 30) -> DataFrame:
+    """A small source dealt over all cores: its file may be one row group, which only one task reads.
+    Sources of ``below`` bytes or more have many and stay where they are, unshuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
+
+
 def read_rows(spark: SparkSession, path: str, splits: list[str] | None = None, schema=ROW) -> DataFrame:
     """JSON lines or Parquet by suffix; keys that old files lack get their defaults."""
     df = (spark.read.schema(schema).option("mode", "FAILFAST").json(path) if path.endswith((".jsonl", ".json")) else spark.read.schema(schema).parquet(path))
