@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeloom.functions.text import token_spans
+from routeloom.functions.text import bound, token_spans
 
 
 def decode(tokens: DataFrame, key: str) -> DataFrame:
@@ -36,6 +36,35 @@ def detect(text: Column, patterns: dict[str, str]) -> Column:
     return F.array_sort(reduce(free, found))
 
 
+PHONE_RUN = r"\+91|(?<![0-9])(?:[0-9][\s-]?){9}[0-9](?![0-9])"
+CARD_DIGITS = r"(?i)(?<=\bending\s{1,8})[0-9]+"
+SHORT_RUN = r"(?<![0-9.:])[0-9]{4,6}(?![0-9.:])"
+
+
+def merged(found: Column, text: Column) -> Column:
+    """Spans in order, those that only blanks part made one."""
+    kind = "array<struct<start:int,end:int>>"
+
+    def add(out: Column, s: Column) -> Column:
+        last = F.coalesce(F.try_element_at(out, F.lit(-1)), F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end")))
+        between = F.regexp_replace(F.substring(text, last["end"] + 1, s["start"] - last["end"]), r"\s+", "")
+        joins = (F.size(out) > 0) & (between == "")
+        longer = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), s["end"].alias("end"))))
+        return F.when(joins, longer).otherwise(F.concat(out, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+
+    return F.aggregate(found, F.array().cast(kind), add)
+
+
+def detect_personal(text: Column) -> Column:
+    """(start, end, label) of phone numbers (with an adjacent +91), digits after "ending", other numbers of 4 to 6
+    digits, and capitalised words that start no sentence; earlier kinds go first (T15)."""
+    words = token_spans(text, r"\S+")
+    after = lambda ws: F.filter(F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda p, w: F.when(w["text"].rlike(r"^\p{Lu}") & (w["text"] != "I") & ~p["text"].rlike(r"[.!?]$"), w)), lambda w: w.isNotNull())
+    kinds = {"phone": merged(token_spans(text, PHONE_RUN), text), "card": token_spans(text, CARD_DIGITS), "otp": token_spans(text, SHORT_RUN), "contact": bound(words, after)}
+    free = lambda kept, new: F.concat(kept, F.filter(new, lambda s: ~F.exists(kept, lambda k: overlap(k, s))))
+    return F.array_sort(reduce(free, [_labelled(found, name) for name, found in kinds.items()]))
+
+
 def covered(span: Column, text: Column, by: Column) -> Column:
     """Whether each character of a span that is not blank lies in one of the spans ``by``."""
     at = F.sequence(span["start"], span["end"] - 1)
