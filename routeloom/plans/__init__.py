@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from routeloom.plans import evaluation, routing, texts, utterances
+from routeloom.plans import checks, evaluation, routing, texts, utterances
 
-_MODULES = (routing, evaluation, texts, utterances)
+_MODULES = (routing, evaluation, texts, utterances, checks)
 
 
 def queries() -> dict:
