@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -32,6 +32,15 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def rows_of(df: DataFrame, *columns: str | Column, **values: Column) -> DataFrame:
+    """``columns`` with one row for each element of the array named in ``values``, none for an empty or null one.
+
+    Outer, because for a plain explode the optimizer infers a filter on the array's size that
+    computes the array's expression twice more for every row, below any repartition."""
+    ((name, value),) = values.items()
+    return df.select(*columns, F.explode_outer(value).alias(name)).where(F.col(name).isNotNull())
+
+
 def normalize(text: Column) -> Column:
     """Lower case, apostrophes dropped, white space collapsed, one final question mark removed."""
     t = F.regexp_replace(F.lower(text), "['‘’]", "")
@@ -45,10 +54,10 @@ def word_set(text: Column) -> Column:
 
 def content_tokens(text: Column) -> Column:
     """Distinct lower-case words without slots and stop words; a word with a digit is <num>."""
-    t = F.regexp_replace(F.lower(text), r"\{[^{}]*\}", " ")
-    t = F.regexp_replace(F.regexp_replace(t, "['‘’]", ""), r"[^a-z0-9<>\s]", " ")
-    words = F.transform(F.split(t, r"\s+"), lambda w: F.when(w.rlike("[0-9]"), "<num>").otherwise(w))
-    return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(*STOPWORDS)))
+    t = F.translate(F.regexp_replace(F.lower(text), r"\{[^{}]*\}", " "), "'‘’", "")
+    words = F.array_distinct(F.split(t, "[^a-z0-9<>]+"))
+    words = F.transform(words, lambda w: F.when(w.rlike("[0-9]"), "<num>").otherwise(w))
+    return F.array_except(words, F.array(*map(F.lit, ["", *STOPWORDS])))
 
 
 def _shared(a: Column, b: Column) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from routeloom.functions.text import rows_of
+
 
 def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Shared-token counts of (id) x (ref) pairs with a token in common. a: id, toks; b: ref, toks."""
-    left = a.select("id", F.size("toks").alias("na"), F.explode("toks").alias("tok"))
-    right = b.select("ref", F.size("toks").alias("nb"), F.explode("toks").alias("tok"))
+    left = rows_of(a, "id", F.size("toks").alias("na"), tok=F.col("toks"))
+    right = rows_of(b, "ref", F.size("toks").alias("nb"), tok=F.col("toks"))
     return left.join(right, "tok").groupBy("id", "ref").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
 
 
@@ -46,8 +48,8 @@ def near_in_group(df: DataFrame, group: str, pos: str, above: float = 0.6) -> Da
     Two sets alike by more than ``above`` share a word among the first n - ceil(above * n) + 1 of each in
     any common order; words go by rarity, so rows meet on a rare word of their group and a group of any
     size is spread over its words."""
-    often = df.select(F.explode("toks").alias("w")).groupBy("w").agg(F.count("*").alias("often"))
-    words = df.select(group, F.col(pos).alias("at"), F.size("toks").alias("n"), F.explode("toks").alias("w")).join(often, "w")
+    often = rows_of(df, w=F.col("toks")).groupBy("w").agg(F.count("*").alias("often"))
+    words = rows_of(df, group, F.col(pos).alias("at"), F.size("toks").alias("n"), w=F.col("toks")).join(often, "w")
     rank = F.row_number().over(Window.partitionBy(group, "at").orderBy("often", "w"))
     prefix = words.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.lit(above) * F.col("n") - 1e-9) + 1)
     a = prefix.select(group, "w", F.col("at").alias("first"), F.col("n").alias("n1"))

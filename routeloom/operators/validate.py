@@ -95,7 +95,7 @@ def line_errors(lines: DataFrame, seeds: DataFrame, strict: bool = False) -> Dat
     others = F.array_remove("users", F.col("intent"))
     parts = [
         issue(stray, "error", "lines", F.col("intent"), 0, "unknown_intent"), err(places, "unknown_index", line=0),
-        err(own.withColumn("code", F.explode(X.format_errors(F.col("text"), F.col("seed")))), F.col("code")),
+        err(X.rows_of(own, "*", code=X.format_errors(F.col("text"), F.col("seed"))), F.col("code")),
         judged(full, "lines", _item(), F.col("line"), [
             ("error", "variant_asr", F.col("variant") == "asr", ""), ("error", "unknown_variant", ~F.col("variant").isin("asr", *QUOTA), F.col("variant")),
             ("error", "duplicate", F.struct("seed_index", "k", "line") > F.col("first"), F.concat(F.lit("of line "), F.col("first.line").cast("string"))),
@@ -130,7 +130,7 @@ def line_warnings(lines: DataFrame, seeds: DataFrame) -> DataFrame:
     grouped = own.select("intent", "seed_index", _item().alias("g"), spot.alias("spot"), "norm", "toks")
     pairs = similarity.near_in_group(grouped, "g", "spot", NEAR_DUPLICATE)
     pairs = pairs.join(own.select("intent", "seed_index", _item().alias("g"), spot.alias("second")), ["g", "second"]).withColumn("line", F.col("second.line"))
-    slips = own.withColumn("code", F.explode(X.style_slips(F.col("text"), F.col("style"), F.col("variant"))))
+    slips = X.rows_of(own, "*", code=X.style_slips(F.col("text"), F.col("style"), F.col("variant")))
     keyed = own.withColumn("id", F.struct("intent", "seed_index", "k", "line"))
     refs = seeds.withColumn("ref", F.struct("intent", "seed_index"))
     order = refs.select("ref").withColumn("n", F.dense_rank().over(Window.orderBy("ref")))  # seeds: a few hundred
@@ -215,7 +215,7 @@ def augmentation_issues(goals: DataFrame, pairs: DataFrame, refs: DataFrame, int
         ("error", "unknown_intent", of_pair & F.col("is_known").isNull(), F.col("intent")), ("error", "ood_intent", of_pair & is_ood, F.col("intent")),
         ("warning", "nearer_to_other_intent", of_pair & F.col("is_known") & ~is_ood & (F.size("differ") > 0) & (F.col("known.shared") >= LEAST_SHARED), F.col("known.near_intent")),
     ])
-    parts = [texts, here(u.withColumn("code", F.explode(X.text_errors(F.col("text")))), "error", F.col("code"))]
+    parts = [texts, here(X.rows_of(u, "*", code=X.text_errors(F.col("text"))), "error", F.col("code"))]
 
     # goals
     enums = {"grp": GROUPS, **TAGS}

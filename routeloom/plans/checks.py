@@ -109,7 +109,7 @@ def threshold_table(spark: SparkSession, d: str) -> DataFrame:
 def personal_spans(spark: SparkSession, d: str) -> DataFrame:
     """T15, W9, W10."""
     s = spread(table(spark, d, "documents").select("doc_id", "text"))
-    return s.select("doc_id", F.explode(spans.detect_personal(F.col("text"))).alias("s")).select("doc_id", "s.start", "s.end", "s.label")
+    return X.rows_of(s, "doc_id", s=spans.detect_personal(F.col("text"))).select("doc_id", "s.start", "s.end", "s.label")
 
 
 def filled_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -83,7 +83,7 @@ def decoded_spans(spark: SparkSession, d: str) -> DataFrame:
 def detected_spans(spark: SparkSession, d: str) -> DataFrame:
     """Spans by patterns in order of priority."""
     s = spans.detect(F.col("text"), PATTERNS)
-    return table(spark, d, "documents").select("doc_id", F.explode(s).alias("s")).select("doc_id", "s.start", "s.end", "s.label")
+    return X.rows_of(table(spark, d, "documents"), "doc_id", s=s).select("doc_id", "s.start", "s.end", "s.label")
 
 
 def span_scores(spark: SparkSession, d: str) -> DataFrame:
