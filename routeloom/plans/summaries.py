@@ -12,7 +12,7 @@ from routeloom.plans.checks import _PICK, written_lines
 from routeloom.plans.evaluation import COST, PRED
 from routeloom.plans.routing import DECIDED
 from routeloom.plans.texts import _norm
-from routeloom.sources.tables import predictions, routed, spread, table
+from routeloom.sources.tables import AUGMENT_SOURCES, from_records, in_splits, predictions, records, routed, spread, table, with_intent_tags
 from routeloom.vocab import REASONS, ROUTES, SPLITS, TAGS
 
 SOURCES = ["seed", "paraphrase", "asr", "synthetic_goal", "minimal_pair"]
@@ -81,7 +81,25 @@ def first_texts(spark: SparkSession, d: str) -> DataFrame:
     return summary.first_texts(docs.select(F.md5(X.normalize(F.col("text"))).alias("norm"), "doc_id"), "norm", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (row_summary, augmented_summary, augmentation_stats, best_epoch, missing_intents, first_texts)}
+def stored_records(spark: SparkSession, d: str) -> DataFrame:
+    """SC1, P12, P13: orders as rows written to JSON texts and read back, of two splits."""
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(
+        k.cast("string").alias("id"), _pick(SPLITS, k).alias("split"), _pick(SOURCES, F.col("o_custkey")).alias("source"), _pick(["formal", "plain"], F.floor(k / 4)).alias("variant"),
+        (k % 5 == 0).alias("is_synthetic"), F.when(k % 3 == 0, F.col("o_orderpriority")).alias("pair_id"),
+    )
+    return in_splits(from_records(records(rows, include_source=False), rows.schema), "train, val")
+
+
+def intent_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Line items' tags, their supplier's where it is a known intent and the row is not synthetic; counted."""
+    tags = lambda i: [_pick(TAGS[t], i + n).alias(t) for n, t in enumerate(TAGS)]
+    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") * 2).alias("intent"), (F.col("l_linenumber") == 2).alias("is_synthetic"), *tags(F.col("l_orderkey")))
+    of = table(spark, d, "supplier").select(F.col("s_suppkey").alias("intent"), *tags(F.col("s_nationkey")))
+    return with_intent_tags(rows, of).groupBy("intent", *TAGS).agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (row_summary, augmented_summary, augmentation_stats, best_epoch, missing_intents, first_texts, stored_records, intent_tags)}
 
 _ROWS = f"""{DECIDED}, q AS (SELECT *, event_id AS id, event_id % 50 AS seed_id, event_id // 4 AS utterance_id, event_id % 20 AS intent,
     CASE event_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split, {_PICK(SOURCES, 'event_id // 7')} AS source, {_PICK(VARIANTS, 'event_id // 5')} AS variant FROM d),
@@ -91,6 +109,7 @@ _COUNT = lambda level, source, column: f"SELECT '{level}' AS level, '{column}' A
 _TAGGED = lambda key: f"{_PICK(GROUPS[:3], key)} AS grp, " + ", ".join(f"{_PICK(v, f'({key} // {i + 2})')} AS {t}" for i, (t, v) in enumerate(TAGS.items()))
 _NAMES = ["grp", *TAGS]
 _KNOWN_TAGS = ", ".join(f"('tag', '{c}', '{v}', 0, 0, 0)" for c, vs in {"grp": GROUPS, **TAGS}.items() for v in vs)
+_TAGS_AT = lambda i, name: ", ".join(f"{_PICK(TAGS[t], f'{i} + {n}')} AS {name}_{t}" for n, t in enumerate(TAGS))
 ORACLE = {
     "row_summary": f"""{_ROWS}, first AS (SELECT unnest(min({{'id': id, 'source': source, 'variant': variant, 'sensitive': sensitive}})) FROM rows GROUP BY utterance_id),
         seeds AS (SELECT DISTINCT seed_id, split FROM rows),
@@ -117,4 +136,10 @@ ORACLE = {
         SELECT epoch, n, swe, macro_f1 FROM m JOIN f USING (epoch) ORDER BY swe, macro_f1 DESC, epoch LIMIT 1""",
     "missing_intents": "WITH s AS (SELECT DISTINCT user_id % 40 AS u FROM events WHERE user_id % 40 % 9 <> 0) SELECT 'i' || u AS intent FROM s WHERE u NOT IN (SELECT user_id % 40 FROM events WHERE event_id < 40)",
     "first_texts": f"SELECT md5({_norm('text')}) AS norm, min(doc_id) AS doc_id FROM documents GROUP BY 1",
+    "stored_records": f"""WITH r AS (SELECT o_orderkey AS k, {_PICK(SOURCES, 'o_custkey')} AS own, own IN ({', '.join(f"'{x}'" for x in AUGMENT_SOURCES)}) AS kept, {_PICK(SPLITS, 'o_orderkey')} AS split FROM orders)
+        SELECT k::VARCHAR AS id, split, CASE WHEN kept THEN own ELSE 'seed' END AS source, CASE WHEN kept THEN {_PICK(['formal', 'plain'], 'k // 4')} ELSE 'plain' END AS variant, k % 5 = 0 AS is_synthetic,
+            CASE WHEN k % 3 = 0 THEN o_orderpriority END AS pair_id FROM r JOIN orders ON o_orderkey = k WHERE split IN ('train', 'val')""",
+    "intent_tags": f"""WITH i AS (SELECT s_suppkey AS intent, {_TAGS_AT('s_nationkey', 'own')} FROM supplier), r AS (SELECT l_suppkey * 2 AS intent, l_linenumber = 2 AS syn, {_TAGS_AT('l_orderkey', 'of')} FROM lineitem),
+        t AS (SELECT r.intent, {', '.join(f'CASE WHEN i.intent IS NOT NULL AND NOT syn THEN own_{t} ELSE of_{t} END AS {t}' for t in TAGS)} FROM r LEFT JOIN i ON i.intent = r.intent)
+        SELECT *, count(*) AS n FROM t GROUP BY ALL""",
 }

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from routeloom.operators.decide import ARRAY, route_columns
-from routeloom.vocab import CONNECTIVITY, ROUTES, ROW, SPEEDS, WORKLOADS
+from routeloom.vocab import CONNECTIVITY, ROUTES, ROW, SPEEDS, TAGS, WORKLOADS
+
+# Fixed values.
+AUGMENT_SOURCES = ["synthetic_goal", "minimal_pair"]
+DEFAULTS = {"source": "seed", "variant": "plain", "is_synthetic": False}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,19 +25,48 @@ def spread(df: DataFrame, below: int = 1 << 30) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
 
 
-def read_rows(spark: SparkSession, path: str, splits: list[str] | None = None, schema=ROW) -> DataFrame:
-    """JSON lines or Parquet by suffix; keys that old files lack get their defaults."""
-    df = (spark.read.schema(schema).option("mode", "FAILFAST").json(path) if path.endswith((".jsonl", ".json")) else spark.read.schema(schema).parquet(path))
-    defaults = {"source": F.lit("seed"), "variant": F.lit("plain"), "is_synthetic": F.lit(False)}
-    for c, v in defaults.items():
-        if c in df.columns:
-            df = df.withColumn(c, F.coalesce(c, v))
-    return df.where(F.col("split").isin(splits)) if splits else df
+def in_splits(df: DataFrame, splits: str | list[str] | None) -> DataFrame:
+    """Rows of the splits named, in a list or between commas; all of them for none or ``all``."""
+    names = [s.strip() for s in splits.split(",") if s.strip()] if isinstance(splits, str) else splits
+    return df if not names or names == ["all"] else df.where(F.col("split").isin(names))
+
+
+def with_defaults(df: DataFrame) -> DataFrame:
+    """Fields that old records lack get their defaults."""
+    return df.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in DEFAULTS.items() if c in df.columns})
+
+
+def read_rows(spark: SparkSession, path: str, splits: str | list[str] | None = None, schema: StructType = ROW) -> DataFrame:
+    """JSON lines or Parquet by suffix, a broken line fails (SC1, SC2, SC4)."""
+    reader = spark.read.schema(schema)
+    df = reader.option("mode", "FAILFAST").json(path) if path.endswith((".jsonl", ".json")) else reader.parquet(path)
+    return in_splits(with_defaults(df), splits)
+
+
+def records(rows: DataFrame, include_source: bool = True) -> DataFrame:
+    """value: each row as one JSON text. Null fields are left out, and on a row that is no augmentation a false
+    is_synthetic and, unless asked for, source and variant; read back, they have their defaults (P12)."""
+    augmented = F.col("source").isin(AUGMENT_SOURCES)
+    kept = {"is_synthetic": augmented | F.col("is_synthetic")} | ({} if include_source else {"source": augmented, "variant": augmented})
+    return rows.select(F.to_json(F.struct(*[F.when(kept[c], F.col(c)).alias(c) if c in kept else F.col(c) for c in rows.columns])).alias("value"))
+
+
+def from_records(lines: DataFrame, schema: StructType = ROW) -> DataFrame:
+    """The rows of JSON texts; blank lines are none, a broken one fails (SC1, P12)."""
+    texts = lines.where(F.trim("value") != "")
+    return with_defaults(texts.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*"))
+
+
+def with_intent_tags(rows: DataFrame, intents: DataFrame) -> DataFrame:
+    """Tags of the intent a row names; synthetic rows, and rows of no known intent, keep their own."""
+    known = intents.select("intent", F.struct(*TAGS).alias("_of"))
+    theirs = F.col("_of").isNotNull() & ~F.coalesce("is_synthetic", F.lit(False))
+    return rows.join(known, "intent", "left").withColumns({t: F.when(theirs, F.col(f"_of.{t}")).otherwise(F.col(t)) for t in TAGS}).drop("_of")
 
 
 def write_rows(df: DataFrame, path: str, by_split: bool = True) -> None:
     if path.endswith((".jsonl", ".json")):
-        df.write.json(path)
+        (records(df).write.text if {"source", "is_synthetic"} <= set(df.columns) else df.write.json)(path)
     elif by_split and "split" in df.columns:
         df.write.partitionBy("split").parquet(path)
     else:

@@ -140,6 +140,25 @@ def test_rows_are_read_back_with_defaults(spark, tmp_path):
         got = {r.id: (r.split, r.source, r.variant, r.is_synthetic) for r in read_rows(spark, f"file://{tmp_path}/{name}").collect()}
         assert got == {"a": ("train", "asr", "plain", False), "b": ("test", "seed", "plain", True)}
         assert [r.id for r in read_rows(spark, f"file://{tmp_path}/{name}", ["test"]).collect()] == ["b"]
+        assert [r.id for r in read_rows(spark, f"file://{tmp_path}/{name}", " test , ood").collect()] == ["b"]
+        assert read_rows(spark, f"file://{tmp_path}/{name}", "all").count() == 2
+
+
+def test_records_leave_out_defaults(spark):
+    from routeloom.sources.tables import from_records, records, with_intent_tags
+    from routeloom.vocab import ROW, TAGS
+
+    rows = spark.createDataFrame([{"id": "a", "source": "asr", "variant": "asr", "is_synthetic": False}, {"id": "b", "source": "minimal_pair", "variant": "plain", "is_synthetic": False, "pair_id": "p"}], ROW)
+    texts = [json.loads(r.value) for r in records(rows, include_source=False).collect()]
+    assert texts == [{"id": "a"}, {"id": "b", "source": "minimal_pair", "variant": "plain", "is_synthetic": False, "pair_id": "p"}]
+    blank = spark.createDataFrame([("",), ("  ",), ('{"id": "c"}',)], "value string")
+    assert [(r.id, r.source, r.is_synthetic) for r in from_records(blank).collect()] == [("c", "seed", False)]
+    with pytest.raises(Exception, match="MALFORMED"):
+        from_records(spark.createDataFrame([('{"id": ',)], "value string")).collect()
+    intents = spark.createDataFrame([("stop", *["x"] * len(TAGS))], ["intent", *TAGS])
+    own = [("stop", False), ("stop", True), ("other", False), ("stop", None)]
+    tagged = with_intent_tags(spark.createDataFrame([(n, i, s, *["y"] * len(TAGS)) for n, (i, s) in enumerate(own)], ["n", "intent", "is_synthetic", *TAGS]), intents)
+    assert [r.actuation for r in tagged.orderBy("n").collect()] == ["x", "y", "y", "x"]
 
 
 def test_cost_matrix_checks(spark):
