@@ -39,17 +39,6 @@ def per_class(cells: DataFrame, by: list[str]) -> DataFrame:
     return counts.withColumns({"precision": ratio(F.col("tp"), F.col("n_pred")), "recall": ratio(F.col("tp"), F.col("n_true")), "f1": ratio(2 * F.col("tp"), F.col("n_true") + F.col("n_pred"))})
 
 
-def mcc(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Multiclass correlation from the margins; 0 where undefined."""
-    w = lambda *c: Window.partitionBy(*by, *c)
-    m = cells.withColumns({"t": F.sum("n").over(w("y")), "q": F.sum("n").over(w("p")), "same": F.col("y") == F.col("p")})
-    pairs = per_class(cells, by).groupBy(*by).agg(F.sum(F.col("n_true") * F.col("n_pred")).alias("tp2"), F.sum(F.col("n_true") ** 2).alias("t2"), F.sum(F.col("n_pred") ** 2).alias("p2"))
-    sums = m.groupBy(*by).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("same"), F.col("n"))), F.lit(0)).alias("c"))
-    den = F.sqrt(F.col("n") ** 2 - F.col("p2")) * F.sqrt(F.col("n") ** 2 - F.col("t2"))
-    value = F.when(den > 0, (F.col("c") * F.col("n") - F.col("tp2")) / den).otherwise(0.0)
-    return sums.join(pairs, by).select(*by, value.alias("mcc"))
-
-
 def cells_of(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """n of (by, y, p, safety): at most 50 rows a group."""
     return df.groupBy(*by, "y", "p", "safety").agg((F.sum(weight) if weight else F.count("*")).alias("n"))
@@ -57,19 +46,27 @@ def cells_of(df: DataFrame, by: list[str], weight: str | None = None) -> DataFra
 
 def report(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """n, accuracy, swe, macro_f1, mcc and critical misses of each group of df (y, p, safety, and the
-    number of rows each row stands for, if ``weight`` names it). Rows are read once, into cells."""
-    own = cells_of(df, by, weight)
-    total = lambda c: F.sum(F.col("n") * c)
+    number of rows each row stands for, if ``weight`` names it). Rows are read once, into cells, and each
+    group's cells are summed once: every figure follows from the margins of the five routes. F1 is the mean
+    over routes that occur; the correlation is 0 where undefined."""
     whole = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
-    base = scored(own).groupBy(*by).agg(
-        F.sum("n").alias("n"), (total((F.col("y") == F.col("p")).cast("double")) / F.sum("n")).alias("accuracy"), (total(F.col("cost")) / F.sum("n")).alias("swe"),
-        whole(F.col("missed")).alias("critical_misses"), whole(F.col("eligible")).alias("n_critical"),
+    y, p, n = F.col("y"), F.col("p"), F.col("n")
+    # of each route: rows hit, rows that are it, rows predicted as it
+    margins = [F.struct(whole((y == r) & (p == r)).cast("double").alias("tp"), whole(y == r).cast("double").alias("t"), whole(p == r).cast("double").alias("q")) for r in ROUTES]
+    sums = scored(cells_of(df, by, weight)).groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum(n * F.col("cost")).alias("paid"), whole(F.col("missed")).alias("critical_misses"), whole(F.col("eligible")).alias("n_critical"), F.array(*margins).alias("m"),
     )
-    cells = own.groupBy(*by, "y", "p").agg(F.sum("n").alias("n"))
-    f1 = per_class(cells, by).groupBy(*by).agg(F.avg("f1").alias("macro_f1"))
-    out = base.join(f1, by).join(mcc(cells, by), by)
+    add = lambda value: F.aggregate("m", F.lit(0.0), lambda a, m: a + value(m))
+    seen = F.size(F.filter("m", lambda m: m["t"] + m["q"] > 0))
+    f1 = add(lambda m: F.coalesce(F.try_divide(2 * m["tp"], m["t"] + m["q"]), F.lit(0.0))) / seen
+    sums = sums.withColumns({"hits": add(lambda m: m["tp"]), "tq": add(lambda m: m["t"] * m["q"]), "tt": add(lambda m: m["t"] * m["t"]), "qq": add(lambda m: m["q"] * m["q"]), "f1": f1})
+    den = F.sqrt(n * n.cast("double") - F.col("qq")) * F.sqrt(n * n.cast("double") - F.col("tt"))
+    mcc_value = F.when(den > 0, (F.col("hits") * n - F.col("tq")) / den).otherwise(0.0)
     r = lambda c: F.round(c, 6)
-    return out.select(*by, "n", r("accuracy").alias("accuracy"), r("swe").alias("swe"), r("macro_f1").alias("macro_f1"), r("mcc").alias("mcc"), "critical_misses", "n_critical", r(F.try_divide(F.col("critical_misses").cast("double"), F.col("n_critical").cast("double"))).alias("critical_miss_rate"))
+    return sums.select(
+        *by, "n", r(F.col("hits") / n).alias("accuracy"), r(F.col("paid") / n).alias("swe"), r("f1").alias("macro_f1"), r(mcc_value).alias("mcc"), "critical_misses", "n_critical",
+        r(F.try_divide(F.col("critical_misses").cast("double"), F.col("n_critical").cast("double"))).alias("critical_miss_rate"),
+    )
 
 
 def bootstrap(df: DataFrame, by: str, n_boot: int = 1000, seed: int = 0) -> DataFrame:

@@ -31,13 +31,14 @@ def test_six_row_metric_case(spark):
     df = spark.createDataFrame([("all", *r) for r in rows], "g string, y string, p string, safety boolean")
     r = metrics.report(df, ["g"]).first()
     assert (r.n, r.critical_misses, r.n_critical) == (6, 2, 4)
+    assert abs(r.macro_f1 - 2 / 5 / 5) < 1e-6
     assert abs(r.swe - (10 + 3 + 8 + 6 + 4 + 0) / 6) < 1e-6 and abs(r.accuracy - 1 / 6) < 1e-6
 
 
 def test_mcc_of_diagonal_swapped_and_single(spark):
     rows = [("d", "LOCAL", "LOCAL"), ("d", "CLOUD", "CLOUD"), ("s", "LOCAL", "CLOUD"), ("s", "CLOUD", "LOCAL"), ("o", "LOCAL", "LOCAL")]
-    cells = metrics.confusion(spark.createDataFrame(rows, "g string, y string, p string"), ["g"])
-    assert {r.g: round(r.mcc, 9) for r in metrics.mcc(cells, ["g"]).collect()} == {"d": 1.0, "s": -1.0, "o": 0.0}
+    df = spark.createDataFrame([(*r, False) for r in rows], "g string, y string, p string, safety boolean")
+    assert {r.g: r.mcc for r in metrics.report(df, ["g"]).collect()} == {"d": 1.0, "s": -1.0, "o": 0.0}
 
 
 def test_route_class_weights(spark):
