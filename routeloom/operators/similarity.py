@@ -6,39 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeloom.functions.text import rows_of
+from routeloom.operators.nearest import nearest
 
 
-def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Shared-token counts of (id) x (ref) pairs with a token in common. a: id, toks; b: ref, toks."""
-    left = rows_of(a, "id", F.size("toks").alias("na"), tok=F.col("toks"))
-    right = rows_of(b, "ref", F.size("toks").alias("nb"), tok=F.col("toks"))
-    return left.join(right, "tok").groupBy("id", "ref").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-
-
-def best_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
+def best_jaccard(a: DataFrame, b: DataFrame, often: int = 1000) -> DataFrame:
     """The most similar ref of each id with any shared token, and how many they share; the smallest ref on ties."""
-    scored = _pairs(a, b).withColumn("j", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 9))
-    best = scored.groupBy("id").agg(F.max(F.struct("j", (-F.col("ref")).alias("minus"), "shared")).alias("m"))
-    return best.select("id", (-F.col("m.minus")).alias("ref"), F.col("m.j").alias("score"), F.col("m.shared").alias("shared"))
+    return nearest(a.select("id", "toks"), b.select("ref", "toks"), often=often).where("best IS NOT NULL").select("id", "best.ref", "best.score", "best.shared")
 
 
-def best_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+def best_overlap(a: DataFrame, b: DataFrame, often: int = 1000) -> DataFrame:
     """The ref whose tokens an id covers best, then the one that shares more, then the first; an id that
     shares none gets the first ref at 0. Refs without tokens take no part."""
     first = b.where(F.size("toks") > 0).agg(F.min("ref").alias("first"))
-    scored = _pairs(a, b).withColumn("s", F.round(F.col("shared") / F.col("nb"), 9)).groupBy("id").agg(F.max(F.struct("s", "shared", (-F.col("ref")).alias("minus"))).alias("m"))
-    out = a.select("id").join(scored, "id", "left").join(F.broadcast(first))  # one row
-    return out.select("id", F.coalesce(-F.col("m.minus"), "first").alias("ref"), F.coalesce("m.s", F.lit(0.0)).alias("score"))
+    found = nearest(a.select("id", "toks"), b.select("ref", "toks"), kind="overlap", more_first=True, often=often)
+    out = found.join(F.broadcast(first))  # one row
+    return out.select("id", F.coalesce("best.ref", "first").alias("ref"), F.coalesce("best.score", F.lit(0.0)).alias("score"))
 
 
-def drift(a: DataFrame, b: DataFrame, least: int = 2) -> DataFrame:
+def drift(a: DataFrame, b: DataFrame, least: int = 2, often: int = 1000) -> DataFrame:
     """Ids that another intent's ref, with ``least`` tokens shared, covers better than any of their own does.
     a: id, intent, toks; b: ref, intent, toks."""
-    p = _pairs(a, b).join(b.select("ref", F.col("intent").alias("of")), "ref").join(a.select("id", "intent"), "id").withColumn("s", F.round(F.col("shared") / F.col("nb"), 9))
-    own, other = F.col("of") == F.col("intent"), (F.col("of") != F.col("intent")) & (F.col("shared") >= least)
-    best = p.groupBy("id").agg(F.max(F.when(own, F.col("s"))).alias("own"), F.max(F.when(other, F.struct("s", (-F.col("ref")).alias("minus")))).alias("other"))
-    far = best.where(F.col("other.s") > F.coalesce("own", F.lit(0.0)))
-    return far.select("id", (-F.col("other.minus")).alias("ref"), F.col("other.s").alias("score"), F.coalesce("own", F.lit(0.0)).alias("own"))
+    alien = F.col("of") != F.col("intent")
+    sets = {"own": ~alien, "other": alien & (F.col("shared") >= least)}
+    best = nearest(a.select("id", "intent", "toks"), b.select("ref", F.col("intent").alias("of"), "toks"), sets, kind="overlap", often=often, keep=["of"])
+    own = F.coalesce("own.score", F.lit(0.0))
+    return best.where(F.col("other.score") > own).select("id", "other.ref", "other.score", own.alias("own"), F.col("other.of").alias("closer"))
 
 
 def near_in_group(df: DataFrame, group: str, pos: str, above: float = 0.6) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from routeloom.functions import text as X
 from routeloom.operators import similarity
 from routeloom.operators.contexts import CONTEXT, route_map
+from routeloom.operators.nearest import nearest
 from routeloom.vocab import TAGS
 
 # Fixed values.
@@ -131,12 +132,9 @@ def line_warnings(lines: DataFrame, seeds: DataFrame) -> DataFrame:
     pairs = similarity.near_in_group(grouped, "g", "spot", NEAR_DUPLICATE)
     pairs = pairs.join(own.select("intent", "seed_index", _item().alias("g"), spot.alias("second")), ["g", "second"]).withColumn("line", F.col("second.line"))
     slips = X.rows_of(own, "*", code=X.style_slips(F.col("text"), F.col("style"), F.col("variant")))
-    keyed = own.withColumn("id", F.struct("intent", "seed_index", "k", "line"))
-    refs = seeds.withColumn("ref", F.struct("intent", "seed_index"))
-    order = refs.select("ref").withColumn("n", F.dense_rank().over(Window.orderBy("ref")))  # seeds: a few hundred
-    refs = refs.join(order, "ref").select(F.col("n").cast("long").alias("ref"), "intent", X.content_tokens(F.col("text")).alias("toks"))
-    far = similarity.drift(keyed.select("id", "intent", X.content_tokens(F.col("text")).alias("toks")), refs, LEAST_SHARED)
-    far = far.join(refs.select("ref", F.col("intent").alias("closer")), "ref").select("id.*", "closer", "score", "own")
+    keyed = own.select(F.struct("intent", "seed_index", "k", "line").alias("id"), "intent", X.content_tokens(F.col("text")).alias("toks"))
+    refs = seeds.select(F.struct("intent", "seed_index").alias("ref"), "intent", X.content_tokens(F.col("text")).alias("toks"))
+    far = similarity.drift(keyed, refs, LEAST_SHARED).select("id.*", "closer", "score", "own")
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     plain = own.where("variant = 'plain'").groupBy("intent", "seed_index").agg(
         F.count("*").alias("n"), F.countDistinct(F.get(words, F.lit(0))).alias("firsts"), F.min(F.struct("k", "line")).alias("first")
@@ -170,23 +168,16 @@ def _utterances(goals: DataFrame, pairs: DataFrame) -> DataFrame:
     return of_goals.unionByName(of_pairs.select("source", "item", "at", "u.side", "pos", "u.text", "u.style", "u.variant", "u.line", "u.intent"))
 
 
-def _nearest(texts: DataFrame, refs: DataFrame) -> DataFrame:
-    """id, ref, score, shared of each text's most similar ref, with the ref's columns."""
-    best = similarity.best_jaccard(texts.select("id", "toks"), refs.select("ref", X.content_tokens(F.col("text")).alias("toks")))
-    return best.join(refs.select("ref", F.col("intent").alias("near_intent"), "split", "kind", F.col("text").alias("near_text")), "ref")
-
-
 def reviewed(goals: DataFrame, pairs: DataFrame, refs: DataFrame, intents: DataFrame) -> DataFrame:
     """Each text with its nearest known, val/test and OOD text, and the tags in which the nearest differs."""
     u = _utterances(goals, pairs).withColumns({"id": F.xxhash64("source", "item", "at", "side", "pos"), "toks": X.content_tokens(F.col("text"))})
-    kinds = {"known": refs.where("split <> 'ood'"), "valtest": refs.where("split in ('val', 'test')"), "ood": refs.where("split = 'ood'")}
-    for name, some in kinds.items():
-        near = _nearest(u, some).select("id", F.struct("score", "shared", "near_intent", "near_text", "split", "kind").alias(name))
-        u = u.join(near, "id", "left")
+    index = refs.select("ref", F.col("intent").alias("near_intent"), "split", "kind", F.col("text").alias("near_text"), X.content_tokens(F.col("text")).alias("toks"))
+    sets = {"known": F.col("split") != "ood", "valtest": F.col("split").isin("val", "test"), "ood": F.col("split") == "ood"}
+    u = u.join(nearest(u.select("id", "toks"), index, sets, keep=["near_intent", "near_text", "split", "kind"]), "id")
     tags = list(TAGS)
     theirs = intents.select(F.col("intent").alias("near_intent"), *[F.col(t).alias(f"_{t}") for t in tags])
     own = goals.select(F.lit("goals").alias("source"), F.col("name").alias("item"), F.col("line").alias("at"), *tags)
-    u = u.join(F.broadcast(theirs), F.col("known.near_intent") == F.col("near_intent"), "left").join(own, ["source", "item", "at"], "left")
+    u = u.join(theirs, F.col("known.near_intent") == F.col("near_intent"), "left").join(own, ["source", "item", "at"], "left")
     differ = F.array_compact(F.array(*[F.when(F.col(t) != F.col(f"_{t}"), F.lit(t)) for t in tags]))
     differ = F.when(F.col("known").isNull(), F.array().cast("array<string>")).when(F.col("source") == "goals", differ).otherwise(F.array_compact(F.array(F.when(F.col("near_intent") != F.col("intent"), F.lit("intent")))))
     return u.withColumn("differ", differ).drop("near_intent", *tags, *[f"_{t}" for t in tags])
@@ -205,7 +196,7 @@ def augmentation_issues(goals: DataFrame, pairs: DataFrame, refs: DataFrame, int
     existing = refs.groupBy(X.normalize(F.col("text")).alias("norm")).agg(F.min_by("intent", "ref").alias("of"))
     spot = F.struct("source", "at", "item", "pos")
     first = u.groupBy("norm").agg(F.min(spot).alias("first"), F.count("*").alias("n")).where("n > 1")
-    owned = u.join(existing, "norm", "left").join(first, "norm", "left").join(F.broadcast(intents.select("intent", F.lit(True).alias("is_known"))), "intent", "left")
+    owned = u.join(existing, "norm", "left").join(first, "norm", "left").join(intents.select("intent", F.lit(True).alias("is_known")), "intent", "left")
     of_pair, is_ood = F.col("source") == "pairs", F.coalesce(F.col("intent").isin(ood_intents), F.lit(False))
     texts = judged(owned, F.col("source"), F.col("item"), F.col("line"), [
         ("error", "unknown_style", outside("style", STYLES), F.col("style")), ("error", "unknown_variant", outside("variant", QUOTA), F.col("variant")),
@@ -225,7 +216,7 @@ def augmentation_issues(goals: DataFrame, pairs: DataFrame, refs: DataFrame, int
     n = F.size("utterances")
     nth = F.row_number().over(Window.partitionBy("name").orderBy("line"))
     named = goals.withColumns({"nth": nth, "hits": X.keyword_hits(F.concat_ws(" ", "name", "description"), OOD_KEYWORDS)})
-    named = named.join(F.broadcast(intents.select(F.col("intent").alias("name"), F.lit(True).alias("taken"))), "name", "left")
+    named = named.join(intents.select(F.col("intent").alias("name"), F.lit(True).alias("taken")), "name", "left")
     parts.append(judged(named, "goals", F.col("name"), F.col("line"), [
         ("error", "not_snake_case", ~X.is_snake(F.col("name")), ""), ("error", "existing_intent", F.col("taken"), ""), ("error", "repeated_name", F.col("nth") > 1, ""),
         *[("error", f"empty_{c}", F.trim(c) == "", "") for c in ("description", "rationale")], *[("error", "unknown_value", outside(c, vs), c) for c, vs in enums.items()],
@@ -252,7 +243,7 @@ def augmentation_issues(goals: DataFrame, pairs: DataFrame, refs: DataFrame, int
     ]))
     tagged = lambda s: intents.select(F.col("intent").alias(f"i{s}"), F.struct(*TAGS).alias(f"t{s}"))
     both = pairs.where("a.intent <> b.intent").withColumns({"ia": F.col("a.intent"), "ib": F.col("b.intent")}).where(~F.col("ia").isin(ood_intents) & ~F.col("ib").isin(ood_intents))
-    both = both.join(F.broadcast(tagged("a")), "ia").join(F.broadcast(tagged("b")), "ib")
+    both = both.join(tagged("a"), "ia").join(tagged("b"), "ib")
     actual = F.array_compact(F.array(*[F.when(F.col(f"ta.{t}") != F.col(f"tb.{t}"), F.lit(t)) for t in TAGS]))
     mapped = route_map(pairs.sparkSession)  # 96 x 288 rows, whatever the data
     keys = ["sensitive", *CONTEXT]

@@ -57,7 +57,7 @@ def drifted(spark: SparkSession, d: str) -> DataFrame:
     """Turns better covered by items of another intent than of their own."""
     a = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("conv_id") % 4).cast("int").alias("intent"), X.content_tokens(F.col("text")).alias("toks"))
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("ref"), (F.col("item_id") % 4).cast("int").alias("intent"), X.content_tokens(F.col("text")).alias("toks"))
-    return similarity.drift(a, b)
+    return similarity.drift(a, b).drop("closer")
 
 
 def keyword_hits(spark: SparkSession, d: str) -> DataFrame:
