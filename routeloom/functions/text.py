@@ -167,8 +167,15 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD_TOKEN), F.lit(0))
 
 
+#: Matches whose offsets are summed up in one array; beyond that, blocks of as many.
+SPAN_BLOCK = 128
+
+
 def token_spans(text: Column, pattern: str) -> Column:
-    """(start, end, text) of a pattern's matches, in code points: one pass over matches and the gaps before them."""
+    """(start, end, text) of a pattern's matches, in code points: one pass over matches and the gaps before them.
+
+    Offsets are made in two levels, within blocks of matches and over the blocks, so that a text with very many
+    matches takes time in proportion to their number, not to its square."""
     kind = "array<struct<start:int,end:int,text:string>>"
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
@@ -179,7 +186,17 @@ def token_spans(text: Column, pattern: str) -> Column:
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
     pairs = F.filter(F.zip_with(hits, gaps, lambda h, g: F.struct(g.alias("gap"), h.alias("hit"))), lambda p: p["hit"].isNotNull())
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, add, lambda acc: acc["out"])).otherwise(F.when(text.isNotNull(), F.array().cast(kind)))
+
+    def blocks(ps: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / SPAN_BLOCK).cast("int")), lambda i: F.aggregate(F.slice(ps, i * SPAN_BLOCK + 1, F.lit(SPAN_BLOCK)), start, add))
+
+    def placed(made: Column) -> Column:
+        bases = F.aggregate(made, F.array(F.lit(0)), lambda acc, m: F.concat(acc, F.array(F.element_at(acc, -1) + m["at"])))
+        moved = lambda bs: F.flatten(F.transform(made, lambda m, i: F.transform(m["out"], lambda s: F.struct((s["start"] + F.get(bs, i)).alias("start"), (s["end"] + F.get(bs, i)).alias("end"), s["text"].alias("text")))))
+        return bound(bases, moved)
+
+    found = bound(pairs, lambda ps: F.when(F.size(ps) <= SPAN_BLOCK, F.aggregate(ps, start, add, lambda acc: acc["out"])).otherwise(bound(blocks(ps), placed)))
+    return F.when(text.rlike(pattern), found).otherwise(F.when(text.isNotNull(), F.array().cast(kind)))
 
 
 def bio_tags(tokens: Column, spans: Column) -> Column:

@@ -95,9 +95,9 @@ def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def with_paraphrases(seeds: DataFrame, lines: DataFrame, splits: DataFrame) -> DataFrame:
-    """All texts of seeds and their lines with the seed's split (J4, J5), in the order seed, then lines (O1).
+    """All texts of seeds and their lines with the seed's split (J4, J5); ``numbering.texts`` puts them in order (O1).
     seeds: intent, seed_index, seed_id, text; lines: intent, seed_index, k, text, variant; splits: seed_id, split."""
     own = seeds.select("intent", "seed_index", "seed_id", F.lit(-1).alias("k"), "text", F.lit("plain").alias("variant"), F.lit("seed").alias("source"))
     said = lines.join(seeds.select("intent", "seed_index", "seed_id"), ["intent", "seed_index"])
     both = own.unionByName(said.select("intent", "seed_index", "seed_id", "k", "text", "variant", F.lit("paraphrase").alias("source")))
-    return both.join(splits.select("seed_id", "split"), "seed_id").orderBy("intent", "seed_index", "k")
+    return both.join(splits.select("seed_id", "split"), "seed_id")

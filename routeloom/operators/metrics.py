@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -69,15 +72,59 @@ def report(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame
     )
 
 
+#: Means below this are drawn by inverting the distribution, larger ones from a normal corrected for skew.
+EXACT_MEAN, MOST_TERMS = 30, 120
+
+
+def keyed_uniforms(*key: object) -> tuple[float, float]:
+    """Two numbers strictly between 0 and 1 that follow from a key."""
+    h = hashlib.md5("/".join(map(str, key)).encode()).hexdigest()
+    return tuple((int(h[i : i + 13], 16) + 0.5) / 2**52 for i in (0, 13))
+
+
+def binomial(m: np.ndarray, p: float, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A draw of Binomial(m, p) for each pair of uniforms (u, v).
+
+    The rarer side is drawn. With a mean below EXACT_MEAN it is the smallest k whose distribution
+    reaches u; else u and v give a normal number z, and k = mean + z sd + (1 - 2p)(z^2 - 1) / 6, rounded."""
+    q = min(p, 1 - p)
+    if q == 0:
+        few = np.zeros(len(m))
+    else:
+        m = m.astype(float)
+        pmf = np.exp(m * math.log(1 - q))
+        cdf, few = pmf.copy(), np.zeros(len(m))
+        for _ in range(MOST_TERMS):
+            more = cdf < u
+            if not more.any():
+                break
+            pmf = np.where(more, pmf * (m - few) / (few + 1) * q / (1 - q), pmf)
+            few, cdf = few + more, np.where(more, cdf + pmf, cdf)
+        z = np.sqrt(-2 * np.log(u)) * np.cos(2 * math.pi * v)
+        many = np.floor(m * q + z * np.sqrt(m * q * (1 - q)) + (1 - 2 * q) * (z * z - 1) / 6 + 0.5)
+        few = np.clip(np.where(m * q < EXACT_MEAN, few, many), 0, m)
+    return (m - few if p > 0.5 else few).astype(np.int64)
+
+
+def multinomial(counts: np.ndarray, n_boot: int, *key: object) -> np.ndarray:
+    """n_boot rows of draws of as many rows as ``counts`` sums up to, cell by cell, each given those before."""
+    uniforms = np.array([[keyed_uniforms(*key, b, i) for i in range(len(counts))] for b in range(n_boot)])
+    out, left, weight = np.zeros((n_boot, len(counts)), np.int64), np.full(n_boot, counts.sum()), counts.sum()
+    for i, n in enumerate(counts):
+        out[:, i] = binomial(left, n / weight, uniforms[:, i, 0], uniforms[:, i, 1])
+        left, weight = left - out[:, i], weight - n
+    return out
+
+
 def bootstrap(df: DataFrame, by: str, n_boot: int = 1000, seed: int = 0) -> DataFrame:
-    """95% intervals of swe and macro_f1 from multinomial draws over the at most 30 cells of a group:
-    the work does not depend on the number of rows."""
+    """95% intervals of swe and macro_f1 from keyed multinomial draws over the at most 30 cells of a group:
+    the work does not depend on the number of rows, and re-runs agree."""
     cells = scored(df).groupBy(by, "true_row", "p", "cost").agg(F.count("*").alias("n"))
 
     def intervals(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["true_row", "p"])
         n = pdf["n"].to_numpy()
-        draws = np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), n_boot)
+        draws = multinomial(n, n_boot, seed, pdf[by].iloc[0])
         swe = draws @ pdf["cost"].to_numpy() / n.sum()
         y = pdf["true_row"].str.replace("LOCAL_.*", "LOCAL", regex=True).to_numpy()
         p = pdf["p"].to_numpy()
@@ -106,3 +153,19 @@ def join_predictions(rows: DataFrame, preds: DataFrame, on: str = "id") -> tuple
     repeated = preds.groupBy(on).count().where("count > 1").select(F.lit("repeated").alias("problem"), on)
     unknown = preds.join(rows, on, "left_anti").select(F.lit("unknown").alias("problem"), on)
     return rows.join(preds, on), repeated.unionByName(unknown)
+
+
+def joined(rows: DataFrame, preds: DataFrame, on: str = "id") -> DataFrame:
+    """Rows that have a prediction, with it; ids that repeat or match no row end the job.
+
+    The checks ride on the join itself: predictions are grouped by id, so one shuffle serves both, and a
+    prediction that is wrong raises where its columns are made. rows: ``on`` is unique; its other columns must
+    not be named as those of the predictions."""
+    own = [c for c in preds.columns if c != on]
+    once = preds.groupBy(on).agg(F.count("*").alias("_n"), F.first(F.struct(on, *own)).alias("_p"))
+    held = once.join(rows.withColumn("_row", F.lit(True)), on, "left")
+    text = F.coalesce(F.col(on).cast("string"), F.lit("null"))
+    wrong = F.when(F.col("_n") > 1, F.concat(F.lit("more than one prediction for id "), text)).when(F.col("_row").isNull(), F.concat(F.lit("a prediction for an unknown id: "), text))
+    checked = F.when(wrong.isNotNull(), F.raise_error(wrong).cast(held.schema["_p"].dataType)).otherwise(F.col("_p"))
+    made = held.withColumn("_p", checked)
+    return made.select(F.col(f"_p.{on}").alias(on), *[c for c in rows.columns if c != on], *[F.col(f"_p.{c}").alias(c) for c in own])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from routeloom.plans import checks, evaluation, routing, summaries, texts, utterances
+from routeloom.plans import checks, evaluation, generation, routing, summaries, texts, utterances
 
-_MODULES = (routing, evaluation, texts, utterances, checks, summaries)
+_MODULES = (routing, evaluation, texts, utterances, checks, summaries, generation)
 
 
 def queries() -> dict:

@@ -47,8 +47,15 @@ def route_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
-    """A12."""
-    return metrics.bootstrap(predictions(spark, d), "split")
+    """Intervals from 1000 keyed resamples."""
+    b = metrics.bootstrap(predictions(spark, d), "split")
+    return b.select("split", *[F.round(c, 6).alias(c) for c in ("swe_low", "swe_high", "f1_low", "f1_high")])
+
+
+def joined_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their labels as predictions; a repeated or unknown id would end the job."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
+    return metrics.joined(rows, table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic"))
 
 
 def prediction_problems(spark: SparkSession, d: str) -> DataFrame:
@@ -106,6 +113,12 @@ def temperature_fit(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.round("m.t", 6).alias("t"), F.round("m.nll", 6).alias("nll"))
 
 
+def temperature_refined(spark: SparkSession, d: str) -> DataFrame:
+    """The grid's best temperature refined by Newton steps."""
+    t, nll, grid = calibrate.temperature(_logits(spark, d))
+    return table(spark, d, "embeddings").agg(F.count("*").alias("n")).select("n", F.lit(round(t, 6)).alias("t"), F.lit(round(nll, 6)).alias("nll"), F.lit(round(grid, 6)).alias("grid_t"))
+
+
 def top3(spark: SparkSession, d: str) -> DataFrame:
     """The three likeliest classes, lower class first on ties."""
     ranked = F.array_sort(F.transform("logits", lambda v, i: F.struct((-v).alias("minus"), i.alias("i"))))
@@ -142,7 +155,7 @@ def schedule(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(0, 101).select(F.col("id").alias("step"), F.round(F.when(s < 10, s / 10).otherwise(F.greatest(F.lit(0.0), (100 - s) / 90)), 6).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (confusion, class_report, route_report, bootstrap_intervals, prediction_problems, tag_report, decode_tags, combined_routes, calibration, calibration_error, temperature_fit, top3, threshold_scan, class_weights, tag_weights, schedule)}
+QUERIES = {f.__name__: f for f in (confusion, class_report, route_report, bootstrap_intervals, joined_predictions, prediction_problems, tag_report, decode_tags, combined_routes, calibration, calibration_error, temperature_fit, temperature_refined, top3, threshold_scan, class_weights, tag_weights, schedule)}
 
 LOGITS = "WITH l AS (SELECT vec_id, list_transform(embedding[1:5], lambda v: round(v::DOUBLE * 10, 6)) AS x, label % 5 AS y FROM embeddings)"
 _SOFT = lambda x, t="1": f"list_transform({x}, lambda v: exp((v - list_max({x})) / {t}))"
@@ -158,6 +171,29 @@ ORACLE = {
         b AS (SELECT subset, count(*) AS n, avg((y = p)::INT) AS accuracy, avg(cost) AS swe, count(*) FILTER (missed) AS critical_misses, count(*) FILTER (eligible) AS n_critical FROM u GROUP BY subset),
         m AS (SELECT *, sqrt(n::DOUBLE * n - p2) * sqrt(n::DOUBLE * n - t2) AS den FROM b JOIN f USING (subset))
         SELECT subset, n, round(accuracy, 6) AS accuracy, round(swe, 6) AS swe, round(f1, 6) AS macro_f1, round(CASE WHEN den > 0 THEN (c * n - tp2) / den ELSE 0 END, 6) AS mcc, critical_misses, n_critical, round(critical_misses / nullif(n_critical, 0)::DOUBLE, 6) AS critical_miss_rate FROM m""",
+    "bootstrap_intervals": SCORED.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+        cells AS (SELECT split, CASE WHEN y <> 'LOCAL' THEN y WHEN safety THEN 'LOCAL_SAFETY_CRITICAL' ELSE 'LOCAL_OTHER' END AS true_row, y, p, cost, count(*) AS n FROM s GROUP BY ALL),
+        ix AS (SELECT *, row_number() OVER w - 1 AS i, sum(n) OVER (PARTITION BY split ORDER BY true_row, p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight, sum(n) OVER (PARTITION BY split) AS total
+            FROM cells WINDOW w AS (PARTITION BY split ORDER BY true_row, p)),
+        draw AS (
+            SELECT split, b, -1::BIGINT AS i, total::BIGINT AS rest, 0::BIGINT AS k FROM (SELECT DISTINCT split, total FROM ix), range(1000) t(b)
+            UNION ALL
+            SELECT split, b, i, rest - k, k FROM (
+                SELECT split, b, i, rest, CASE WHEN p > 0.5 THEN rest - few ELSE few END::BIGINT AS k FROM (
+                    SELECT *, CASE WHEN q = 0 THEN 0 WHEN rest * q < {metrics.EXACT_MEAN} THEN least(rest, list_reduce(range(0, {metrics.MOST_TERMS}),
+                            lambda a, j: CASE WHEN a.cdf >= u THEN a ELSE {{'k': a.k + 1, 'pmf': a.pmf * (rest - a.k) / (a.k + 1) * q / (1 - q), 'cdf': a.cdf + a.pmf * (rest - a.k) / (a.k + 1) * q / (1 - q)}} END,
+                            {{'k': 0::DOUBLE, 'pmf': exp(rest * ln(1 - q)), 'cdf': exp(rest * ln(1 - q))}}).k)
+                        ELSE greatest(0, least(rest, floor(rest * q + z * sqrt(rest * q * (1 - q)) + (1 - 2 * q) * (z * z - 1) / 6 + 0.5))) END AS few FROM (
+                        SELECT *, least(p, 1 - p) AS q, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS z FROM (
+                            SELECT draw.split, draw.b, ix.i, draw.rest, ix.n / ix.weight::DOUBLE AS p, (('0x' || substr(h, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u, (('0x' || substr(h, 14, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS v
+                            FROM (SELECT *, md5('0/' || split || '/' || b || '/' || (i + 1)) AS h FROM draw) draw JOIN ix ON ix.split = draw.split AND ix.i = draw.i + 1))))),
+        drawn AS (SELECT ix.split, b, y, p, cost, k, total FROM draw JOIN ix ON ix.split = draw.split AND ix.i = draw.i),
+        swe AS (SELECT split, b, sum(k * cost) / any_value(total) AS swe FROM drawn GROUP BY ALL),
+        sides AS (SELECT split, b, route, sum(tp) AS tp, sum(k) AS k FROM (SELECT split, b, y AS route, CASE WHEN y = p THEN k ELSE 0 END AS tp, k FROM drawn UNION ALL SELECT split, b, p, 0, k FROM drawn) GROUP BY ALL),
+        f AS (SELECT split, b, avg(2 * tp / k::DOUBLE) FILTER (k > 0) AS f1 FROM sides GROUP BY ALL)
+        SELECT split, round(quantile_cont(swe, 0.025), 6) AS swe_low, round(quantile_cont(swe, 0.975), 6) AS swe_high, round(quantile_cont(f1, 0.025), 6) AS f1_low, round(quantile_cont(f1, 0.975), 6) AS f1_high
+        FROM swe JOIN f USING (split, b) GROUP BY split""",
+    "joined_predictions": "SELECT doc_id AS id, lang, source, quality, toxic FROM documents JOIN labels USING (doc_id)",
     "prediction_problems": """WITH r AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0), q AS (SELECT l_orderkey AS id FROM lineitem),
         x AS (SELECT 'repeated' AS problem, id FROM q GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'unknown', id FROM q WHERE id NOT IN (SELECT id FROM r))
         SELECT problem, count(*) AS n, count(DISTINCT id) AS ids FROM x GROUP BY problem""",
@@ -176,6 +212,17 @@ ORACLE = {
     "temperature_fit": f"""{LOGITS}, t AS (SELECT exp(ln(0.05::DOUBLE) + (ln(20::DOUBLE) - ln(0.05::DOUBLE)) * i / 199) AS t FROM range(200) r(i)), a AS (SELECT t, y, {_SOFT('x', 't')} AS e FROM l, t),
         g AS (SELECT t, round(avg(-ln(greatest(e[y + 1] / list_sum(e), 1e-12))), 9) AS nll FROM a GROUP BY t)
         SELECT round(t, 6) AS t, round(nll, 6) AS nll FROM g ORDER BY g.nll, g.t LIMIT 1""",
+    "temperature_refined": LOGITS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", t AS (SELECT exp(ln(0.05::DOUBLE) + (ln(20::DOUBLE) - ln(0.05::DOUBLE)) * i / 199) AS t FROM range(200) r(i)), a AS (SELECT t, y, {_SOFT('x', 't')} AS e FROM l, t),
+        g AS (SELECT t, round(avg(-ln(greatest(e[y + 1] / list_sum(e), 1e-12))), 9) AS nll FROM a GROUP BY t), best AS (SELECT t, nll FROM g ORDER BY nll, t LIMIT 1),
+        step AS (
+            SELECT 0 AS i, 1 / t AS beta FROM best
+            UNION ALL
+            SELECT i + 1, least(greatest(any_value(beta) - avg(mean - x[y + 1]) / avg(square - mean * mean), any_value(beta) / 2, 1 / 20.0::DOUBLE), 2 * any_value(beta), 1 / 0.05::DOUBLE) FROM (
+                SELECT i, beta, x, y, list_inner_product(w, x) / list_sum(w) AS mean, list_inner_product(w, list_transform(x, lambda v: v * v)) / list_sum(w) AS square
+                FROM (SELECT i, beta, x, y, list_transform(x, lambda v: exp((v - list_max(x)) * beta)) AS w FROM step, l WHERE i < 30)) GROUP BY i
+        ), refined AS (SELECT 1 / beta AS t FROM step WHERE i = 30),
+        r AS (SELECT refined.t, avg(-ln(greatest(e[y + 1] / list_sum(e), 1e-12))) AS nll FROM (SELECT t, y, {_SOFT('x', 't')} AS e FROM refined, l) refined GROUP BY refined.t)
+        SELECT (SELECT count(*) FROM embeddings) AS n, round(CASE WHEN r.nll < best.nll THEN r.t ELSE best.t END, 6) AS t, round(least(r.nll, best.nll), 6) AS nll, round(best.t, 6) AS grid_t FROM r, best""",
     "top3": f"{LOGITS} SELECT vec_id, array_to_string(list_transform((list_sort(list_transform(range(1, 6), lambda i: {{'m': -x[i], 'i': i - 1}})))[1:3], lambda s: s.i::VARCHAR), ',') AS top FROM l",
     "threshold_scan": f"""{SCORED}, t AS (SELECT unnest([{_THRESHOLDS}]) AS threshold)
         SELECT threshold, round(avg((conf >= threshold)::INT), 6) AS coverage, count(*) FILTER (conf >= threshold) AS n_covered, round(avg((y = p)::INT) FILTER (conf >= threshold), 6) AS accuracy,
