@@ -115,13 +115,3 @@ def rendered(template: str, values: dict[str, Column]) -> Column:
 
     parts = re.split(r"\{(\w+)\}", template)
     return F.concat(*[(values[x] if x in values else F.lit("{" + x + "}")) if i % 2 else F.lit(x) for i, x in enumerate(parts)])
-
-
-def parsed_lines(reply: Column) -> Column:
-    """(lines, error) of a reply {"paraphrases": [{"text", "variant"}]}: lines null and the reason where it is no such thing."""
-    kind = "struct<paraphrases:array<struct<text:string,variant:string>>>"
-    body = F.try_parse_json(reply)
-    got = F.from_json(reply, kind, {"mode": "PERMISSIVE"})
-    bad = F.exists(got["paraphrases"], lambda x: x.isNull() | x["text"].isNull() | x["variant"].isNull())
-    error = F.when(body.isNull(), "no JSON").when(got.isNull() | got["paraphrases"].isNull(), "no list of paraphrases").when(bad, "an item without text or variant")
-    return F.struct(F.when(error.isNull(), got["paraphrases"]).alias("lines"), error.alias("error"))

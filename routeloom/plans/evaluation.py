@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from routeloom.functions.text import softmax
-from routeloom.operators import calibrate, decide, metrics
+from routeloom.operators import calibrate, decide, metrics, predict
 from routeloom.operators.policy import COSTS
-from routeloom.plans.routing import DECIDED
+from routeloom.plans.routing import DECIDED, REQUESTS
+from routeloom.plans.routing import decided as decided_sql
 from routeloom.sources.tables import predictions, requests, table
 from routeloom.vocab import DANGEROUS, ROUTES, TAGS
 
@@ -92,6 +93,29 @@ def _logits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", x.alias("logits"), (F.col("label") % 5).alias("y"))
 
 
+INTENTS = [f"i{i}" for i in range(10)]
+#: Where the logits of each output stand in a vector: first place and number.
+PLACES = {"route": (1, 5), "intent": (6, 10), "capability": (16, 4), "distraction": (20, 3), "actuation": (23, 4), "consequence": (27, 3)}
+TEMPERATURE = 1.5
+
+
+def prediction_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records from logits of vectors and contexts of requests."""
+    cut = {f"{n}_logits": F.transform(F.slice("embedding", a, k), lambda v: F.round(v.cast("double") * 10, 6)) for n, (a, k) in PLACES.items()}
+    e = table(spark, d, "embeddings").withColumns(cut).select(F.col("vec_id").alias("event_id"), *cut)
+    at = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    named = F.col("event_id") % 3 == 0
+    pieces = {"utterance": F.lit("call ravi kumar now"), "offsets": F.array(at(0, 4), at(5, 9), at(10, 15), at(16, 19)), "piece_tags": F.array(F.lit("O"), *[F.when(named, "I-contact").otherwise("O")] * 2, F.lit("O"))}
+    context = requests(spark, d).select("event_id", "speed", "connectivity", "workload", "privacy", "passenger", "tier")
+    p = predict.record(context.join(e, "event_id").withColumns(pieces).withColumnRenamed("event_id", "id"), INTENTS, temperature=TEMPERATURE, route_source="combined")
+    joined = lambda xs: F.array_join(xs, ",")
+    spans = joined(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["label"], s["text"])))
+    return p.select(
+        "id", "route", "intent", "confidence", "route_e2e", "route_tags", "route_combined", F.round(F.get("route_probs", F.lit(1)), 6).alias("p_cloud"), F.get("intent_probs_top3", F.lit(2))["p"].alias("p_third"),
+        joined("intent_probs_top3.intent").alias("top3"), spans.alias("spans"), *[F.col("tags")[t].alias(t) for t in TAGS], F.col("tag_probs")["actuation"]["restricted"].alias("p_restricted"),
+    )
+
+
 def calibration(spark: SparkSession, d: str) -> DataFrame:
     """Bins of calibrated confidence."""
     b = calibrate.ece_bins(calibrate.with_probs(_logits(spark, d)))
@@ -155,7 +179,7 @@ def schedule(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(0, 101).select(F.col("id").alias("step"), F.round(F.when(s < 10, s / 10).otherwise(F.greatest(F.lit(0.0), (100 - s) / 90)), 6).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (confusion, class_report, route_report, bootstrap_intervals, joined_predictions, prediction_problems, tag_report, decode_tags, combined_routes, calibration, calibration_error, temperature_fit, temperature_refined, top3, threshold_scan, class_weights, tag_weights, schedule)}
+QUERIES = {f.__name__: f for f in (confusion, class_report, route_report, bootstrap_intervals, joined_predictions, prediction_problems, tag_report, decode_tags, prediction_records, combined_routes, calibration, calibration_error, temperature_fit, temperature_refined, top3, threshold_scan, class_weights, tag_weights, schedule)}
 
 LOGITS = "WITH l AS (SELECT vec_id, list_transform(embedding[1:5], lambda v: round(v::DOUBLE * 10, 6)) AS x, label % 5 AS y FROM embeddings)"
 _SOFT = lambda x, t="1": f"list_transform({x}, lambda v: exp((v - list_max({x})) / {t}))"
@@ -202,6 +226,16 @@ ORACLE = {
         q AS (SELECT vec_id, list_transform(ea, lambda v: v / list_sum(ea)) AS a, list_transform(eb, lambda v: v / list_sum(eb)) AS b FROM a)
         SELECT vec_id, CASE WHEN a[2] >= 0.3 THEN 'safety_critical' WHEN a[4] >= 0.3 THEN 'restricted' ELSE ({_LIST(TAGS['actuation'])})[list_position(a, list_max(a))] END AS actuation,
             CASE WHEN b[3] >= 0.3 THEN 'high' WHEN b[2] + b[3] >= 0.5 THEN 'medium' ELSE ({_LIST(TAGS['distraction'])})[list_position(b, list_max(b))] END AS distraction FROM q""",
+    "prediction_records": f"""WITH {REQUESTS}, x AS (SELECT event_id, """ + ", ".join(f"list_transform(embedding[{a}:{a + k - 1}], lambda v: round(v::DOUBLE * 10, 6)) AS {n}" for n, (a, k) in PLACES.items()) + f""", r.speed, r.connectivity, r.workload, r.privacy, r.passenger, r.tier FROM embeddings JOIN r ON event_id = vec_id),
+        s AS (SELECT * EXCLUDE ({', '.join(PLACES)}), """ + ", ".join(f"{_SOFT(n)} AS {n}" for n in PLACES) + f""", list_max({_SOFT('route', TEMPERATURE)}) / list_sum({_SOFT('route', TEMPERATURE)}) AS sure FROM x),
+        q AS (SELECT * EXCLUDE ({', '.join(PLACES)}), """ + ", ".join(f"list_transform({n}, lambda v: v / list_sum({n})) AS {n}" for n in ("route", "intent")) + ", " + ", ".join(f"list_transform({n}, lambda v: round(v / list_sum({n}), 6)) AS {n}" for n in TAGS) + f""" FROM s),
+        t AS (SELECT event_id, speed, connectivity, workload, privacy, passenger, tier, event_id % 3 = 0 AS sensitive, route AS rp, sure, actuation AS ap, list_sort(list_transform(range(1, 11), lambda i: {{'m': -intent[i], 'i': i - 1}}))[1:3] AS best,
+            ({_LIST(ROUTES)})[list_position(route, list_max(route))] AS route_e2e, ({_LIST(TAGS['capability'])})[list_position(capability, list_max(capability))] AS capability, ({_LIST(TAGS['consequence'])})[list_position(consequence, list_max(consequence))] AS consequence,
+            CASE WHEN actuation[2] >= 0.3 THEN 'safety_critical' WHEN actuation[4] >= 0.3 THEN 'restricted' ELSE ({_LIST(TAGS['actuation'])})[list_position(actuation, list_max(actuation))] END AS actuation,
+            CASE WHEN distraction[3] >= 0.3 THEN 'high' WHEN distraction[2] + distraction[3] >= 0.5 THEN 'medium' ELSE ({_LIST(TAGS['distraction'])})[list_position(distraction, list_max(distraction))] END AS distraction FROM q), {decided_sql('t')},
+        c AS (SELECT *, CASE WHEN actuation = 'safety_critical' THEN route WHEN 'REFUSE' IN (route, route_e2e) THEN 'REFUSE' WHEN 'DEFER' IN (route, route_e2e) THEN 'DEFER' WHEN 'CLOUD' IN (route, route_e2e) AND 'CLOUD_MASKED' IN (route, route_e2e) THEN 'CLOUD_MASKED' ELSE route END AS combined FROM d)
+        SELECT event_id AS id, combined AS route, 'i' || best[1].i AS intent, round(sure, 6) AS confidence, route_e2e, route AS route_tags, combined AS route_combined, round(rp[2], 6) AS p_cloud, round(-best[3].m, 6) AS p_third,
+            array_to_string(list_transform(best, lambda b: 'i' || b.i), ',') AS top3, CASE WHEN sensitive THEN '5:15:contact:ravi kumar' ELSE '' END AS spans, capability, distraction, actuation, consequence, ap[4] AS p_restricted FROM c""",
     "combined_routes": f"{PRED} SELECT event_id, CASE WHEN safety THEN y WHEN 'REFUSE' IN (y, p) THEN 'REFUSE' WHEN 'DEFER' IN (y, p) THEN 'DEFER' WHEN 'CLOUD' IN (y, p) AND 'CLOUD_MASKED' IN (y, p) THEN 'CLOUD_MASKED' ELSE y END AS route FROM p",
     "calibration": f"""{LOGITS}, a AS (SELECT *, {_SOFT('x')} AS e FROM l), q AS (SELECT y, list_max(e) / list_sum(e) AS conf, list_position(e, list_max(e)) - 1 = y AS ok FROM a)
         SELECT greatest(ceil(round(conf * 15, 9)), 1)::INT AS bin, count(*) AS n, round(avg(ok::INT), 6) AS accuracy, round(avg(conf), 6) AS confidence FROM q GROUP BY 1""",

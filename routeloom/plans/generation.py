@@ -1,7 +1,9 @@
-"""Queries over row generation: noise copies, epochs of training rows, numbered texts, range joins."""
+"""Queries over row generation and replay: noise copies, epochs of training rows, numbered texts, range joins, deferred requests."""
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,11 @@ from routeloom.functions import noise
 from routeloom.functions import text as X
 from routeloom.operators import epochs, noise_spread, numbering, ranges
 from routeloom.plans.checks import _LINES, written_lines
+from routeloom.plans.routing import REQUESTS, decided
 from routeloom.plans.texts import _norm
 from routeloom.plans.utterances import _HEARD, _LIST, _U, OBJECTS, OPENERS, _utterances
-from routeloom.sources.tables import spread, table
+from routeloom.sources.tables import requests, spread, table
+from routeloom.streaming import deferred
 
 NUMBERS = "[0-9][0-9 .-]{3,}[0-9]"
 NAMES = "[0-9]+|[A-Z][a-z]+"
@@ -78,7 +82,14 @@ def appended_digests(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-_ALL = (span_tokens, spread_noise, epoch_rows, generated_texts, appended_digests)
+def settled_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Deferred requests decided again when the connection returns within thirty hours."""
+    users = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = deferred.settled_table(requests(spark, d).join(users, "event_id"), "user_id", "ts", timedelta(hours=30))
+    return out.select("event_id", "user_id", "connectivity", "settled_at", "outcome", "route", "reason")
+
+
+_ALL = (settled_requests, span_tokens, spread_noise, epoch_rows, generated_texts, appended_digests)
 QUERIES = {f.__name__: f for f in _ALL}
 
 #: Offsets of a pattern's matches in the rows of c (id, text): id, i, start, stop, w, gap (before) and last (after the last one).
@@ -107,6 +118,10 @@ _GENERATED = f"""WITH {_LINES}, sd AS (SELECT *, intent || '/' || seed_index AS
     rows_ AS (SELECT row_number() OVER (ORDER BY intent, seed_index, o, k, copy) - 1 AS n, seed_id, k::INT AS k, copy::INT AS copy, text, variant, source, CASE seed_index WHEN 0 THEN 'test' ELSE 'train' END AS split FROM told)"""
 _HASH = "('0x' || substr(md5('=' || n || '|' || " + " || '|' || ".join(f"coalesce('=' || {c}, '-')" for c in TEXT_COLUMNS) + "), 1, 15))::BIGINT::HUGEINT"
 ORACLE = {
+    "settled_requests": f"""WITH {REQUESTS}, {decided('r', 'f')}, w AS (SELECT f.* EXCLUDE (route, reason, demand), f.route AS first, user_id, epoch_us(ts) AS us FROM f JOIN events USING (event_id)),
+        b AS (SELECT w.event_id, arg_min(c.connectivity, c.us) AS link, min(c.us) AS back FROM w JOIN w c ON c.user_id = w.user_id AND c.connectivity <> 'none' AND c.us > w.us AND c.us <= w.us + 108000000000 WHERE w.first = 'DEFER' GROUP BY w.event_id),
+        s AS (SELECT w.* EXCLUDE (connectivity, first), coalesce(link, w.connectivity) AS connectivity, coalesce(back, us + 108000000000) AS settled_at, CASE WHEN back IS NULL THEN 'expired' ELSE 'returned' END AS outcome FROM w LEFT JOIN b USING (event_id) WHERE first = 'DEFER'),
+        {decided('s')} SELECT event_id, user_id, connectivity, settled_at, outcome, route, reason FROM d""",
     "span_tokens": "WITH c AS (SELECT doc_id AS id, text FROM documents), " + _AT("t", r"\S+") + ", " + _AT("s", NUMBERS) + """,
         hit AS (SELECT t.id, t.i, min(s.start) AS span FROM t JOIN s ON s.id = t.id AND t.start < s.stop AND t.stop > s.start GROUP BY ALL)
         SELECT id AS doc_id, i::INT AS pos, CASE WHEN row_number() OVER (PARTITION BY id, span ORDER BY i) = 1 THEN 'B-number' ELSE 'I-number' END AS tag FROM hit""",
