@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from routeloom.plans import checks, evaluation, generation, replies, routing, summaries, texts, utterances
+from routeloom.plans import augmentations, checks, evaluation, generation, replies, routing, summaries, texts, utterances
 
-_MODULES = (routing, evaluation, texts, utterances, checks, summaries, generation, replies)
+_MODULES = (routing, evaluation, texts, utterances, checks, summaries, generation, replies, augmentations)
 
 
 def queries() -> dict:
