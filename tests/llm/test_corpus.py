@@ -487,6 +487,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert whole.where("n <> of").isEmpty() and whole.count() == docs.count()
 
 
+def test_pipeline_stages_on_odd_rows_and_clashing_names(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    long = " ".join(f"w{i % 977}" for i in range(40_000))
+    rows = [(1, None), (2, ""), (3, long), (4, "same text here now ok yes"), (5, "same text here now ok yes"), (5, "same text here now ok yes"), (None, "no id at all"), (6, " "), (7, "password: hunter22secret"), (7, "another text of id seven, six words"), (None, None)]
+    names = ["hi", "lo", "n_shingles", "row", "text_", "node", "copies", "kept", "score", "predicted", "item_id", "ids", "key", "label", "y"]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.coalesce("text", F.lit("")).substr(1, 3)) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns, name
+        got = sorted(((r.doc_id or 0, r.text or "") for r in out.collect()))
+        if name == "near_duplicates":
+            assert got == sorted((i or 0, t or "") for i, t in rows if i not in (5,)), name
+        elif name == "secrets":
+            assert len(got) == len(rows) and [t for i, t in got if i == 7 and "SECRET" in t]
+        elif name == "toxicity":  # labels of other texts: what goes is not judged here
+            assert set(got) <= {(i or 0, t or "") for i, t in rows}
+        else:
+            assert got == sorted((i or 0, t or "") for i, t in rows), name
+        assert all(r[n].startswith(n) for r in out.collect() for n in names)
+        assert stage(spark, docs.limit(0), d).count() == 0
+    pack = corpus_pipeline.STAGES[-1][1]
+    pieces = pack(spark, docs, d)
+    assert pieces.where("start = 0").count() == len(rows) and pack(spark, docs.limit(0), d).count() == 0
+
+
 def test_warc_round_trip_and_forged_records(spark, none):
     forged = "WARC/1.1\r\nWARC-Type: response\r\nX-Page-Id: 666\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     rows = [(1, "http://a", forged), (2, "http://b", "é"), (3, "http://c", "é"), (4, "", None), (5, None, "WARC/1.1\r\n")]
