@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from routeloom import plans
 
-HEADLINE = ["route_events", "route_summary", "summary_sets", "flip_profiles", "context_sample", "split_assignment", "route_report", "class_report", "tag_report", "threshold_scan", "temperature_fit", "calibration", "content_tokens", "nearest_item", "matched_item", "repeated_texts", "token_offsets", "sensitive_flags"]
+HEADLINE = ["route_events", "route_summary", "summary_sets", "split_assignment", "route_report", "class_report", "tag_report", "threshold_scan", "temperature_fit", "calibration", "content_tokens", "nearest_item", "matched_item", "repeated_texts", "token_offsets", "sensitive_flags"]
 
 
 def main() -> None:

@@ -11,6 +11,7 @@ from routeloom.operators.decide import ARRAY
 from routeloom.plans.checks import _LINES, _LIST, _PICK, written_lines
 from routeloom.plans.routing import MAPPED
 from routeloom.plans.texts import _content, _norm, _set
+from routeloom.sources import files
 from routeloom.sources.tables import table
 from routeloom.vocab import TAGS
 
@@ -76,7 +77,14 @@ def item_risks(spark: SparkSession, d: str) -> DataFrame:
     return validate.item_risk(validate.reviewed(*made), validate.augmentation_issues(*made, OOD))
 
 
-_ALL = (nearest_texts, augmentation_issues, item_risks)
+def review_rows(spark: SparkSession, d: str) -> DataFrame:
+    """SK9: every text with its item's risk and issues and its nearest known text."""
+    made = inputs(spark, d)
+    texts, issues = validate.reviewed(*made), validate.augmentation_issues(*made, OOD)
+    return files.review_rows(validate.item_risk(texts, issues), texts, issues)
+
+
+_ALL = (nearest_texts, augmentation_issues, item_risks, review_rows)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _TAG = lambda t, k, key: _PICK(TAGS[t], f"{key} // {k}")
@@ -84,7 +92,7 @@ _NAMED = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _JAC = lambda a, b: f"round(len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))), 9)"
 _DIFFERS = "[" + ", ".join(f"[{_NAMED(x)}]::VARCHAR[]" for x in DIFFERS) + "]"
 _SIDE = lambda n, intent, i, line: f"'{n}' AS side, 'i' || ({intent}) AS intent, {_PICK(TEXTS, i)} AS text, {_PICK(STYLES, i)} AS style, {_PICK(VARIANTS, i)} AS variant, {line} AS line"
-_NEAR = lambda s, cond: f"{s} AS (SELECT uid, arg_max({{'score': j, 'shared': shared, 'near_intent': intent, 'kind': kind}}, (j, -ref)) AS m FROM met WHERE {cond} GROUP BY uid)"
+_NEAR = lambda s, cond: f"{s} AS (SELECT uid, arg_max({{'score': j, 'shared': shared, 'near_intent': intent, 'kind': kind, 'near_text': text}}, (j, -ref)) AS m FROM met WHERE {cond} GROUP BY uid)"
 _TEXTS = f"""{_LINES}, gl AS (SELECT CASE WHEN s % 7 = 0 THEN 'Bad Name' WHEN s % 7 = 1 THEN 'i' || s % 40 ELSE 'goal_' || s // 2 END AS name, {_PICK(DESCRIPTIONS, 's // 3')} AS description, CASE WHEN s % 13 = 0 THEN ' ' ELSE 'why' END AS rationale, {_PICK(GROUPS, 's')} AS grp,
         {', '.join(f"CASE WHEN s % 11 = {i} THEN 'odd' ELSE {_TAG(t, k, 's')} END AS {t}" for i, (t, k) in enumerate(CUT))}, s AS line, least(s % 14, 13) AS n FROM (SELECT s_suppkey AS s FROM supplier)),
     pr AS (SELECT s AS line, CASE WHEN s % 6 = 0 THEN 'Pair X' ELSE 'pair_' || s // 3 END AS id, ({_DIFFERS})[s // 2 % {len(DIFFERS)} + 1] AS differs_in, CASE WHEN s % 9 = 0 THEN '' ELSE 'note' END AS note, s FROM (SELECT s_suppkey AS s FROM supplier)),
@@ -95,7 +103,7 @@ _TEXTS = f"""{_LINES}, gl AS (SELECT CASE WHEN s % 7 = 0 THEN 'Bad Name' WHEN s
     ut AS (SELECT *, row_number() OVER () AS uid, {_norm('text')} AS norm, {_content('text')} AS toks FROM (
         SELECT 'goals' AS source, name AS item, gl.line AS owner, '' AS side, j AS pos, {_PICK(TEXTS, 'gl.line * 3 + j * 5')} AS text, {_PICK(STYLES, 'gl.line + j')} AS style, {_PICK(VARIANTS, 'gl.line // 2 + j')} AS variant, gl.line * 100 + j AS line, NULL AS intent FROM gl, range(13) r(j) WHERE j < gl.n
         UNION ALL SELECT 'pairs', id, owner, side, pos, text, style, variant, line, intent FROM sd)),
-    met AS (SELECT uid, ref, any_value(k.intent) AS intent, any_value(kind) AS kind, any_value(split) AS split, count(*) AS shared, round(count(*) / (any_value(na) + any_value(nb) - count(*))::DOUBLE, 9) AS j FROM (SELECT uid, len(toks) AS na, unnest(toks) AS tok FROM ut) t JOIN known_refs k USING (tok) GROUP BY uid, ref),
+    met AS (SELECT uid, ref, any_value(k.intent) AS intent, any_value(kind) AS kind, any_value(k.text) AS text, any_value(split) AS split, count(*) AS shared, round(count(*) / (any_value(na) + any_value(nb) - count(*))::DOUBLE, 9) AS j FROM (SELECT uid, len(toks) AS na, unnest(toks) AS tok FROM ut) t JOIN known_refs k USING (tok) GROUP BY uid, ref),
     {_NEAR('nk', "split <> 'ood'")}, {_NEAR('nv', "split IN ('val', 'test')")}, {_NEAR('no', "split = 'ood'")},
     rv0 AS (SELECT ut.*, nk.m AS known, nv.m AS valtest, no.m AS ood FROM ut LEFT JOIN nk USING (uid) LEFT JOIN nv USING (uid) LEFT JOIN no USING (uid)),
     rv AS (SELECT rv0.*, CASE WHEN known IS NULL THEN []::VARCHAR[] WHEN source = 'goals' THEN list_filter([{', '.join(f"CASE WHEN gl.{t} <> i.{t} THEN '{t}' END" for t in TAGS)}], lambda x: x IS NOT NULL) WHEN known.near_intent <> rv0.intent THEN ['intent'] ELSE [] END AS differ
@@ -150,11 +158,15 @@ _ISSUES = f"""WITH {MAPPED.removeprefix('WITH ')}, {_TEXTS},
             ('error', 'unknown_tag', f"len(list_filter(differs_in, lambda x: NOT list_contains({_LIST(list(TAGS))}, x))) > 0", "''"), ('error', 'same_intent', 'ia = ib', 'ia'), ('error', 'texts_differ', f'alike < {validate.PAIR_LEAST}', _N2('alike'))])}
         UNION ALL {_rules("'pairs'", 'id', 'line', 'pb', [('error', 'differs_in_is_wrong', 'list_sort(list_distinct(differs_in)) <> list_sort(actual) OR len(list_distinct(differs_in)) <> len(differs_in)', "array_to_string(actual, ',')")])}
         UNION ALL SELECT 'error', 'pairs', id, line, 'routes_never_differ', '' FROM pb ANTI JOIN apart USING (a_capability, a_distraction, a_actuation, b_capability, b_distraction, b_actuation))"""
+_RISKS = f"""{_ISSUES}, risk AS (SELECT source, item, max(greatest(coalesce(ood.score, 0) / {validate.OOD_MOST}, coalesce(valtest.score, 0) / {validate.VALTEST_MOST}, CASE WHEN len(differ) > 0 THEN coalesce(known.score, 0) / {validate.CONFLICT} ELSE 0 END)) AS call FROM rv GROUP BY ALL),
+        err AS (SELECT source, item, count(*) AS errors FROM iss WHERE level = 'error' GROUP BY ALL), votes AS (SELECT source, item, known.near_intent AS near, count(*) AS n, min(pos) AS p FROM rv WHERE known IS NOT NULL GROUP BY ALL),
+        modal AS (SELECT source, item, arg_max(near, (n, -p, near)) AS nearest FROM votes GROUP BY ALL),
+        risks AS (SELECT risk.source, risk.item, round(call + coalesce(errors, 0), 6) AS risk, nearest FROM risk LEFT JOIN err ON err.source = risk.source AND err.item = risk.item LEFT JOIN modal ON modal.source = risk.source AND modal.item = risk.item),
+        lv AS (SELECT source, item, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings FROM iss GROUP BY ALL)"""
 ORACLE = {
     "nearest_texts": f"WITH {_TEXTS} SELECT source, item, owner::INT AS at, side, pos::INT AS pos, " + ", ".join(f"{s}.{c} AS {s}_{c}" for s in ("known", "valtest", "ood") for c in ("score", "shared", "near_intent", "kind")) + ", array_to_string(differ, ',') AS differ FROM rv",
     "augmentation_issues": f"{_ISSUES} SELECT level, source, item, line::BIGINT AS line, code, coalesce(detail, '') AS detail FROM iss",
-    "item_risks": f"""{_ISSUES}, risk AS (SELECT source, item, max(greatest(coalesce(ood.score, 0) / {validate.OOD_MOST}, coalesce(valtest.score, 0) / {validate.VALTEST_MOST}, CASE WHEN len(differ) > 0 THEN coalesce(known.score, 0) / {validate.CONFLICT} ELSE 0 END)) AS call FROM rv GROUP BY ALL),
-        err AS (SELECT source, item, count(*) AS errors FROM iss WHERE level = 'error' GROUP BY ALL), votes AS (SELECT source, item, known.near_intent AS near, count(*) AS n, min(pos) AS p FROM rv WHERE known IS NOT NULL GROUP BY ALL),
-        modal AS (SELECT source, item, arg_max(near, (n, -p, near)) AS nearest FROM votes GROUP BY ALL)
-        SELECT risk.source, risk.item, round(call + coalesce(errors, 0), 6) AS risk, nearest FROM risk LEFT JOIN err ON err.source = risk.source AND err.item = risk.item LEFT JOIN modal ON modal.source = risk.source AND modal.item = risk.item""",
+    "item_risks": f"""{_RISKS} SELECT source, item, risk, nearest FROM risks""",
+    "review_rows": f"""{_RISKS} SELECT rv.source, rv.item, owner::INT AS at, side, pos::INT AS pos, text, CASE WHEN known IS NULL THEN '-' ELSE {_N2('known.score')} || ' ' || known.near_intent || ' ' || known.near_text END AS near, array_to_string(differ, ', ') AS differ,
+        risk, nearest, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings FROM rv JOIN risks USING (source, item) LEFT JOIN lv ON lv.source = rv.source AND lv.item = rv.item""",
 }

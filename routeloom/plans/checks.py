@@ -11,7 +11,7 @@ from routeloom.operators import calibrate, fills, policy, scoring, similarity, s
 from routeloom.operators.decide import ARRAY
 from routeloom.plans.evaluation import COST, PRED
 from routeloom.plans.routing import REQUESTS, decided
-from routeloom.plans.texts import _norm, _set
+from routeloom.plans.texts import _content, _norm, _set
 from routeloom.sources.tables import predictions, requests, spread, table
 from routeloom.vocab import DANGEROUS, TAGS
 
@@ -44,8 +44,8 @@ def line_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_warnings(spark: SparkSession, d: str) -> DataFrame:
-    """V2, J12, T11, A26; drift is compared by the query of its name."""
-    return validate.line_warnings(*written_lines(spark, d)).where("code <> 'drift'")
+    """V2, J11, J12, T11, A26."""
+    return validate.line_warnings(*written_lines(spark, d))
 
 
 def line_issue_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -173,13 +173,17 @@ _DANGER = lambda c: "CASE tag " + " ".join(f"WHEN '{t}' THEN {c} IN ({', '.join(
 ORACLE = {
     "line_errors": f"{_ERRORS} SELECT 'error' AS level, 'lines' AS source, item, line::BIGINT AS line, code, detail FROM e UNION ALL SELECT 'error', 'lines', intent || '/' || seed_index, 0, 'quota', short FROM quotas WHERE short <> ''",
     "line_issue_counts": f"{_ERRORS} SELECT 'error' AS level, code, count(*) AS n FROM e GROUP BY code",
-    "line_warnings": f"""WITH {_LINES}, j AS (SELECT *, len(list_intersect(toks, st))::DOUBLE / len(list_distinct(list_concat(toks, st))) AS s FROM (SELECT *, {_set('seed')} AS st FROM own) WHERE len(toks) + len(st) > 0),
+    "line_warnings": f"""WITH {_LINES}, sc AS (SELECT intent, seed_index, {_content('text')} AS toks FROM seeds), oc AS (SELECT intent, seed_index, line, unnest({_content('text')}) AS tok FROM own),
+        hit AS (SELECT o.intent, o.seed_index, o.line, c.intent AS of, c.seed_index AS i, count(*) AS shared, round(count(*) / any_value(len(toks))::DOUBLE, 9) AS s FROM oc o JOIN (SELECT *, unnest(toks) AS tok FROM sc) c USING (tok) GROUP BY ALL),
+        far AS (SELECT intent, seed_index, line, coalesce(max(s) FILTER (of = intent), 0) AS own, max(s) FILTER (of <> intent AND shared >= {validate.LEAST_SHARED}) AS other FROM hit GROUP BY ALL),
+        closer AS (SELECT f.*, min((of, i))[1] AS of FROM far f JOIN hit h ON h.intent = f.intent AND h.seed_index = f.seed_index AND h.line = f.line AND h.of <> f.intent AND shared >= {validate.LEAST_SHARED} AND h.s = f.other WHERE f.other > f.own GROUP BY ALL), j AS (SELECT *, len(list_intersect(toks, st))::DOUBLE / len(list_distinct(list_concat(toks, st))) AS s FROM (SELECT *, {_set('seed')} AS st FROM own) WHERE len(toks) + len(st) > 0),
         p AS (SELECT y.intent, y.seed_index, y.line, x.line AS first, round(len(list_intersect(x.toks, y.toks))::DOUBLE / len(list_distinct(list_concat(x.toks, y.toks))), 9) AS s FROM own x JOIN own y ON x.intent = y.intent AND x.seed_index = y.seed_index AND x.line < y.line AND x.norm <> y.norm),
         w AS (SELECT intent, seed_index, line, 'near_seed' AS code, format('{{:.2f}}', s) AS detail FROM j WHERE round(s, 9) > 0.6
             UNION ALL SELECT intent, seed_index, line, 'near_line', first || ' ' || format('{{:.2f}}', s) FROM p WHERE s > 0.6
             UNION ALL SELECT intent, seed_index, line, unnest(list_filter([CASE WHEN style <> 'question' AND text LIKE '%?' THEN 'question_mark' END,
                 CASE WHEN style <> 'question' AND text NOT LIKE '%?' AND regexp_matches(text, '^(?:(?:uh|um|er|so|hey|okay|ok)\\s+)*(?:(?:can|could|would|will|shall)\\s+(?:you|we|i)|is\\s+there|are\\s+there|do\\s+you)\\b') THEN 'reads_as_question' END,
                 CASE WHEN style = 'fragment' AND {_WORDS} > CASE variant WHEN 'disfluent' THEN 9 ELSE 6 END THEN 'long_fragment' END, CASE WHEN regexp_matches(bare, '[0-9]') AND NOT regexp_matches(text, '[0-9]{{4}}') THEN 'literal_digit' END], lambda x: x IS NOT NULL)), '' FROM own
+            UNION ALL SELECT intent, seed_index, line, 'drift', of || ' ' || format('{{:.2f}}', other) || ' ' || format('{{:.2f}}', own) FROM closer
             UNION ALL SELECT intent, seed_index, min(line), 'few_first_words', count(DISTINCT nullif(string_split(text, ' ')[1], ''))::VARCHAR FROM own WHERE variant = 'plain' GROUP BY intent, seed_index HAVING count(*) >= 4 AND count(DISTINCT nullif(string_split(text, ' ')[1], '')) < 4)
         SELECT 'warning' AS level, 'lines' AS source, intent || '/' || seed_index AS item, line::BIGINT AS line, code, detail FROM w""",
     "near_lines": f"""WITH {_LINES}, g AS (SELECT intent || '/' || seed_index || '/' || variant AS g, line, {_norm('text')} AS norm, {_set('text')} AS toks FROM lines),

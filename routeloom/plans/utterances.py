@@ -8,9 +8,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.functions import noise
+from routeloom.functions import encode, noise
 from routeloom.functions import text as X
-from routeloom.operators import similarity, spans
+from routeloom.operators import fills, scoring, similarity, spans
 from routeloom.plans.evaluation import PRED
 from routeloom.plans.texts import _SIM, _content
 from routeloom.sources.tables import predictions, table
@@ -106,10 +106,10 @@ def padded(spark: SparkSession, d: str) -> DataFrame:
 
 def pooled(spark: SparkSession, d: str) -> DataFrame:
     """Masked mean and last of three hidden vectors."""
-    e = table(spark, d, "embeddings").withColumn("m", F.when(F.col("vec_id") % 2 == 0, 3).otherwise(2))
-    cell = lambda t, i: F.get("embedding", F.lit(2 * t + i)).cast("double")
-    mean = lambda i: (cell(0, i) + cell(1, i) + F.when(F.col("m") == 3, cell(2, i)).otherwise(0.0)) / F.col("m")
-    return e.select("vec_id", *[F.round(mean(i), 6).alias(f"mean{i}") for i in (0, 1)], *[F.round(F.when(F.col("m") == 3, cell(2, i)).otherwise(cell(1, i)), 6).alias(f"last{i}") for i in (0, 1)])
+    hidden = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda t: F.transform(F.slice("embedding", t * 2 + 1, F.lit(2)), lambda v: v.cast("double")))
+    mask = F.array(F.lit(1), F.lit(1), (F.col("vec_id") % 2 == 0).cast("int"))
+    e = table(spark, d, "embeddings").select("vec_id", encode.mean_pooled(hidden, mask).alias("mean"), encode.last_pooled(hidden, mask).alias("last"))
+    return e.select("vec_id", *[F.round(F.get(c, F.lit(i)), 6).alias(f"{c}{i}") for c in ("mean", "last") for i in (0, 1)])
 
 
 def agreement(spark: SparkSession, d: str) -> DataFrame:
@@ -122,10 +122,23 @@ def agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def intent_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    """Accuracy overall (split null) and by split; none unless every prediction names one."""
-    p = predictions(spark, d).select("split", (F.col("y") == F.col("p")).cast("double").alias("hit"))
-    r = p.rollup("split").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"), F.every(F.col("hit").isNotNull()).alias("whole"))
-    return r.where("whole").drop("whole")
+    """Intents named by predictions of two splits, by split and over all."""
+    rows = predictions(spark, d).select(F.col("event_id").alias("id"), "split", F.concat(F.lit("i"), (F.col("event_id") % 7).cast("string")).alias("intent"))
+    named = F.concat(F.lit("i"), ((F.col("id") % 7 + F.when(F.col("id") % 5 == 0, 1).otherwise(0)) % 7).cast("string"))
+    kept, preds = scoring.of_splits(rows, rows.select("id", named.alias("predicted")), ["val", "test"])
+    return scoring.intent_scores(kept.join(preds, "id"))
+
+
+def rules_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Intents without synthetic rows, recall and precision of a detection, by split and over all."""
+    i = F.col("event_id")
+    rows = predictions(spark, d).select("split", (i % 7).alias("intent"), F.when(i % 4 == 0, -1).otherwise(i % 7).alias("predicted"), F.when(i % 3 == 0, True).when(i % 3 == 1, False).alias("is_synthetic"), (i % 6 < 2).alias("detected"), "sensitive")
+    return scoring.rules_scores(rows)
+
+
+def first_requests(spark: SparkSession, d: str) -> DataFrame:
+    """A3: the first event of each user."""
+    return fills.first_of_each(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
 def augmented_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +148,7 @@ def augmented_rows(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"))
 
 
-_ALL = (misheard, dropped_words, quota_shortfall, first_words, drifted, keyword_hits, decoded_spans, detected_spans, span_scores, padded, pooled, agreement, intent_accuracy, augmented_rows)
+_ALL = (misheard, dropped_words, quota_shortfall, first_words, drifted, keyword_hits, decoded_spans, detected_spans, span_scores, padded, pooled, agreement, intent_accuracy, rules_accuracy, first_requests, augmented_rows)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
@@ -200,5 +213,8 @@ ORACLE = {
     + ", ".join(f"round(CASE WHEN vec_id % 2 = 0 THEN (e[{i + 1}] + e[{i + 3}] + e[{i + 5}]) / 3 ELSE (e[{i + 1}] + e[{i + 3}]) / 2 END, 6) AS mean{i}, round(CASE WHEN vec_id % 2 = 0 THEN e[{i + 5}] ELSE e[{i + 3}] END, 6) AS last{i}" for i in (0, 1)) + " FROM e",
     "agreement": """WITH x AS (SELECT list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), y AS (SELECT x, list_transform(x, lambda v: floor(v * 8) / 8) AS y FROM x)
         SELECT round(max(list_max(list_transform(list_zip(x, y), lambda z: abs(z[1] - z[2])))), 6) AS gap, round(avg((list_position(x, list_max(x)) = list_position(y, list_max(y)))::INT), 6) AS argmax FROM y""",
-    "intent_accuracy": f"{PRED} SELECT split, count(*) AS n, round(avg((y = p)::INT), 6) AS accuracy FROM p GROUP BY ROLLUP (split)",
+    "intent_accuracy": f"{PRED}, x AS (SELECT split, event_id % 7 = (event_id % 7 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END) % 7 AS hit FROM p WHERE split IN ('val', 'test')) SELECT split, count(*) AS n, round(avg(hit::INT), 6) AS accuracy FROM x GROUP BY ROLLUP (split)",
+    "rules_accuracy": f"""{PRED}, x AS (SELECT split, event_id % 4 <> 0 AS hit, event_id % 3 <> 0 AS own, event_id % 6 < 2 AS detected, sensitive FROM p)
+        SELECT split, round(avg(hit::INT) FILTER (own), 6) AS intent_accuracy, round(avg(detected::INT) FILTER (sensitive), 6) AS recall, round(avg(sensitive::INT) FILTER (detected), 6) AS precision FROM x GROUP BY ROLLUP (split)""",
+    "first_requests": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1",
 }

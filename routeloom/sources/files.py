@@ -193,13 +193,10 @@ def manifest(rows: DataFrame, args: dict) -> dict:
     return {"args": args, "rows": at["rows"], "digest": at["digest"], "counts": by}
 
 
-def review_page(risks: DataFrame, texts: DataFrame, issues: DataFrame) -> str:
-    """Items by risk, highest first, each with its texts and their nearest known text (SK9)."""
-    said = F.struct("pos", F.col("text"), F.coalesce(F.concat_ws(" ", F.format_number("known.score", 2), "known.near_intent", "known.near_text"), F.lit("-")).alias("near"), F.array_join("differ", ", ").alias("differ"))
-    per_item = texts.groupBy("source", "item").agg(F.sort_array(F.collect_list(said)).alias("said"))  # about ten texts an item
+def review_rows(risks: DataFrame, texts: DataFrame, issues: DataFrame) -> DataFrame:
+    """A row for each text of an item, with the item's risk and issues and the text's nearest known one (SK9); readers sort
+    by risk, highest first."""
+    near = F.coalesce(F.concat_ws(" ", F.format_number("known.score", 2), "known.near_intent", "known.near_text"), F.lit("-"))
+    said = texts.select("source", "item", "at", "side", "pos", "text", F.when(F.col("known").isNotNull(), near).otherwise("-").alias("near"), F.array_join("differ", ", ").alias("differ"))
     levels = issues.groupBy("source", "item").agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"))
-    out = ["# Augmentation review", ""]
-    for r in risks.join(per_item, ["source", "item"]).join(levels, ["source", "item"], "left").fillna(0, ["errors", "warnings"]).orderBy(F.desc("risk"), "source", "item").toLocalIterator():
-        out += [f"## {r['item']} (risk {r['risk']:.2f})", "", f"{r['errors']} errors, {r['warnings']} warnings; mostly near {r['nearest'] or '-'}", ""]
-        out += [f"- {u['text']} | {u['near']} | {u['differ'] or '-'}" for u in r["said"]] + [""]
-    return "\n".join(out)
+    return said.join(risks, ["source", "item"]).join(levels, ["source", "item"], "left").fillna(0, ["errors", "warnings"])
