@@ -10,15 +10,19 @@ The lines between a surge and its dive are kept.
 Every page is scanned so. An ``article`` or ``main`` mark only helps: inside it any
 line of text weighs at least 1 and the surge level is 0. Each innermost mark is
 scanned by itself, and so are the lines outside any; what an element holds inside
-another leaves one empty line there. Marks and unmarked spans that hold less than
-``share`` of the heaviest are left out; a mark's own lines count with those of the
-marks inside it. Where no window of a page passes the surge level, the level is 0.
+another leaves one empty line there. Marks are not compared by size, but for teasers: a
+mark with a heading that is all link is left out if it holds less than ``share`` of
+the heaviest, as are such spans outside marks. A mark's own lines count with those
+of the marks inside it. Where no window of a page passes the surge level, the level is 0.
+
+Class and id words tell chrome. Outside marks any such word does; inside one, a name does
+only if all its words are such or of layout (``related-posts``, not ``related-work``).
 
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined by an empty line. Null, empty or unfinished markup gives the text
 there is, or an empty string. Rows are independent; repeated rows give equal results.
 Empty table: no rows. A very long page is read in one piece, in time linear in its
-length. Other columns, whatever their names, play no part.
+length: no pattern looks beyond the next tag's start, but for comments and raw text, which take all they look at. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -36,8 +40,8 @@ from routeloom.llm.common import small_batches, with_text
 # Element and attribute names.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 DROPPED = frozenset("aside button canvas datalist dialog fieldset footer form head iframe input label map math menu nav noscript object option search select svg template textarea title video audio".split())
-RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "svg", "math")
-TO_THE_END = ("script", "style", "iframe", "textarea")  # hold no markup: without an end tag they hold the rest
+RAW = ("script", "style", "iframe", "textarea")  # hold no markup: without an end tag they hold the rest
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HINTED = frozenset("article aside div dl details figure header li ol p section span table ul".split())
 #: An element that its next sibling ends: the names it ends, and the containers across which it ends none.
@@ -46,11 +50,19 @@ SIBLINGS = {
     **dict.fromkeys(["td", "th"], (("td", "th"), ("tr", "table"))), "tr": (("tr",), ("table",)), **dict.fromkeys(["thead", "tbody", "tfoot"], (("thead", "tbody", "tfoot"), ("table",))),
 }
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?</(?P=raw)\s*>|<(?:" + "|".join(TO_THE_END) + r")\b[^>]*>.*\Z|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+ATTRS = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+"
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b" + ATTRS + r">.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>" + ATTRS + r")>|<[!?/][^<>]*+>|<[!?/a-zA-Z][^<>]*+(?=<)",
+    re.S | re.I,
+)
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|disclaimer|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|sidebar|aside|widget|widgets|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|toc|masthead|footer|copyright|comment|comments|commentlist|disqus|replies|respond|discussion|share|sharing|social|related|recommended|recommendations|toolbar|skip)(?:$|[\s_-])",
     re.I,
 )
+# Words of chrome that also name parts of an article, and words of layout.
+ALSO_TEXT = frozenset("discussion menu skip".split())
+LAYOUT = frozenset("area bar block body box btn button buttons card cards col column container content count form global group holder icon icons inline inner item items left link links list main mobile outer page panel post posts right row section site slot stories sticky strip thread top bottom unit wrap wrapper zone".split())
 HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)  # an article's own header has its title
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -66,7 +78,16 @@ def _hinted(name: str, attrs: str, in_article: bool) -> bool:
     if values.get("role", "").lower() in ROLES:
         return True
     names = f"{values.get('class', '')} {values.get('id', '')}"
-    return name in HINTED and bool(HINT.search(names) or not in_article and HEADER.search(names))
+    if name not in HINTED or not in_article:
+        return name in HINTED and bool(HINT.search(names) or HEADER.search(names))
+    return bool(HINT.search(names)) and any(map(_all_chrome, names.lower().split()))
+
+
+def _all_chrome(name: str) -> bool:
+    """Whether a name has a word of chrome, and no word but such and of layout."""
+    words = [w for w in re.split("[_-]+", name) if w and not w.isdigit()]
+    told = [w for w in words if HINT.fullmatch(w)]
+    return bool(told) and all(w in LAYOUT or HINT.fullmatch(w) for w in words) and words not in ([w] for w in ALSO_TEXT)
 
 
 class Open:
@@ -108,34 +129,40 @@ class Open:
             self.cut(at)
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, int]], list[int]]:
-    """(text, weight, innermost mark) of each line, and the mark around each mark; 0 is outside any.
-    A gap is a line of weight 0 without text."""
+def lines_of(page: str) -> tuple[list[tuple[str, int, int]], list[int], set[int]]:
+    """(text, weight, innermost mark) of each line, the mark around each mark, and the teasers among the marks; 0 is
+    outside any. A gap is a line of weight 0 without text."""
     lines: list[tuple[str, int, int]] = []
     around = [0]
     marks = [0]  # those open
     parts: list[str] = []
     linked = at = 0
+    plain = False  # whether the line has text outside links
+    teasers: set[int] = set()
     opened = Open()
     links: list[int] = []  # places of the open link, articles and dropped element
     articles: list[int] = []
     dropped: list[int] = []
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, plain
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             lines.append((text, max(1 if articles else 0, len(text) - linked), marks[-1]))
+            if not plain and any(opened.places.get(h) for h in HEADINGS):
+                teasers.add(marks[-1])
         parts.clear()
-        linked = 0
+        linked, plain = 0, False
 
     def text(upto: int) -> None:
-        nonlocal linked
+        nonlocal linked, plain
         if upto > at and not dropped:
             piece = page[at:upto]
             parts.append(piece)
             if links:
                 linked += len(piece)
+            elif not plain:
+                plain = not piece.isspace()
 
     def close() -> None:
         n = len(opened.names)
@@ -183,7 +210,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int]], list[int]]:
         opened.push(name)
     text(len(page))
     flush()
-    return lines, around
+    return lines, around, teasers
 
 
 def spans_of(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
@@ -203,7 +230,7 @@ def spans_of(weights: list[int], window: int, surge: int) -> list[tuple[int, int
 
 
 def main_text(page: str, window: int = 3, surge: int = 80, share: float = 0.15) -> str:
-    lines, around = lines_of(page)
+    lines, around, teasers = lines_of(page)
     places: list[list[int]] = [[] for _ in around]  # the lines of each mark, a row of gaps as one
     for i, (text, _, mark) in enumerate(lines):
         if text or not places[mark] or lines[places[mark][-1]][0]:
@@ -219,7 +246,7 @@ def main_text(page: str, window: int = 3, surge: int = 80, share: float = 0.15)
         if around[mark]:
             held[around[mark]] += held[mark]
     kept = [places[0][i] for (a, b), w in zip(spans[0], outside, strict=True) if w >= least for i in range(a, b)]
-    kept += [own[i] for own, found, w in zip(places[1:], spans[1:], held[1:], strict=True) if w >= least for a, b in found for i in range(a, b)]
+    kept += [own[i] for mark, (own, found, w) in enumerate(zip(places[1:], spans[1:], held[1:], strict=True), 1) if mark not in teasers or w >= least for a, b in found for i in range(a, b)]
     return "\n\n".join(lines[i][0] for i in sorted(kept) if lines[i][0])
 
 

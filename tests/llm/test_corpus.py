@@ -4,6 +4,7 @@ import base64
 import functools
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -169,6 +170,26 @@ def test_html_marks_only_help_the_scan():
     assert html_extract.main_text(f"<p>{long}</p><ul>{'<li><a>Menu</a></li>' * 4}</ul><p>{long}</p>") == want
 
 
+def test_html_words_of_chrome_inside_articles():
+    for keep in ('<section id="social-history">', '<section class="share-prices">', '<p class="related-work">', '<section class="discussion">', '<div id="menu">', '<div class="header-note">', '<ul class="comment-on-style">'):
+        assert html_extract.main_text(f"<article><p>One</p>{keep}Kept text</section></p></div></ul><p>Two</p></article>") == "One\n\nKept text\n\nTwo", keep
+    for drop in ('<div class="ad">', '<div class="x ad-slot-2">', '<section id="related-posts">', '<div class="share-buttons">', '<ul class="comment-list">', '<div class="cookie_notice">', '<section class="discussion-thread">', '<div role="navigation">'):
+        assert html_extract.main_text(f"<article><p>One</p>{drop}Gone</section></div></ul><p>Two</p></article>") == "One\n\nTwo", drop
+    long = "A plain sentence that goes on for a while, as articles do, and then some more of it. " * 30
+    page = f"<article><h1>A</h1><p>{long}</p></article><article><h2>B</h2><p>Short.</p></article><article><h3><a href='/x'>More news</a></h3><p>Teaser</p></article>"
+    assert html_extract.main_text(page) == f"A\n\n{long.strip()}\n\nB\n\nShort."
+
+
+def test_html_time_is_linear_in_hostile_pages():
+    for part in ("<a ", '<a b="', "<a b='", "<svg>", "<math><a ", "<noscript>", "<script ", "<!", "</", "<?x ", "<a <b ", "<li class=ad>", "<a href=x>", "<p>", '<a b="<a c=\'', "&amp", "<b "):
+        start = time.perf_counter()
+        text = html_extract.main_text(f"<p>{'A sentence of the page. ' * 9}</p>" + part * 80_000)
+        took = time.perf_counter() - start
+        assert took < 4 and "A sentence of the page." in text, (part, took)
+    assert html_extract.main_text("<p>one <a two <b>three</b></p>") == "one three" and html_extract.main_text("<p>1 < 2 and 3 > 2</p>") == "1 < 2 and 3 > 2"
+    assert html_extract.main_text("<article>a<svg><path d='x'/><text>no</text></svg>b<noscript><p>no</p></noscript>c</article>").replace("\n\n", "") == "abc"
+
+
 def test_near_duplicates_match_brute_force(spark, odd, none):
     r = random.Random(3)
     docs = []
