@@ -252,7 +252,8 @@ def encoded(text: Column, path: str) -> Column:
         ends = np.cumsum([0, *(len(x) // 4 for x in out)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
 
-    return F.arrow_udf(ids, "array<int>")(text.cast("string"))
+    # else the planner chains a decoder with a second run of the encoder
+    return F.arrow_udf(ids, "array<int>").asNondeterministic()(text.cast("string"))
 
 
 def decoded(ids: Column, path: str) -> Column:
