@@ -170,7 +170,30 @@ _BARE_TAGS = ", ".join(f"CASE WHEN k < {20 + 10 * i} THEN {_PICK(TAGS[t], 'k')}
 _CTX = "event_id, speed, connectivity, workload, privacy, passenger, tier, sensitive"
 _TRUE_ROW = lambda: "CASE WHEN y <> 'LOCAL' THEN y WHEN true_actuation = 'safety_critical' THEN 'LOCAL_SAFETY_CRITICAL' ELSE 'LOCAL_OTHER' END"
 _DANGER = lambda c: "CASE tag " + " ".join(f"WHEN '{t}' THEN {c} IN ({', '.join(repr(x) for x in DANGEROUS[t]) or repr('-')})" for t in TAG_LIST) + " END"
+def _number(n: str, key: str) -> str:
+    return f"(('0x' || substr(md5({key}), 1, 12))::BIGINT % {n})"
+
+
+def _digits(n: int, key: str) -> str:
+    return f"lpad((('0x' || substr(md5({key}), 1, 15))::BIGINT % {10**n})::VARCHAR, {n}, '0')"
+
+
+_PHONE = f"substr('{fills.PHONE_FIRST}', ({_number('8', "key || '/first'")} + 1)::INT, 1) || {_digits(9, "key || '/rest'")}"
+_FILLED = f"""WITH seed AS (SELECT 'c/' || c_custkey AS seed_id, {_PICK(TEMPLATES, 'c_custkey')} AS text FROM customer),
+    plan AS (SELECT *, regexp_extract_all(text, '\\{{([^{{}}]*)\\}}', 1) AS names, string_split_regex(text, '\\{{[^{{}}]*\\}}') AS gaps, list_distinct(list_filter(names, lambda x: list_contains({_LIST(X.SENSITIVE_SLOTS)}, x))) AS sens,
+        unnest(CASE WHEN sens = ['contact'] THEN [{{'s': true, 'want': 2}}, {{'s': false, 'want': 1}}] WHEN len(names) > 0 THEN [{{'s': true, 'want': 2}}] ELSE [{{'s': true, 'want': 1}}] END) AS p FROM seed),
+    tries AS (SELECT seed_id, names, gaps, p.s AS sensitive, p.want AS want, try FROM plan, range(1, 61) r(try) WHERE try <= p.want * 20),
+    piece AS (SELECT seed_id, sensitive, want, try, i, gaps[i] AS gap, names[i] AS slot, '0/' || seed_id || '/' || sensitive || '/' || try || '/' || names[i] AS key FROM tries, range(1, 5) q(i) WHERE i <= len(gaps)),
+    said AS (SELECT *, {_PHONE} AS phone, {_number('4', "key || '/form'")} AS form, CASE slot {' '.join(f"WHEN '{n}' THEN {_LIST(v)}" for n, v in POOLS.items() if n not in ('contact', 'relation'))} WHEN 'contact' THEN CASE WHEN sensitive THEN {_LIST(POOLS['contact'])} ELSE {_LIST(POOLS['relation'])} END END AS pool FROM piece),
+    val AS (SELECT *, CASE slot WHEN 'phone' THEN CASE form WHEN 0 THEN '+91 ' || phone[1:5] || ' ' || phone[6:10] WHEN 1 THEN '+91 ' || phone WHEN 2 THEN phone ELSE phone[1:5] || ' ' || phone[6:10] END
+        WHEN 'otp' THEN CASE {_number('2', "key || '/size'")} WHEN 0 THEN {_digits(4, 'key')} ELSE {_digits(6, 'key')} END WHEN 'card' THEN {_digits(4, 'key')} ELSE pool[{_number('len(pool)', "key || '/' || slot")} + 1] END AS value FROM said),
+    put AS (SELECT *, sum(length(gap) + coalesce(length(value), 0)) OVER (PARTITION BY seed_id, sensitive, try ORDER BY i) AS stop FROM val),
+    made AS (SELECT seed_id, sensitive, want, try, string_agg(gap || coalesce(value, ''), '' ORDER BY i) AS utterance,
+        coalesce(string_agg((stop - length(value))::BIGINT || ':' || stop::BIGINT || ':' || slot, ',' ORDER BY i) FILTER (sensitive AND slot IN ({', '.join(repr(x) for x in X.SENSITIVE_SLOTS)})), '') AS spans FROM put GROUP BY ALL),
+    uniq AS (SELECT * FROM made QUALIFY row_number() OVER (PARTITION BY seed_id, sensitive, utterance ORDER BY try) = 1),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY seed_id, sensitive ORDER BY try) AS r FROM uniq QUALIFY r <= want)"""
 ORACLE = {
+    "filled_rows": f"{_FILLED} SELECT seed_id, (row_number() OVER (PARTITION BY seed_id ORDER BY sensitive DESC, r) - 1)::INT AS fill, utterance, spans FROM kept",
     "line_errors": f"{_ERRORS} SELECT 'error' AS level, 'lines' AS source, item, line::BIGINT AS line, code, detail FROM e UNION ALL SELECT 'error', 'lines', intent || '/' || seed_index, 0, 'quota', short FROM quotas WHERE short <> ''",
     "line_issue_counts": f"{_ERRORS} SELECT 'error' AS level, code, count(*) AS n FROM e GROUP BY code",
     "line_warnings": f"""WITH {_LINES}, sc AS (SELECT intent, seed_index, {_content('text')} AS toks FROM seeds), oc AS (SELECT intent, seed_index, line, unnest({_content('text')}) AS tok FROM own),
