@@ -44,10 +44,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ids = scratch.save(groups.groupBy("doc_id").agg(F.count("*").alias("copies"), F.max("kept").alias("kept")), "ids")
     rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
     stay = rows.join(ids.where("copies = 1 and kept").select("doc_id"), "doc_id", "left_semi").select("row")
-    several = near_dups.with_digests(rows.join(ids.where("copies > 1 and kept").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "row"), 5)
-    own = several.join(groups.where("kept").select("doc_id", "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi")
-    repeated = own.where("n_shingles > 0").dropDuplicates(["doc_id", "hi", "lo"]).select("row").union(own.where("n_shingles = 0").select("row"))
-    return stay.union(repeated).union(rows.where("doc_id is null").select("row")).select("row.*")
+    kept = stay.union(rows.where("doc_id is null").select("row"))
+    again = ids.where("copies > 1 and kept").select("doc_id")
+    if again.limit(1).count():  # only then do the texts travel once more
+        several = near_dups.with_digests(rows.join(again, "doc_id", "left_semi").select("doc_id", "text", "row"), 5)
+        own = several.join(groups.where("kept").select("doc_id", "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi")
+        kept = kept.union(own.where("n_shingles > 0").dropDuplicates(["doc_id", "hi", "lo"]).select("row")).union(own.where("n_shingles = 0").select("row"))
+    return kept.select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
