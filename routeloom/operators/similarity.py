@@ -11,7 +11,7 @@ from routeloom.operators.nearest import nearest
 
 def best_jaccard(a: DataFrame, b: DataFrame, often: int = 1000) -> DataFrame:
     """The most similar ref of each id with any shared token, and how many they share; the smallest ref on ties."""
-    return nearest(a.select("id", "toks"), b.select("ref", "toks"), often=often).where("best IS NOT NULL").select("id", "best.ref", "best.score", "best.shared")
+    return nearest(a.select("id", "toks"), b.select("ref", "toks"), often=often, matched_only=True).where("best IS NOT NULL").select("id", "best.ref", "best.score", "best.shared")
 
 
 def best_overlap(a: DataFrame, b: DataFrame, often: int = 1000) -> DataFrame:
@@ -28,7 +28,7 @@ def drift(a: DataFrame, b: DataFrame, least: int = 2, often: int = 1000) -> Data
     a: id, intent, toks; b: ref, intent, toks."""
     alien = F.col("of") != F.col("intent")
     sets = {"own": ~alien, "other": alien & (F.col("shared") >= least)}
-    best = nearest(a.select("id", "intent", "toks"), b.select("ref", F.col("intent").alias("of"), "toks"), sets, kind="overlap", often=often, keep=["of"])
+    best = nearest(a.select("id", "intent", "toks"), b.select("ref", F.col("intent").alias("of"), "toks"), sets, kind="overlap", often=often, matched_only=True, keep=["of"])
     own = F.coalesce("own.score", F.lit(0.0))
     return best.where(F.col("other.score") > own).select("id", "other.ref", "other.score", own.alias("own"), F.col("other.of").alias("closer"))
 
