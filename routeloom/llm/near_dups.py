@@ -131,15 +131,16 @@ def with_digests(docs: DataFrame, size: int, text_col: str = "text") -> DataFram
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """docs (node, text): the full shingle sets and their digests."""
+    """docs (node, n, hi, lo, text): the full shingle sets of the texts whose digest is the node's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, size) for t in b.column(1).to_pylist()]
-            hi, lo = zip(*map(_digest, sets), strict=True) if sets else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["node", "items", "hi", "lo"])
+            sets = [shingle_set(t, size) for t in b.column(4).to_pylist()]
+            own = [r for r, (s, hi, lo) in enumerate(zip(sets, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)) if _digest(s) == (hi, lo)]
+            at = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([sets[r].view(np.int64) for r in own], pa.list_(pa.int64()))], names=["node", "n", "items"])
 
-    return docs.mapInArrow(run, "node long, items array<long>, hi long, lo long")
+    return docs.mapInArrow(run, "node long, n long, items array<long>")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -225,20 +226,23 @@ def near_duplicates(
         "nodes",
     )
 
-    group = lambda side, i: [F.col("sig")[(side * m + i) * k + x] for x in range(k)]
-    side = lambda s: F.array(*[F.xxhash64(F.lit(s), F.lit(i), *group(s, i)) for i in range(m)])
-    pairs_of_groups = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(m) for j in range(m)])
-    keys = (
-        nodes.select("node", side(0).alias("a"), side(1).alias("b"))
-        .select("node", "a", "b", F.explode(pairs_of_groups).alias("p"))
-        .select(F.xxhash64(F.col("a")[F.col("p.i")], F.col("b")[F.col("p.j")]).alias("key"), "node")
-    )
+    # a key pairs a group of each side, so only groups that several nodes share can make a shared key:
+    # the 2 * m groups of a node are looked at first, and pairs are formed of those that are left
+    # the last bit of a group's value is its side
+    value = lambda at: F.xxhash64(F.lit(at), *[F.col("sig")[at * k + x] for x in range(k)]).bitwiseAND(F.lit(-2)) + F.lit(at // m)
+    # both the counts and the join read this one shuffle, whatever the table's size
+    groups = nodes.select("node", F.explode(F.array(*[value(at) for at in range(2 * m)])).alias("g")).repartition("g")
+    several = groups.groupBy("g").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("g")
+    of_side = lambda s: F.collect_list(F.when(F.col("g").bitwiseAND(F.lit(1)) == s, F.col("g")))
+    left = groups.join(several, "g").groupBy("node").agg(of_side(0).alias("a"), of_side(1).alias("b"))
+    keys = left.select("node", "b", F.explode("a").alias("a")).select("node", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "node").repartition("key")
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
     buckets = scratch.save(keys.join(shared, "key").select("key", "node"), "buckets")
-    met = buckets.select("node").distinct().join(nodes.select("node", "least"), "node")
-    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("text")).join(met, "least").select("node", F.coalesce("text", F.lit("")).alias("text"))
+    # written first: the planner then knows its size, and texts travel only where it is too large to send out
+    met = scratch.save(buckets.select("node").distinct().join(nodes.select("node", "least", "n", "hi", "lo"), "node"), "met")
+    texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(met, "least")
     # an id may have other texts: the set must be the node's own
-    sets = scratch.save(_sets(texts, size).join(nodes.select("node", "n", "hi", "lo"), ["node", "hi", "lo"]).dropDuplicates(["node"]).select("node", "n", "items"), "sets")
+    sets = scratch.save(_sets(texts.select("least", "node", "n", "hi", "lo", "text").distinct().select("node", "n", "hi", "lo", "text"), size), "sets")
     sigs = nodes.select("node", "n", "sig")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -246,7 +250,7 @@ def near_duplicates(
         a = sets.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("items").alias("iu"))
         b = sets.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("items").alias("iv"))
         both = F.size(F.array_intersect("iu", "iv"))
-        return pairs.join(a, "u").join(b, "v").where(both * 100 >= (F.col("nu") + F.col("nv") - both) * pct).select("u", "v")
+        return pairs.join(a, "u").join(b, "v").where(both * 100 >= (F.col("nu") + F.col("nv") - both) * pct).select("u", "v").distinct()
 
     def near(pairs: DataFrame) -> DataFrame:
         """The pairs whose sizes allow a link and whose minhashes agree enough."""
@@ -288,7 +292,7 @@ def near_duplicates(
             merged = old.unionByName(step.join(labels.select("node"), "node", "left_anti"))
         labels, last = scratch.save(merged, f"labels-{r}"), r
 
-    for used in ("buckets", "sets", *(f"{x}-{r}" for r in range(rounds + 1) for x in ("links", "components"))):
+    for used in ("buckets", "met", "sets", *(f"{x}-{r}" for r in range(rounds + 1) for x in ("links", "components"))):
         scratch.drop(used)
     for r in range(last):
         scratch.drop(f"labels-{r}")
