@@ -21,6 +21,7 @@ from routeloom.functions import text as X
 from routeloom.operators import similarity
 from routeloom.operators.contexts import CONTEXT, route_map
 from routeloom.operators.nearest import nearest
+from routeloom.sources.scratch import saved
 from routeloom.vocab import TAGS
 
 # Fixed values.
@@ -180,12 +181,13 @@ def reviewed(goals: DataFrame, pairs: DataFrame, refs: DataFrame, intents: DataF
     u = u.join(theirs, F.col("known.near_intent") == F.col("near_intent"), "left").join(own, ["source", "item", "at"], "left")
     differ = F.array_compact(F.array(*[F.when(F.col(t) != F.col(f"_{t}"), F.lit(t)) for t in tags]))
     differ = F.when(F.col("known").isNull(), F.array().cast("array<string>")).when(F.col("source") == "goals", differ).otherwise(F.array_compact(F.array(F.when(F.col("near_intent") != F.col("intent"), F.lit("intent")))))
-    return u.withColumn("differ", differ).drop("near_intent", *tags, *[f"_{t}" for t in tags])
+    # written once: its readers pass over it many times
+    return saved(u.withColumn("differ", differ).drop("near_intent", *tags, *[f"_{t}" for t in tags]), "reviewed")
 
 
-def augmentation_issues(goals: DataFrame, pairs: DataFrame, refs: DataFrame, intents: DataFrame, ood_intents: list[str], strict: bool = False) -> DataFrame:
-    """What is wrong, or worth a look, with goals and pairs (V3, V4)."""
-    u = reviewed(goals, pairs, refs, intents)
+def augmentation_issues(goals: DataFrame, pairs: DataFrame, refs: DataFrame, intents: DataFrame, ood_intents: list[str], strict: bool = False, texts: DataFrame | None = None) -> DataFrame:
+    """What is wrong, or worth a look, with goals and pairs (V3, V4). texts: their reviewed texts, where the caller has them."""
+    u = texts if texts is not None else reviewed(goals, pairs, refs, intents)
     here = lambda df, level, code, detail="", line=F.col("line"): issue(df, level, F.col("source"), F.col("item"), line, code, detail)
     p = lambda df, code, detail="": issue(df, "error", "pairs", F.col("id"), F.col("line"), code, detail)
     outside = lambda c, known: ~F.coalesce(F.col(c), F.lit("")).isin(*known)

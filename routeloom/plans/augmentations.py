@@ -12,6 +12,7 @@ from routeloom.plans.checks import _LINES, _LIST, _PICK, written_lines
 from routeloom.plans.routing import MAPPED
 from routeloom.plans.texts import _content, _norm, _set
 from routeloom.sources import files
+from routeloom.sources.scratch import saved
 from routeloom.sources.tables import table
 from routeloom.vocab import TAGS
 
@@ -71,16 +72,21 @@ def augmentation_issues(spark: SparkSession, d: str) -> DataFrame:
     return validate.augmentation_issues(*inputs(spark, d), OOD)
 
 
+def _checked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Reviewed texts and their issues, each made once."""
+    made = inputs(spark, d)
+    texts = validate.reviewed(*made)
+    return texts, saved(validate.augmentation_issues(*made, OOD, texts=texts), "issues")
+
+
 def item_risks(spark: SparkSession, d: str) -> DataFrame:
     """Goals and pairs by risk, with the intent most of their texts are nearest to."""
-    made = inputs(spark, d)
-    return validate.item_risk(validate.reviewed(*made), validate.augmentation_issues(*made, OOD))
+    return validate.item_risk(*_checked(spark, d))
 
 
 def review_rows(spark: SparkSession, d: str) -> DataFrame:
     """SK9: every text with its item's risk and issues and its nearest known text."""
-    made = inputs(spark, d)
-    texts, issues = validate.reviewed(*made), validate.augmentation_issues(*made, OOD)
+    texts, issues = _checked(spark, d)
     return files.review_rows(validate.item_risk(texts, issues), texts, issues)
 
 
