@@ -11,7 +11,7 @@ smaller id, so only a bound strictly below the k-th score stops.
 The stated query set meets the vectors in blocks: each query block is sent to every
 vector block by an equality join on the block number, each meeting returns at most k
 rows a query, and a final ranking merges them. Pivots come from a bounded sample of
-vectors (``pivot_sample``); any pivots give exact results, they only set the work.
+vectors (``pivot_sample``), cut by hash before it is sent to the driver; any pivots give exact results, they only set the work.
 
 Null vectors, and those with null or non-finite components, take no part. Vectors
 meet only those of their own length. Rows that repeat an id are each candidates; a
@@ -81,11 +81,19 @@ def block_top_k(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray,
     return out
 
 
+def _sample(own: DataFrame, n: int, dim: int, rows: int) -> np.ndarray:
+    """At most ``rows`` vectors, those of the smallest hashes. A share of the hashes is cut off first, so that each task
+    sends the driver its part of about four times as many rows, however many tasks there are."""
+    h = F.xxhash64(F.lit(3), "id", "v")
+    least = -(2**63) + (2**64 - 1) * min(4 * rows, n) // max(n, 1)
+    found = own.where(h <= least).orderBy(h, "id").limit(rows).select("v").toPandas()["v"].tolist()
+    return np.array(found or [r["v"] for r in own.select("v").limit(1).collect()], float).reshape(-1, dim)
+
+
 def _one_length(scratch: Scratch, ints: DataFrame, dim: int, n: int, is_query: Column, k: int, n_pivots: int, pivot_sample: int, block_rows: int, query_rows: int) -> DataFrame:
     """The k best of each block for the vectors of one length."""
     own = ints.where(F.col("dim") == dim)
-    sample = own.orderBy(F.xxhash64("id"), "id").limit(pivot_sample).select("v").toPandas()["v"]
-    pivots = choose_pivots(np.array(sample.tolist(), float).reshape(len(sample), dim), n_pivots)
+    pivots = choose_pivots(_sample(own, n, dim, pivot_sample), n_pivots)
     blocks = -(-n // block_rows)
 
     def pack(t):

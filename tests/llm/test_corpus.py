@@ -583,3 +583,13 @@ def test_warc_files_hold_bounded_payloads(spark, tmp_path):
 def test_pointer_jumping_leaves_unreached_candidates():
     at = np.array([0, 5, 10, 12, 20])
     assert warc.reachable(at, np.array([10, 12, 20, 20, 99])).tolist() == [True, False, True, False, True]
+
+
+def test_pivot_sample_is_cut_before_the_driver(spark):
+    # many tasks: what each sends is a share of the sample, and the sample does not follow the tasks
+    df = spark.range(20_000).select("id", F.array(F.col("id"), F.col("id") % 7).alias("v"))
+    a, b = (pivot_search._sample(df.repartition(n), 20_000, 2, 100) for n in (3, 40))
+    assert a.shape == (100, 2) and (a == b).all()
+    assert pivot_search._sample(df.limit(30), 30, 2, 100).shape == (30, 2)
+    same = spark.range(500).select(F.lit(5).cast("long").alias("id"), F.array(F.lit(1).cast("long")).alias("v"))
+    assert 1 <= len(pivot_search._sample(same, 500, 1, 10)) <= 10
