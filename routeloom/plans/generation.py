@@ -47,7 +47,7 @@ def epoch_rows(spark: SparkSession, d: str) -> DataFrame:
     """Turns as training rows of three epochs, their spans and tags moved."""
     found = X.token_spans(F.col("text"), NAMES)
     spans = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["text"].rlike("^[0-9]"), "otp").otherwise("contact").alias("label")))
-    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", spans.alias("spans"))
+    rows = spread(table(spark, d, "conversations").select("conv_id", "turn", "text")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", spans.alias("spans"))
     made = epochs.augmented(rows, EPOCHS, word_dropout=WORD_DROPOUT, context_dropout=CONTEXT_DROPOUT)
     shown = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["label"])), ",")
     return made.select("id", "epoch", "keep_context", F.md5("text").alias("text"), shown.alias("spans"), F.array_join("tags", " ").alias("tags"))

@@ -1,5 +1,7 @@
 """Decision, metric and text rules: hand cases, exhaustive invariants and partition independence."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from routeloom.functions import text as X
@@ -127,3 +129,13 @@ def test_spans_decode_detect_and_score(spark):
     rows = spark.createDataFrame([("k", "ab cd", [(0, 5)], [(0, 2), (3, 5)]), ("k", "ab", [(0, 2)], []), ("k", "ab", [(0, 2)], [(0, 2)])], f"s string, text string, truth {kind}, found {kind}")
     r = spans.scores(rows, "s", F.lit(True)).where("s = 'k'").first()
     assert (r.n_true, r.n_found, r.n_exact, round(r.leak_rate, 3)) == (3, 3, 1, 0.333)
+
+
+def test_tags_take_time_by_tokens_not_by_their_square(spark):
+    n = 3000
+    at = lambda i, size: F.struct((i * 10).cast("int").alias("start"), (i * 10 + size).cast("int").alias("end"), F.lit("x").alias("label"))
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: at(i, 5)).alias("tokens"), F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: at(i * 2, 15)).alias("spans"))
+    began = time.monotonic()
+    tags = df.select(X.bio_tags(F.col("tokens"), F.col("spans"))).first()[0]
+    assert time.monotonic() - began < 20
+    assert tags == ["B-x", "I-x"] * 50 + ["O"] * (n - 100)
