@@ -79,10 +79,19 @@ def fills(seeds: DataFrame, pools: dict[str, list[str]], special: dict[tuple[str
     sens = F.array_intersect(slots, F.array(*map(F.lit, X.SENSITIVE_SLOTS)))
     plan = F.when(F.size(sens) > 0, F.array_compact(F.array(F.struct(F.lit(True).alias("sensitive"), F.lit(n_sensitive).alias("want")), F.when(F.array_join(sens, ",") == "contact", F.struct(F.lit(False).alias("sensitive"), F.lit(n_generic).alias("want"))))))
     plan = plan.when(F.size(slots) > 0, F.array(F.struct(F.lit(True).alias("sensitive"), F.lit(n_plain).alias("want")))).otherwise(F.array(F.struct(F.lit(True).alias("sensitive"), F.lit(1).alias("want"))))
-    drawn = seeds.select("seed_id", "intent", "text", F.explode(plan).alias("p")).select("*", "p.*").withColumn("try", F.explode(F.sequence(F.lit(1), F.col("want") * tries)))
-    key = [F.lit(seed), F.col("seed_id"), F.col("sensitive").cast("string"), F.col("try").cast("string")]
-    drawn = drawn.withColumn("f", filled(F.col("text"), F.col("intent"), F.col("sensitive"), pools, special or {}, *key)).select("seed_id", "intent", "sensitive", "want", "try", "f.*")
-    first = drawn.groupBy("seed_id", "intent", "sensitive", "want", "utterance").agg(F.min(F.struct("try", "spans")).alias("m"))
+    planned = seeds.select("seed_id", "intent", "text", F.explode(plan).alias("p")).select("seed_id", "intent", "text", "p.*")
+    key = [F.lit(seed), F.col("seed_id"), F.col("sensitive").cast("string")]
+    kind = "array<struct<utterance:string,try:int,spans:array<struct<start:int,end:int,label:string,text:string>>>>"
+
+    def draw(kept: Column, at: Column) -> Column:
+        """One try more, while fills are wanting: no row holds more than are wanted."""
+        made = filled(F.col("text"), F.col("intent"), F.col("sensitive"), pools, special or {}, *key, at.cast("string"))
+        more = X.bound(made, lambda m: F.when(F.exists(kept, lambda k: k["utterance"] == m["utterance"]), kept).otherwise(F.concat(kept, F.array(F.struct(m["utterance"].alias("utterance"), at.cast("int").alias("try"), m["spans"].alias("spans"))))))
+        return F.when(F.size(kept) < F.col("want"), more).otherwise(kept)
+
+    # the first different draws of a row hold those of its seed
+    drawn = X.rows_of(planned, "seed_id", "intent", "sensitive", "want", m=F.aggregate(F.sequence(F.lit(1), F.col("want") * tries), F.array().cast(kind), draw))
+    first = drawn.groupBy("seed_id", "intent", "sensitive", "want", F.col("m.utterance").alias("utterance")).agg(F.min(F.struct("m.try", "m.spans")).alias("m"))
     order = Window.partitionBy("seed_id", "sensitive").orderBy("m.try")
     kept = first.withColumn("r", F.row_number().over(order)).where("r <= want")
     place = Window.partitionBy("seed_id").orderBy(F.desc("sensitive"), "r")

@@ -114,7 +114,7 @@ def personal_spans(spark: SparkSession, d: str) -> DataFrame:
 
 def filled_rows(spark: SparkSession, d: str) -> DataFrame:
     """Templates of customers filled."""
-    c = table(spark, d, "customer")
+    c = spread(table(spark, d, "customer").select("c_custkey", "c_mktsegment"))
     seeds = c.select(F.concat_ws("/", F.lit("c"), F.col("c_custkey").cast("string")).alias("seed_id"), F.col("c_mktsegment").alias("intent"), F.element_at(ARRAY(TEMPLATES), (F.col("c_custkey") % len(TEMPLATES) + 1).cast("int")).alias("text"))
     out = fills.fills(seeds, POOLS)
     return out.select("seed_id", "fill", "utterance", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["label"])), ",").alias("spans"))

@@ -2,6 +2,7 @@
 
 import json
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +176,11 @@ def test_intents_are_scored_only_when_all_are_named(spark, tmp_path):
     for run, x in (("r2", 0.5), ("r1", 0.25)):
         (tmp_path / f"{run}.json").write_text(json.dumps({"route": {"overall": {"swe": x}}}, indent=1))
     assert [tuple(r) for r in scoring.compared_runs(spark, f"file://{tmp_path}", {"swe": "$.route.overall.swe"}).collect()] == [("r1", 0.25), ("r2", 0.5)]
+
+
+def test_fills_are_drawn_only_while_they_are_wanting(spark):
+    seeds = spark.range(200).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("seed_id"), F.lit("x").alias("intent"), F.lit("call {contact} on {phone} with {otp}").alias("text"))
+    few = {(r.seed_id, r.fill): r.utterance for r in fills.fills(seeds, POOLS).collect()}
+    began = time.monotonic()
+    many = {(r.seed_id, r.fill): r.utterance for r in fills.fills(seeds, POOLS, tries=10_000).collect()}
+    assert time.monotonic() - began < 30 and many == few and len(few) == 400
