@@ -139,3 +139,27 @@ def test_tags_take_time_by_tokens_not_by_their_square(spark):
     tags = df.select(X.bio_tags(F.col("tokens"), F.col("spans"))).first()[0]
     assert time.monotonic() - began < 20
     assert tags == ["B-x", "I-x"] * 50 + ["O"] * (n - 100)
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_searched_once_for_each_part(spark):
+    plan = _optimized(queries()["sensitive_flags"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("RLIKE") == 4
+    heard = _optimized(queries()["misheard"](spark, "/root/testdata/sf0.001"))
+    assert not [x for x in heard.splitlines() if "Filter" in x and "md5" in x], "a filter mishears every utterance again"
+    tokens = _optimized(queries()["span_tokens"](spark, "/root/testdata/sf0.001"))
+    assert "CASE WHEN RLIKE" in tokens or "CASE WHEN text" in tokens, "texts without runs of digits are not cut into words"
+
+
+def test_names_after_line_marks_and_white_space(spark):
+    from routeloom.operators import spans
+
+    texts = {"a A": [(2, 3)], "a. A": [], "a I Bo": [(4, 6)], " A": [], "x\n\t Él.": [(4, 7)], "a.  A": [], "  A": [(2, 3)], "a Ib I c": [(2, 4), (5, 8)], "Bo": [], "": []}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", spans.detect_personal(F.col("t")).alias("s"), X.detect_sensitive(F.col("t")).alias("d")).collect()
+    for r in rows:
+        assert [(s.start, s.end) for s in r.s] == texts[r.t] and r.d == bool(texts[r.t]), r
+    plan = _optimized(spark.createDataFrame([("a",)], "t string").select(spans.detect_personal(F.col("t"))))
+    assert ", \\S+, 0)" not in plan, "no list of all words is made"
