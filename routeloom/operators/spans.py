@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeloom.functions.text import bound, token_spans
+from routeloom.functions.text import AFTER_WORD, token_spans
 
 
 def decode(tokens: DataFrame, key: str) -> DataFrame:
@@ -37,7 +37,7 @@ def detect(text: Column, patterns: dict[str, str]) -> Column:
 
 
 PHONE_RUN = r"\+91|(?<![0-9])(?:[0-9][\s-]?){9}[0-9](?![0-9])"
-CARD_DIGITS = r"(?i)(?<=\bending\s{1,8})[0-9]+"
+CARD_DIGITS = r"(?i)(?=[0-9])(?<=\bending\s{1,8})[0-9]+"
 SHORT_RUN = r"(?<![0-9.:])[0-9]{4,6}(?![0-9.:])"
 
 
@@ -58,9 +58,9 @@ def merged(found: Column, text: Column) -> Column:
 def detect_personal(text: Column) -> Column:
     """(start, end, label) of phone numbers (with an adjacent +91), digits after "ending", other numbers of 4 to 6
     digits, and capitalised words that start no sentence; earlier kinds go first (T15)."""
-    words = token_spans(text, r"\S+")
-    after = lambda ws: F.filter(F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda p, w: F.when(w["text"].rlike(r"^\p{Lu}") & (w["text"] != "I") & ~p["text"].rlike(r"[.!?]$"), w)), lambda w: w.isNotNull())
-    kinds = {"phone": merged(token_spans(text, PHONE_RUN), text), "card": token_spans(text, CARD_DIGITS), "otp": token_spans(text, SHORT_RUN), "contact": bound(words, after)}
+    # matches begin with the white space before the word
+    after = F.transform(token_spans(text, AFTER_WORD + r"\S+"), lambda s: F.struct((s["end"] - F.length(F.regexp_replace(s["text"], r"^\s+", ""))).alias("start"), s["end"].alias("end")))
+    kinds = {"phone": merged(token_spans(text, PHONE_RUN), text), "card": token_spans(text, CARD_DIGITS), "otp": token_spans(text, SHORT_RUN), "contact": after}
     free = lambda kept, new: F.concat(kept, F.filter(new, lambda s: ~F.exists(kept, lambda k: overlap(k, s))))
     return F.array_sort(reduce(free, [_labelled(found, name) for name, found in kinds.items()]))
 
