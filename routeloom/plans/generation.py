@@ -26,8 +26,9 @@ COPIES, LINE_COPIES = 6, 2
 def span_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Tags of the words that runs of digits touch, by a join of spans and words in rows of their own."""
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
-    words = X.token_spans(F.col("text"), r"\S+")
-    tokens = docs.select("doc_id", F.posexplode(words).alias("pos", "t")).select("doc_id", "pos", "t.start", "t.end")
+    # words of texts with runs alone; outer, as a plain explode would have the words computed again to filter by their number
+    words = X.token_spans(F.when(F.col("text").rlike(NUMBERS), F.col("text")), r"\S+")
+    tokens = docs.select("doc_id", F.posexplode_outer(words).alias("pos", "t")).where("pos IS NOT NULL").select("doc_id", "pos", "t.start", "t.end")
     spans = X.rows_of(docs, "doc_id", s=X.token_spans(F.col("text"), NUMBERS)).select("doc_id", "s.start", "s.end", F.lit("number").alias("label"))
     return ranges.tagged(tokens, spans, "doc_id")
 
