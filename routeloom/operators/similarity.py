@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeloom.functions.text import rows_of
+from routeloom.operators.blocks import nearest_by_blocks
 from routeloom.operators.nearest import nearest
 
 
-def best_jaccard(a: DataFrame, b: DataFrame, often: int = 1000) -> DataFrame:
+def best_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     """The most similar ref of each id with any shared token, and how many they share; the smallest ref on ties."""
-    return nearest(a.select("id", "toks"), b.select("ref", "toks"), often=often, matched_only=True).where("best IS NOT NULL").select("id", "best.ref", "best.score", "best.shared")
+    return nearest_by_blocks(a, b).where("best IS NOT NULL").select("id", "best.ref", "best.score", "best.shared")
 
 
-def best_overlap(a: DataFrame, b: DataFrame, often: int = 1000) -> DataFrame:
+def best_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """The ref whose tokens an id covers best, then the one that shares more, then the first; an id that
     shares none gets the first ref at 0. Refs without tokens take no part."""
     first = b.where(F.size("toks") > 0).agg(F.min("ref").alias("first"))
-    found = nearest(a.select("id", "toks"), b.select("ref", "toks"), kind="overlap", more_first=True, often=often)
+    found = nearest_by_blocks(a, b, kind="overlap", more_first=True)
     out = found.join(F.broadcast(first))  # one row
     return out.select("id", F.coalesce("best.ref", "first").alias("ref"), F.coalesce("best.score", F.lit(0.0)).alias("score"))
 
