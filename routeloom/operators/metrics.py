@@ -155,6 +155,24 @@ def join_predictions(rows: DataFrame, preds: DataFrame, on: str = "id") -> tuple
     return rows.join(preds, on), repeated.unionByName(unknown)
 
 
+#: Tasks that ids are dealt to: as many as Spark writes rows for without holding them in memory.
+DEALT = 200
+
+
+def problem_counts(rows: DataFrame, preds: DataFrame, on: str = "id") -> DataFrame:
+    """problem, n (as many as ``join_predictions`` has rows of it) and ids (how many ids those are).
+
+    Rows and predictions meet in one grouping. They are dealt by id before anything is counted, so that no task holds the ids
+    of a whole file, whatever its row groups, and an id is counted in one place alone, without a set of ids."""
+    both = preds.select(on, F.lit(False).alias("row")).unionByName(rows.select(on, F.lit(True).alias("row")))
+    each = both.repartition(DEALT, on).groupBy(on).agg(F.count_if(~F.col("row")).alias("m"), F.max("row").alias("known"))
+    # a null id matches no row
+    unknown = ~F.col("known") | F.col(on).isNull()
+    kinds = {"repeated": F.when(F.col("m") > 1, F.lit(1).cast("long")), "unknown": F.when((F.col("m") > 0) & unknown, F.col("m"))}
+    found = each.select(on, F.explode(F.array(*[F.struct(F.lit(p).alias("problem"), n.alias("m")) for p, n in kinds.items()])).alias("e")).select(on, "e.*").where("m IS NOT NULL")
+    return found.groupBy("problem").agg(F.sum("m").alias("n"), F.count(on).alias("ids"))
+
+
 def joined(rows: DataFrame, preds: DataFrame, on: str = "id") -> DataFrame:
     """Rows that have a prediction, with it; ids that repeat or match no row end the job.
 

@@ -63,7 +63,7 @@ def prediction_problems(spark: SparkSession, d: str) -> DataFrame:
     """Line items as predictions of orders; ids that repeat or match no order."""
     rows = table(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"))
     preds = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"))
-    return metrics.join_predictions(rows, preds)[1].groupBy("problem").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+    return metrics.problem_counts(rows, preds)
 
 
 def tag_report(spark: SparkSession, d: str) -> DataFrame:
