@@ -12,7 +12,7 @@ from routeloom.operators.nearest import nearest
 
 def best_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     """The most similar ref of each id with any shared token, and how many they share; the smallest ref on ties."""
-    return nearest_by_blocks(a, b).where("best IS NOT NULL").select("id", "best.ref", "best.score", "best.shared")
+    return nearest_by_blocks(a, b, matched_only=True).select("id", "best.ref", "best.score", "best.shared")
 
 
 def best_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
