@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -593,3 +594,49 @@ def test_pivot_sample_is_cut_before_the_driver(spark):
     assert pivot_search._sample(df.limit(30), 30, 2, 100).shape == (30, 2)
     same = spark.range(500).select(F.lit(5).cast("long").alias("id"), F.array(F.lit(1).cast("long")).alias("v"))
     assert 1 <= len(pivot_search._sample(same, 500, 1, 10)) <= 10
+
+
+def test_top_k_is_sent_by_slabs_and_its_blocks_are_bounded(spark, monkeypatch):
+    """Copies of one row once filled one block, each pack of queries was sent to every block, and vectors without components ended in an error."""
+    made, sent, save, meetings = {}, [], pivot_search.Scratch.save, pivot_search.meetings
+    monkeypatch.setattr(pivot_search, "SLAB", 16)
+    monkeypatch.setattr(pivot_search.Scratch, "save", lambda self, df, name: made.setdefault(name, save(self, df, name)))
+    monkeypatch.setattr(pivot_search, "meetings", lambda *a: sent.append(meetings(*a)) or sent[-1])
+    rng = np.random.default_rng(1)
+    m = rng.integers(-2, 3, (600, 4)) / 4
+    ids = np.concatenate([np.arange(400), np.full(200, 401)])  # one id and vector 200 times
+    m[400:] = m[400]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, m, strict=True)], "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in pivot_search.top_k(df, F.col("id") % 100 == 0, block_rows=8, query_rows=2).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    x = np.floor(256 * m).astype(int)
+    for q in range(0, 400, 100):
+        s = x @ x[q]
+        best = [i for i in np.lexsort((ids, -s)) if i != q][:5]
+        assert sorted(got[q]) == [(k + 1, ids[i], s[i]) for k, i in enumerate(best)]
+    sizes = [r.n for r in made["blocks-4"].select("n").collect()]
+    packs, slabs = made["queries-4"].count(), max(-(-len(sizes) // 16), 4 * spark.sparkContext.defaultParallelism)
+    assert sum(sizes) == 600 and max(sizes) == 8 and len(sizes) == 75
+    assert sent[0].count() == len(sizes) + packs * slabs < packs * len(sizes)
+    monkeypatch.undo()
+    bare = pivot_search.top_k(spark.createDataFrame([(i, []) for i in range(3)], "vec_id long, embedding array<double>"), F.col("id") == 1)
+    assert [tuple(r) for r in bare.orderBy("rank").collect()] == [(1, 1, 0, 0), (1, 2, 2, 0)]
+
+
+def test_packs_against_brute_force():
+    """Each exact type, ties at the last place, more neighbours asked for than there are."""
+    rng = np.random.default_rng(2)
+    for scale, copies in ((3, 1), (3, 40), (2**20, 1), (2**28, 1)):
+        x = np.repeat(rng.integers(-scale, scale + 1, (300, 5)), copies, axis=0)
+        ids = rng.permutation(len(x)).astype(np.int64)
+        pivots = x[:3].astype(float)
+        rows = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(x.tolist(), pa.list_(pa.int64()))], names=["id", "v"])
+        blocks = [pivot_search.Block(r, 5, 3) for b in pivot_search._packed(iter([rows]), 5, 700, pivots) for r in b.to_pylist()]
+        q = x[:: 29 * copies]
+        for k in (1, 6, len(x) + 1) if copies == 1 else (6,):
+            r, i, s = pivot_search.pack_top_k(q, blocks, pivots, k)
+            for n, v in enumerate(q):
+                score = x @ v
+                best = np.lexsort((ids, -score))[:k]
+                assert sorted(zip((-s[r == n]).tolist(), i[r == n].tolist(), strict=True)) == list(zip((-score[best]).tolist(), ids[best].tolist(), strict=True))
